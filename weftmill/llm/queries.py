@@ -44,3 +44,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftmill.llm import quality
 
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    from weftmill.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
