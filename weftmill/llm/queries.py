@@ -52,3 +52,19 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftmill.llm import simhash
 
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token records of every document, as read back from the files."""
+    from weftmill.llm import tokenbin
+
+    return tokenbin.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into windows of up to 1024 ids."""
+    from weftmill.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
