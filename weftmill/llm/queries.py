@@ -95,3 +95,23 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftmill.llm import decontam
 
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
+
+
+_OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT phrase, min(doc_id) AS least FROM g GROUP BY phrase),
+r AS (SELECT DISTINCT doc_id, i + k AS p FROM (SELECT g.doc_id, g.i, unnest(range(0, 13)) AS k FROM g JOIN f USING (phrase) WHERE f.least < g.doc_id)),
+x AS (SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS word FROM d),
+k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM x LEFT JOIN r USING (doc_id, p) WHERE r.p IS NULL GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) AS BIGINT) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
+@query(_OP9_SQL)
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeat a passage of an earlier one."""
+    from weftmill.llm import substring
+
+    return substring.report(table(spark, sf_dir, "documents"))
