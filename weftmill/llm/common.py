@@ -66,10 +66,11 @@ def scratch_mark() -> int:
     return len(_SCRATCH)
 
 
-def drop_since(spark: SparkSession, mark: int) -> None:
-    """Delete the scratch tables made since ``mark``; for callers that have written their result elsewhere."""
+def drop_since(spark: SparkSession, mark: int, keep: str = "") -> None:
+    """Delete the scratch tables made since ``mark``; for callers that have written their result to ``keep``."""
     for path in list(_SCRATCH[mark:]):
-        drop(path, spark)
+        if path != keep:
+            drop(path, spark)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -132,3 +132,19 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftmill.llm import ann
 
     return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, also below layers of encoding."""
+    from weftmill.llm import secretscan
+
+    return secretscan.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    from weftmill.llm import pii
+
+    return pii.report(table(spark, sf_dir, "documents"))
