@@ -16,7 +16,7 @@ def jn2_left_joins(spark, sf_dir):
     return line.join(p, F.col("l_partkey") == F.col("p_partkey"), "left").join(s, F.col("l_suppkey") == F.col("s_suppkey"), "left").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_name", "s_name")
 
 
-@query("SELECT n_name, r_name, list_sort(list(DISTINCT s_name)) AS near FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name, r_name")
+@query("SELECT n_name, r_name, list_sort(list(DISTINCT s_name) FILTER (s_name IS NOT NULL)) AS near FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name, r_name")
 def jn3_neighbours(spark, sf_dir):
     """Mentions with the distinct neighbours of each entity."""
     n, r, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region"), table(spark, sf_dir, "supplier")
