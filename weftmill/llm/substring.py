@@ -7,8 +7,9 @@ around. Each symbol carries its dependency extent: the words that decide that it
 hold the same symbols wherever the extent lies within the window; only symbols at the borders may differ.
 
 Round 1, reveal: each window of ``width`` words chooses, of the symbols that it determines, the one with the smallest
-mixed name (a window that determines none stands for itself). The chosen names meet in a Spark exchange, one row for
-each name and batch, and a name seen in one document only is dropped: no window below it can repeat elsewhere.
+mixed name, which stands for the words of its extent (a window that determines none stands for itself). The chosen
+names meet in a Spark exchange, one row for each name and batch, and a name seen in one document only is dropped: no
+window that chose it can repeat elsewhere.
 
 Round 2, verify: documents with shared names give the 96-bit digest of each window that chose one; equal windows choose
 equal names, so all occurrences meet, and the smallest doc_id of each is known.
@@ -90,8 +91,21 @@ def window_digests(s: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarra
     return mix(h), (mix(g) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def spans_digest(s: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Digests of the words ``[first, after)``, from one running sum (powers of an odd number have inverses)."""
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(len(s), _P))
+        back = np.cumprod(np.full(len(s), np.uint64(pow(int(_P), -1, 1 << 64))))
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(s * power)])
+        return mix((total[after] - total[first]) * back[first] ^ mix((after - first).astype(np.uint64)))
+
+
 def choices(s: np.ndarray, at: np.ndarray, width: int, rounds: int) -> np.ndarray:
-    """The symbol that each window starting at ``at`` chooses: a function of the window's words alone."""
+    """What each window starting at ``at`` chooses: a function of the window's words alone.
+
+    The window takes, of the symbols that it determines, the one with the smallest mixed name. The symbol stands for
+    its whole dependency extent, whose words are all in the window: common words alone don't bring documents together.
+    """
     name, first, after = recompress(s, rounds)
     rank = mix(name + _C)
     low = np.searchsorted(first, at, side="left")
@@ -100,16 +114,19 @@ def choices(s: np.ndarray, at: np.ndarray, width: int, rounds: int) -> np.ndarra
     some = high > low
     low, high = low[some], high[some]
     if len(low):
-        best, table, step = np.zeros(len(low), dtype=np.uint64), rank, 1
+        best, table, step = np.zeros(len(low), dtype=np.int64), np.arange(len(rank)), 1
         size = high - low
         while True:
             mine = (size >= step) & (size < 2 * step)
-            best[mine] = np.minimum(table[low[mine]], table[high[mine] - step])
+            a, b = table[low[mine]], table[high[mine] - step]
+            best[mine] = np.where(rank[a] <= rank[b], a, b)
             if not (size >= 2 * step).any():
                 break
-            table = np.minimum(table[: len(table) - step], table[step:])
+            a, b = table[: len(table) - step], table[step:]
+            table = np.where(rank[a] <= rank[b], a, b)
             step *= 2
-        out[some] = best
+        used, where = np.unique(best, return_inverse=True)
+        out[some] = spans_digest(s, first[used], after[used])[where]
     return out
 
 
