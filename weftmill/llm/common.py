@@ -75,7 +75,12 @@ def drop_since(spark: SparkSession, mark: int, keep: str = "") -> None:
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that the operators read; any other column, whatever its name, stays out of the plan."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    types = dict(docs.dtypes)
+
+    def plain(name: str, kind: str, alias: str) -> F.Column:  # no alias where none is needed: equal plans stay equal
+        return F.col(name) if (name, types.get(name)) == (alias, kind) else F.col(name).cast(kind).alias(alias)
+
+    return docs.select(plain(id_col, "bigint", "doc_id"), plain(text_col, "string", "text"))
 
 
 def arrow_schema(ddl: str) -> pa.Schema:

@@ -16,6 +16,9 @@ equal names, so all occurrences meet, and the smallest doc_id of each is known.
 
 Round 3: windows whose digest starts in a smaller doc_id cover the words that go; the rest is joined again.
 
+Documents with the very text of an earlier one are set aside before round 1 (all their windows start there), so copies
+cost a digest each.
+
 Rows are gathered by batch before each exchange, so a passage that a third of all documents share costs one row a batch.
 
 Words: ``[^\\x20\\x09-\\x0D]+``, unchanged. Defined edge cases: a null text has no words; a document without an id loses
@@ -185,7 +188,7 @@ def reveal(docs: DataFrame, width: int, rounds: int) -> DataFrame:
             (name,), low, high, rest = _gathered([name[turn]], ids[doc[turn]])
             yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(low), pa.array(high), rest.cast(schema.field("rest").type)], schema=schema)
 
-    return docs.where("doc_id is not null").mapInArrow(run, ddl)
+    return docs.mapInArrow(run, ddl)
 
 
 def verify(docs: DataFrame, width: int, rounds: int) -> DataFrame:
@@ -219,11 +222,14 @@ def _members() -> F.Column:
     return F.explode(F.concat(F.array("low"), F.coalesce("rest", F.array().cast("array<long>")))).alias("doc_id")
 
 
-def cut(text: str | None, gone: np.ndarray | None, width: int) -> tuple[list[bytes], int]:
-    """The words that stay, and how many go, given the digests of the windows that start in a smaller document."""
-    if gone is None or not len(gone):
+def cut(text: str | None, copy: bool, gone: np.ndarray | None, width: int) -> tuple[list[bytes], int]:
+    """The words that stay, and how many go, given the digests of the windows that start in a smaller document.
+
+    Of a copy of an earlier document every window goes, and so does every word if there is a window at all.
+    """
+    if copy or gone is None or not len(gone):
         words = (text or "").encode("utf-8", "surrogatepass").split()
-        return words, 0
+        return ([], len(words)) if copy and len(words) >= width else (words, 0)
     words, s = symbols(text)
     at = np.arange(max(0, len(words) - width + 1))
     hit = at[np.isin(window_digests(s, at, width)[0].view(np.int64), gone)]
@@ -235,18 +241,28 @@ def cut(text: str | None, gone: np.ndarray | None, width: int) -> tuple[list[byt
 
 
 def removals(docs: DataFrame, width: int = 13, rounds: int = 1) -> DataFrame:
-    """``doc_id, text, gone``: every row with the digests of the windows that start in a smaller doc_id (null: none)."""
+    """``doc_id, text, copy, gone``: every row, whether an earlier document has its very text, and else the digests of
+    the windows that start in a smaller doc_id (null: none).
+
+    The texts are exchanged by doc_id once; the same exchange serves the three joins, whose other sides grow with the
+    input and are therefore merged, not broadcast, at every size.
+    """
     every = texts(docs)
-    docs = every.where("doc_id is not null")  # the same filter for both joins, so that one exchange of the texts serves both
+    named = every.where("doc_id is not null").withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
+    keys = every.where("doc_id is not null").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"))
+    first = keys.groupBy("key").agg(F.min("doc_id").alias("least"))
+    copies = keys.join(first.hint("merge"), "key").where("doc_id > least").groupBy("doc_id").agg(F.collect_set("key").alias("copied"))
+    flagged = named.join(copies.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce(F.array_contains("copied", F.col("key")), F.lit(False)).alias("copy"))
+    fresh = flagged.where("NOT copy").select("doc_id", "text")
     by_name = Window.partitionBy("name")
-    met = reveal(docs, width, rounds).withColumn("least", F.min("low").over(by_name)).withColumn("most", F.max("high").over(by_name)).where("least < most")
+    met = reveal(fresh, width, rounds).withColumn("least", F.min("low").over(by_name)).withColumn("most", F.max("high").over(by_name)).where("least < most")
     shared = met.select("name", _members()).groupBy("doc_id").agg(F.collect_list("name").alias("names"))
-    suspects = docs.join(shared, "doc_id")
+    suspects = fresh.join(shared.hint("merge"), "doc_id")
     by_digest = Window.partitionBy("h", "g")
     equal = verify(suspects.select("doc_id", "text", "names"), width, rounds).withColumn("least", F.min("low").over(by_digest)).where("high > least")
     gone = equal.select("h", "least", _members()).where("doc_id > least").groupBy("doc_id").agg(F.collect_list("h").alias("gone"))
-    unnamed = every.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<long>").alias("gone"))
-    return docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone").unionByName(unnamed)
+    unnamed = every.where("doc_id is null").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<long>").alias("gone"))
+    return flagged.join(gone.hint("merge"), "doc_id", "left").select("doc_id", "text", "copy", "gone").unionByName(unnamed)
 
 
 def _gone(column: pa.Array, i: int) -> np.ndarray | None:
@@ -258,7 +274,7 @@ def deduplicate(docs: DataFrame, width: int = 13, rounds: int = 1) -> DataFrame:
     """``doc_id, text`` of every row, without the words that repeat an earlier document (kept words joined by a space)."""
 
     def run(batch) -> dict:
-        kept = [b" ".join(cut(t, _gone(batch.column("gone"), i), width)[0]).decode("utf-8", "surrogatepass") for i, t in enumerate(batch.column("text").to_pylist())]
+        kept = [b" ".join(cut(t, copy, _gone(batch.column("gone"), i), width)[0]).decode("utf-8", "surrogatepass") for i, (t, copy) in enumerate(zip(batch.column("text").to_pylist(), batch.column("copy").to_pylist(), strict=True))]
         return {"doc_id": batch.column("doc_id"), "text": kept}
 
     return per_text(removals(docs, width, rounds), run, "doc_id long, text string")
@@ -269,8 +285,8 @@ def report(docs: DataFrame, width: int = 13, rounds: int = 1) -> DataFrame:
 
     def run(batch) -> dict:
         out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": []}
-        for i, t in enumerate(batch.column("text").to_pylist()):
-            kept, removed = cut(t, _gone(batch.column("gone"), i), width)
+        for i, (t, copy) in enumerate(zip(batch.column("text").to_pylist(), batch.column("copy").to_pylist(), strict=True)):
+            kept, removed = cut(t, copy, _gone(batch.column("gone"), i), width)
             out["n_words"].append(len(kept) + removed)
             out["n_removed"].append(removed)
             out["kept_sha256"].append(hashlib.sha256(b" ".join(kept)).hexdigest())
