@@ -92,10 +92,11 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b: floa
     Only terms that some query uses leave the scan; document frequencies are counted over the whole corpus.
     """
     wanted = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    lengths = corpus.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.coalesce("text", F.lit(""))))).alias("avgdl"))
+    size = F.struct(F.count("*").alias("n"), F.avg(F.size(tokens(F.coalesce("text", F.lit(""))))).alias("avgdl"))
+    stats = corpus.agg(size.alias("s")).scalar()  # a scalar subquery: one row of corpus statistics
     hits = postings(corpus).join(wanted.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = hits.join(df, "term").crossJoin(F.broadcast(lengths))  # one row of corpus statistics
+    weighted = hits.join(df, "term").withColumn("s", stats).select("*", "s.n", "s.avgdl")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     scored = weighted.select("term", "id", weight.alias("w")).join(wanted, "term").groupBy("qid", "id").agg(F.round(F.sum("w"), digits).alias("score"))

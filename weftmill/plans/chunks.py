@@ -77,10 +77,10 @@ def txt14_rebuild(spark, sf_dir):
 def txt11_patches(spark, sf_dir):
     """Patches on the two headings of each page: a new level, a new name, an insertion; wrong ones are ignored."""
     found = _blocks(spark, sf_dir).where("kind = 'heading'")
-    docs = table(spark, sf_dir, "documents").select("doc_id")
     rows = [(1, "set_level", 0, None, 3), (2, "set_heading", 1, "renamed", None), (3, "set_text", 0, "ignored: wrong kind", None), (4, "insert_after", 1, "added", None), (5, "delete", 99, None, None)]
-    ops = spark.createDataFrame(rows, "seq int, op string, index int, text string, level int")
-    return C.apply_patches(found, docs.crossJoin(F.broadcast(ops)))  # five constant rows
+    kinds = {"seq": "int", "op": "string", "index": "int", "text": "string", "level": "int"}
+    ops = F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, kinds.items(), strict=True)]) for r in rows])
+    return C.apply_patches(found, table(spark, sf_dir, "documents").select("doc_id", F.explode(ops).alias("p")).select("doc_id", "p.*"))
 
 
 @query("SELECT doc_id, 0 AS pos, source AS text, 1 AS level FROM documents UNION ALL SELECT doc_id, 7, lang, 2 FROM documents UNION ALL SELECT doc_id, 1, 'unknown', 4 FROM documents")
