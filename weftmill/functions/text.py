@@ -212,3 +212,10 @@ def heading(level: Column, text: Column) -> Column:
 def serialize_turn(role: Column, content: Column, thinking: Column, tool: Column) -> Column:
     some = lambda label, v, ok: F.when(ok & (F.coalesce(F.length(v), F.lit(0)) > 0), F.concat(F.lit(label), v))
     return F.concat_ws("\n", F.concat(role, F.lit(": "), content), some("thinking: ", thinking, role == "assistant"), some("tool output: ", tool, role.isin("assistant", "user")))
+
+
+def relation_of(c: Column) -> Column:
+    """A relation out of loose JSON: ``source`` or ``from``, ``target`` or ``to``, trimmed; keywords never null."""
+    r = lenient_json(c, "source string, target string, `from` string, `to` string, keywords array<string>")
+    end = lambda a, b: F.trim(F.coalesce(r[a], r[b]))
+    return F.struct(end("source", "from").alias("source"), end("target", "to").alias("target"), F.coalesce(r["keywords"], F.array().cast("array<string>")).alias("keywords"))

@@ -100,3 +100,24 @@ def ret3_postings(spark, sf_dir):
 
     terms = table(spark, sf_dir, "benchmark").select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
     return postings(_corpus(spark, sf_dir)).join(terms, "term", "left_semi").groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, 'p' || l_partkey AS source, 's' || l_suppkey AS target, CASE WHEN l_linenumber % 2 = 0 THEN ['a', 'b'] ELSE [] END AS keywords FROM lineitem")
+def txt27_coercion(spark, sf_dir):
+    """Relations out of loose JSON: either spelling of the ends, missing lists empty."""
+    from weftmill.functions.text import relation_of
+
+    k = F.col("l_linenumber") % 2 == 0
+    a, b = F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey")
+    loose = F.when(k, F.concat(F.lit('{"source": "'), a, F.lit('", "target": "'), b, F.lit('", "keywords": ["a", "b"]}'))).otherwise(F.concat(F.lit('noise {"from": " '), a, F.lit('", "to": "'), b, F.lit('"} noise')))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", relation_of(loose).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
+
+
+@query("""WITH old AS (SELECT l_orderkey AS doc, l_linenumber AS id, min(l_partkey) AS h FROM lineitem WHERE l_linenumber <> 2 GROUP BY ALL), new AS (SELECT l_orderkey AS doc, l_linenumber AS id, max(l_partkey) AS h FROM lineitem WHERE l_linenumber <> 3 GROUP BY ALL)
+SELECT coalesce(o.doc, n.doc) AS doc, coalesce(o.id, n.id) AS id, n.h, n.h IS DISTINCT FROM o.h AS embed_again FROM old o FULL JOIN new n ON o.doc = n.doc AND o.id = n.id WHERE n.id IS NOT NULL""")
+def mut3_overwrite(spark, sf_dir):
+    """A document overwritten: stale chunks go, only changed or new ones are embedded again."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("id"), "l_partkey")
+    old = line.where("id <> 2").groupBy("doc", "id").agg(F.min("l_partkey").alias("was"))
+    new = line.where("id <> 3").groupBy("doc", "id").agg(F.max("l_partkey").alias("h"))
+    return new.join(old, ["doc", "id"], "left").select("doc", "id", "h", (~F.col("h").eqNullSafe(F.col("was"))).alias("embed_again"))
