@@ -93,6 +93,16 @@ def in_order(products: np.ndarray) -> np.ndarray:
     return np.add.accumulate(products, axis=1)[:, -1]
 
 
+def best_of(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best rows (qid, cid, score) of each query, by score, then id."""
+    qid, cid, score = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((cid, -score, qid))
+    qid, cid, score = qid[order], cid[order], score[order]
+    start = np.flatnonzero(np.concatenate([[True], qid[1:] != qid[:-1]])) if len(qid) else np.zeros(0, dtype=np.int64)
+    rank = np.arange(len(qid)) - np.repeat(start, np.diff(np.append(start, len(qid))))
+    return qid[rank < k], cid[rank < k], score[rank < k]
+
+
 def measured_probe(wanted: DataFrame, placed: DataFrame, left: np.ndarray, right: np.ndarray, half: int, counts: np.ndarray, k: int, recall: float, most: int = 64) -> int:
     """The entries a walk has to meet for the wanted share of true neighbours, on at most ``most`` queries."""
     q = bounded_sample(wanted, "cid", most).select("v").toArrow().column(0).combine_chunks()
@@ -171,6 +181,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: int | None =
     schema = arrow_schema("qid long, cid long, score double")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rows = 0
         for batch in batches:
             for i in range(batch.num_rows):
                 asks, has = batch.column("asks")[i].values, batch.column("has")[i].values
@@ -180,7 +192,16 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: int | None =
                 most = min(k + 1, e.shape[0])
                 kth = np.partition(s, e.shape[0] - most, axis=1)[:, e.shape[0] - most]
                 a, b = np.nonzero(s >= kth[:, None] - 1e-9 * (1 + np.abs(kth[:, None])))  # ties at the border come along
-                yield pa.RecordBatch.from_arrays([pa.array(qid[a]), pa.array(cid[b]), pa.array(in_order(q[a] * e[b]))], schema=schema)
+                held.append((qid[a], cid[b], in_order(q[a] * e[b])))
+                rows += len(a)
+                if rows > 400_000:  # a task keeps the best of each query over all its blocks, in bounded memory
+                    held = [best_of(held, k + 1)]
+                    rows = len(held[0][0])
+                    if rows > 200_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], schema=schema)
+                        held, rows = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best_of(held, k + 1)], schema=schema)
 
     scored = pairs.select("asks", "has").mapInArrow(rerank, "qid long, cid long, score double")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
