@@ -107,6 +107,14 @@ def test_paged_source(spark):
     assert rows.select(F.max("page")).first()[0] == 3
 
 
+@pytest.mark.parametrize(("pages", "size"), [(None, 100), (1, 10), (2, 50), (2, 115), (4, 100), (9, 100)])
+def test_paged_source_reads_past_the_planned_pages(spark, pages, size):
+    paged.register(spark)
+    options = {"fetch": "weftmill.sources.paged:sample_fetch", "size": size} | ({"pages": pages} if pages else {})
+    rows = spark.read.format("paged").options(**options).load().select("page", F.from_json("item", "number int")["number"].alias("n")).collect()
+    assert sorted((r.page, r.n) for r in rows) == [(i // size + 1, i) for i in range(230)]
+
+
 def test_search_facade(spark):
     chunks = spark.createDataFrame([(1, "red apple pie", "food/pie", "s"), (2, "green apple", "food/raw", "s"), (3, "car engine", "tech", "t")], "id long, text string, topic string, section string")
     corpus = Q.Corpus(chunks, mappings=spark.createDataFrame([("auto", ["car"])], "term string, canonicals array<string>"))

@@ -1,7 +1,8 @@
-"""A paged collection as a Python data source: one partition for each page, read until a page comes back short.
+"""A paged collection as a Python data source: one partition for each planned page, read until a page comes back short.
 
 ``format("paged").option("fetch", "module:function")`` names a function ``(resource, page, size) -> list of rows``;
-``pages`` is the number of pages to plan for (a reader stops at its own page, so an empty page costs one call).
+``pages`` is the number of pages to plan for: a reader stops at its own page, so an empty page costs one call, and the
+last one goes on to the end of the collection, so none is lost where there are more.
 """
 
 from __future__ import annotations
@@ -33,14 +34,22 @@ class PagedReader(DataSourceReader):
         self.options = dict(options)
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in range(1, int(self.options.get("pages", "1")) + 1)]
+        return [InputPartition(p) for p in range(1, self.pages() + 1)]
+
+    def pages(self) -> int:
+        return max(1, int(self.options.get("pages", "1")))
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         module, _, name = self.options["fetch"].partition(":")
         fetch = getattr(importlib.import_module(module), name)
-        resource = self.options.get("resource", "items")
-        for item in fetch(resource, partition.value, int(self.options.get("size", "100"))):
-            yield resource, partition.value, json.dumps(item)
+        resource, size, page = self.options.get("resource", "items"), int(self.options.get("size", "100")), partition.value
+        while True:
+            items = fetch(resource, page, size)
+            for item in items:
+                yield resource, page, json.dumps(item)
+            if page < self.pages() or len(items) < size:
+                return
+            page += 1
 
 
 def register(spark: SparkSession) -> None:
