@@ -107,6 +107,22 @@ def test_paged_source(spark):
     assert rows.select(F.max("page")).first()[0] == 3
 
 
+@pytest.mark.parametrize("most", [1, 2, 3, 4, 100])
+def test_mappings_in_parts_apply_in_order(spark, most):
+    rows = [("b", ["c"]), ("a", ["b"]), ("d", ["e", "f"]), ("c", ["d"]), ("g", ["g g"]), ("g", ["g g"]), ("é", ["z"]), ("h", [])]
+    q = spark.createDataFrame([(1, "a x"), (2, None), (3, "g é h")], "qid long, text string")
+    want = {r[0]: U.expanded(r[1] or "", sorted(rows)) for r in q.collect()}
+    got = U.expand_terms(q, spark.createDataFrame(rows, "term string, canonicals array<string>"), "text", most_mappings=most)
+    assert got.columns == ["qid", "text", "expanded"] and {r.qid: r.expanded for r in got.collect()} == want and want[1] == "(e OR f) x"
+    assert U.expand_terms(q, spark.createDataFrame([], "term string, canonicals array<string>"), "text", most_mappings=most).count() == 3
+
+
+def test_a_list_of_more_mappings_than_one_part_keeps_its_last(spark):
+    name = F.when(F.col("id") >= 100_000, F.array(F.concat(F.lit("n"), "id"))).otherwise(F.array().cast("array<string>"))  # those without names cost no time
+    maps = spark.range(100_001).select(F.format_string("t%06d", "id").alias("term"), name.alias("canonicals"))
+    assert U.expand_terms(spark.createDataFrame([("t100000 and t000000",)], "query string"), maps).first().expanded == "n100000 and t000000"
+
+
 @pytest.mark.parametrize(("pages", "size"), [(None, 100), (1, 10), (2, 50), (2, 115), (4, 100), (9, 100)])
 def test_paged_source_reads_past_the_planned_pages(spark, pages, size):
     paged.register(spark)

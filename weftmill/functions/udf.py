@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -134,15 +136,35 @@ def expanded(query: str, mappings: list[tuple[str, list[str]]]) -> str:
     return query
 
 
-def expand_terms(queries: DataFrame, mappings: DataFrame, column: str = "query") -> DataFrame:
-    """``queries`` with an ``expanded`` column; mappings (term, canonicals) are a curated list, taken in order of term."""
-    held = [(r["term"], list(r["canonicals"])) for r in mappings.orderBy("term").limit(100_000).collect()]
+def expand_terms(queries: DataFrame, mappings: DataFrame, column: str = "query", most_mappings: int = 100_000) -> DataFrame:
+    """``queries`` with an ``expanded`` column; mappings (term, canonicals) apply in order of term.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(expanded=[expanded(q or "", held) for q in batch[column]])
-
-    return queries.mapInPandas(run, f"{', '.join(f'`{n}` {t}' for n, t in queries.dtypes)}, expanded string")
+    The list is curated and small; it is counted, and beyond ``most_mappings`` taken in parts, each a pass over the queries
+    that starts from what the last one wrote.
+    """
+    spark, schema = queries.sparkSession, f"{', '.join(f'`{n}` {t}' for n, t in queries.dtypes)}, expanded string"
+    key = F.struct("term", "canonicals")
+    left, last, source = mappings.count(), None, column
+    while True:
+        rest = mappings if last is None else mappings.where(key > F.struct(F.lit(last["term"]), F.lit(last["canonicals"]).cast("array<string>")))
+        held = [(r["term"], list(r["canonicals"])) for r in rest.orderBy("term", "canonicals").limit(most_mappings).collect()]
+        if held and len(held) < left:  # the part ends after all rows equal to its last one
+            last = {"term": held[-1][0], "canonicals": held[-1][1]}
+            same = mappings.where((F.col("term") == last["term"]) & (F.col("canonicals") == F.lit(last["canonicals"]).cast("array<string>"))).count()
+            held += [held[-1]] * (same - held.count(held[-1]))
+
+        def run(batches: Iterator[pd.DataFrame], held=held, source=source) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch.assign(expanded=[expanded(q or "", held) for q in batch[source]])
+
+        queries = queries.mapInPandas(run, schema)
+        left -= len(held)
+        if not held or left <= 0:
+            return queries
+        root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='weftmill-expand-')}"
+        path = f"{root.rstrip('/')}/expand-{uuid.uuid4().hex}"  # so that only one part is held at a time
+        queries.write.parquet(path)
+        queries, source = spark.read.parquet(path), "expanded"
 
 
 def append_log(body: Column, line: Column) -> Column:
