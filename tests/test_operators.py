@@ -108,3 +108,10 @@ def test_code_parsers():
     assert P.ui5_units("a/test/x.js", "x") == [] and P.ui5_units("m.js", "  ") == []
     big = "go: function () {\n" + "x;\n" * 500 + "},\nstop() {\n}\n"
     assert [u["method"] for u in P.ui5_units("webapp/controller/R.controller.js", big)] == ["go", "stop"]
+
+
+def test_registered_fold_reaches_past_the_opening(spark, tmp_path):
+    from weftmill.plans.registry import QUERIES
+
+    spark.createDataFrame([(1, "x" * 250 + " É END ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["txt4_fold_whole"](spark, str(tmp_path)).first().folded == "x" * 250 + " e end"

@@ -56,6 +56,12 @@ def txt4_fold(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.fold_query(F.left("text", F.lit(200))).alias("folded"))
 
 
+@query("SELECT doc_id, translate(lower(trim(text)), 'áàâäãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy') AS folded FROM documents")
+def txt4_fold_whole(spark, sf_dir):
+    """Query folding of each whole document."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.fold_query(F.col("text")).alias("folded"))
+
+
 @query("""SELECT conv_id, turn, role AS type, CASE WHEN turn % 2 = 0 THEN role || '/t' || turn END AS topic, 'T' || conv_id AS title, 'B' || turn AS body FROM conversations""")
 def txt5_frontmatter(spark, sf_dir):
     """Front matter written for each turn, and read back as a map."""
