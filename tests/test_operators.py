@@ -115,3 +115,19 @@ def test_registered_fold_reaches_past_the_opening(spark, tmp_path):
 
     spark.createDataFrame([(1, "x" * 250 + " É END ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert QUERIES["txt4_fold_whole"](spark, str(tmp_path)).first().folded == "x" * 250 + " e end"
+
+
+def test_registered_two_hops_take_every_customer(spark, tmp_path):
+    from weftmill.plans.registry import QUERIES
+
+    orders = [(1, 500), (2, 500), (700, 500), (3, 7), (900, 8)] + [(k, 900) for k in range(1000, 1300)] + [(4, 900)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    near, want = {}, set()
+    for o, c in orders:
+        near.setdefault(c, set()).add(-o)
+        near.setdefault(-o, set()).add(c)
+    for root in {x for o, c in orders if o <= 100 for x in (c, -o)}:
+        one = near[root]
+        two = {x for n in one for x in near[n]} - one - {root}
+        want |= {(root, root, 0)} | {(root, x, 1) for x in one} | {(root, x, 2) for x in two}
+    assert sorted(tuple(r) for r in QUERIES["ret14_two_hops_whole"](spark, str(tmp_path)).collect()) == sorted(want)

@@ -187,6 +187,19 @@ def ret14_two_hops(spark, sf_dir):
     return S.hop(e, roots, 2)
 
 
+@query("""WITH e AS (SELECT o_custkey AS source, -o_orderkey AS target FROM orders), b AS (SELECT source, target FROM e UNION SELECT target, source FROM e), r AS (SELECT DISTINCT x.o_custkey AS root FROM orders x WHERE x.o_orderkey <= 100 UNION SELECT -o_orderkey FROM orders WHERE o_orderkey <= 100),
+n1 AS (SELECT DISTINCT root, target AS node FROM r JOIN b ON b.source = r.root), n2 AS (SELECT DISTINCT root, b.target AS node FROM n1 JOIN b ON b.source = n1.node),
+a AS (SELECT root, root AS node, 0 AS depth FROM r UNION ALL SELECT root, node, 1 FROM n1 UNION ALL SELECT root, node, 2 FROM n2) SELECT root, node, min(depth) AS depth FROM a GROUP BY root, node""")
+def ret14_two_hops_whole(spark, sf_dir):
+    """Everything within two undirected hops over all edges of customers and (negative) orders.
+
+    The query set is the first orders and their customers.
+    """
+    e = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source"), (-F.col("o_orderkey")).alias("target"))
+    asked = e.where("target >= -100")
+    return S.hop(e, asked.select(F.explode(F.array("source", "target")).alias("root")).distinct(), 2)
+
+
 @query(f"SELECT qid, count(*) AS n, string_agg('- d' || id || ': ' || score, chr(10) ORDER BY rank) AS answer FROM (SELECT qid, id, rank, CAST(CAST(floor(score * 100) AS BIGINT) AS VARCHAR) AS score FROM ({_BM25}) WHERE rank < 3) GROUP BY qid")
 def ret18_plain_answer(spark, sf_dir):
     """Hits as a plain answer."""
