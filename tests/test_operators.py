@@ -131,3 +131,17 @@ def test_registered_two_hops_take_every_customer(spark, tmp_path):
         two = {x for n in one for x in near[n]} - one - {root}
         want |= {(root, root, 0)} | {(root, x, 1) for x in one} | {(root, x, 2) for x in two}
     assert sorted(tuple(r) for r in QUERIES["ret14_two_hops_whole"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_positions_and_column_rows_of_whole_tables(spark):
+    import random
+
+    keys = [(i % 3 or None, i) for i in range(5000)]
+    random.Random(1).shuffle(keys)
+    rows = spark.createDataFrame(keys, "a long, b long")
+    got = {(r.a, r.b): r.position for r in B.positions(rows, [F.col("a"), F.col("b")]).collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys, key=lambda k: (k[0] or -1, k[1])))}
+    assert B.positions(rows.limit(0), [F.col("a")]).count() == 0
+    cards = rows.select(F.when(F.col("a") == 1, "Done").when(F.col("a") == 2, "Backlog").otherwise("Odd").alias("status"), F.col("b").alias("pos"), F.concat(F.lit("r"), "b").alias("ref"))
+    listed = {(r.ordinal, r.status, i, ref) for r in B.columns(cards).collect() for i, ref in enumerate(r.cards)}
+    assert {tuple(r) for r in B.column_rows(cards).select("ordinal", "status", "position", "ref").collect()} == listed

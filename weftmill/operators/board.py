@@ -50,6 +50,35 @@ def roll_up(tasks: DataFrame, key: str = "parent", status: str = "status") -> Da
     return tasks.groupBy(key).agg(done.alias("done"), total.alias("total"), F.when(total > 0, F.floor(done * 100 / total + 0.5)).otherwise(0).cast("long").alias("percent"))
 
 
+def positions(rows: DataFrame, keys: list[Column], parts: int = 64) -> DataFrame:
+    """``rows`` with a ``position`` from 0 in the order of whole numbers, nulls first: ranges of a sampled order are ranked
+    one by one and moved by what the ranges before them hold, so no task sorts all rows."""
+    key = F.struct(*[F.coalesce(k.cast("long"), F.lit(-(1 << 63))).alias(f"k{i}") for i, k in enumerate(keys)])
+    keyed = rows.withColumn("_key", key)
+    n = keyed.count()
+    drawn = sorted(tuple(r[0]) for r in keyed.sample(min(1.0, 32 * parts / max(n, 1)), 7).select("_key").collect())  # about 32 a range
+    bounds = sorted({drawn[i * len(drawn) // parts] for i in range(1, parts)}) if drawn else []
+    at = sum((F.when(F.col("_key") >= F.struct(*[F.lit(v).cast("long").alias(f"k{i}") for i, v in enumerate(b)]), 1).otherwise(0) for b in bounds), F.lit(0))
+    keyed = keyed.withColumn("_range", at)
+    before, sizes = 0, []
+    held = {r["_range"]: r["n"] for r in keyed.groupBy("_range").agg(F.count("*").alias("n")).collect()}
+    for i in range(len(bounds) + 1):
+        sizes.append(before)
+        before += held.get(i, 0)
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_key")).cast("long") - 1
+    return keyed.withColumn("position", within + F.get(F.array(*[F.lit(s).cast("long") for s in sizes]), F.col("_range"))).drop("_key", "_range")
+
+
+def column_rows(cards: DataFrame, status: str = "status", pos: str = "pos", ref: str = "ref") -> DataFrame:
+    """The cards of ``columns`` as rows ``ordinal, status, position, ref``, for boards of any size."""
+    known = F.array_position(F.array(*[F.lit(s) for s in R.COLUMNS.values()]), F.col(status))
+    seen = cards.groupBy(status).agg(F.min(pos).alias("seen"), F.count("*").alias("n"))
+    order = Window.orderBy(F.when(known > 0, known).otherwise(F.lit(1000)), "seen")  # one row a status
+    heads = seen.select(F.row_number().over(order).alias("ordinal"), status, (F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("start"))
+    ranked = positions(cards.join(heads, status), [F.col("ordinal"), F.col(pos)])
+    return ranked.select("ordinal", status, (F.col("position") - F.col("start")).alias("position"), ref)
+
+
 def columns(cards: DataFrame, status: str = "status", pos: str = "pos", ref: str = "ref") -> DataFrame:
     """Board columns: known states first in their order, then others as first seen; cards in order within."""
     known = F.array_position(F.array(*[F.lit(s) for s in R.COLUMNS.values()]), F.col(status))

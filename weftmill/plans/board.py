@@ -50,6 +50,13 @@ def srt6_natural_order(spark, sf_dir):
     return rows.select("ref", (F.row_number().over(Window.partitionBy(F.regexp_extract("ref", r"^(G\d+)", 1)).orderBy(*B.natural(F.col("ref")))) - 1).alias("position"))
 
 
+@query(f"SELECT ref, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS position FROM ({_TICKETS})")
+def srt6_natural_order_whole(spark, sf_dir):
+    """Natural numeric order of all references."""
+    rows = _tickets(spark, sf_dir)
+    return B.positions(rows.select("ref"), [F.regexp_extract("ref", rf"{c}(\d+)", 1).try_cast("long") for c in "GST"]).select("ref", "position")
+
+
 @query(f"SELECT parent, count(*) FILTER (status IN ('done', 'approved')) AS done, count(*) AS total, CAST(floor(count(*) FILTER (status IN ('done', 'approved')) * 100.0::DOUBLE / count(*) + 0.5) AS BIGINT) AS percent FROM ({_TICKETS}) GROUP BY parent")
 def agg8_roll_up(spark, sf_dir):
     """Done, total and percent of each spec's tickets."""
@@ -72,6 +79,17 @@ def agg9_columns(spark, sf_dir):
     return B.columns(table(spark, sf_dir, "orders").where("o_custkey <= 30").select(F.col("o_orderkey").alias("pos"), status.alias("status"), F.concat(F.lit("r"), "o_orderkey").alias("ref")))
 
 
+@query("""WITH c AS (SELECT o_orderkey AS pos, CASE o_orderpriority WHEN '1-URGENT' THEN 'Done' WHEN '2-HIGH' THEN 'Backlog' WHEN '3-MEDIUM' THEN 'Someday' ELSE 'In Review' END AS status, 'r' || o_orderkey AS ref FROM orders),
+g AS (SELECT status, min(pos) AS seen FROM c GROUP BY status),
+o AS (SELECT row_number() OVER (ORDER BY CASE status WHEN 'Backlog' THEN 1 WHEN 'Done' THEN 3 WHEN 'In Review' THEN 4 ELSE 1000 END, seen) AS ordinal, status FROM g)
+SELECT ordinal, status, row_number() OVER (PARTITION BY status ORDER BY pos) - 1 AS position, ref FROM c JOIN o USING (status)""")
+def agg9_columns_whole(spark, sf_dir):
+    """Board columns in their order with all their cards, one row a card."""
+    p = F.col("o_orderpriority")
+    status = F.when(p == "1-URGENT", "Done").when(p == "2-HIGH", "Backlog").when(p == "3-MEDIUM", "Someday").otherwise("In Review")
+    return B.column_rows(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), status.alias("status"), F.concat(F.lit("r"), "o_orderkey").alias("ref")))
+
+
 _CARDS = f"SELECT ref || CASE WHEN o_orderkey % 3 = 0 THEN ': title' ELSE '' END AS title, ref, status, CASE o_orderkey % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'in_review' END AS wanted FROM ({_TICKETS}) WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0"
 
 
