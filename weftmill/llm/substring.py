@@ -6,41 +6,44 @@ don't overlap). A name is a 64-bit digest of what it stands for, so every task n
 around. Each symbol carries its dependency extent: the words that decide that it stands there. Equal windows therefore
 hold the same symbols wherever the extent lies within the window; only symbols at the borders may differ.
 
-Round 1, reveal: each window of ``width`` words chooses, of the symbols that it determines, the one with the smallest
-mixed name, which stands for the words of its extent (a window that determines none stands for itself). The chosen
-names meet in a Spark exchange, one row for each name and batch, and a name seen in one document only is dropped: no
-window that chose it can repeat elsewhere.
-
-Round 2, verify: documents with shared names give the 96-bit digest of each window that chose one; equal windows choose
-equal names, so all occurrences meet, and the smallest doc_id of each is known.
-
-Round 3: windows whose digest starts in a smaller doc_id cover the words that go; the rest is joined again.
-
-Documents with the very text of an earlier one are set aside before round 1 (all their windows start there), so copies
-cost a digest each.
-
-Rows are gathered by batch before each exchange, so a passage that a third of all documents share costs one row a batch.
+Spark rounds, one for each level of symbols. In round ``r`` each window that is still alive chooses, of the symbols of
+level ``r`` that it determines, the one with the smallest mixed name, which stands for the words of its extent (a window
+that determines none stands for itself). The chosen names are grouped over the whole corpus, and a name that stands in
+one document only ends every window that chose it: it can't repeat elsewhere. The names that are left go back to the
+buckets they came from, and only their windows climb to the next level.
+
+Verify: the windows alive after the last round give two independent 64-bit digests of their words; all occurrences of a
+window meet, and the smallest doc_id of each is known. Cut: windows that start in a smaller doc_id cover the words that
+go; both digests (128 bits) are compared there.
+
+How the rows move. Documents are dealt to buckets of about ``bucket_bytes`` by a hash of id and text, and the texts are
+exchanged once, by bucket. What is known of a name or a window goes to buckets, not to documents: a passage that a third
+of all documents share is one row a bucket when it is grouped, whatever the number of documents. Exact copies of a text
+cost no more than their share of a map-side minimum: the (id, digest) of each text's first document is sent to that
+document's own bucket, every row that finds no such note is a copy, and nothing is joined on the text's digest.
 
 Words: ``[^\\x20\\x09-\\x0D]+``, unchanged. Defined edge cases: a null text has no words; a document without an id loses
 nothing and is no one's source; rows with equal doc_id are one document to each other (nothing is removed for their
-sake) and are cut each; other columns are left alone.
+sake) and are cut each; a very long text is one row of its bucket and is processed whole; an empty table gives no rows;
+other columns are left alone.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmill.llm.common import arrow_schema, per_text, slices, texts
+from weftmill.llm.common import arrow_schema, per_text, texts
 
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _P, _Q = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
+NOTE = "bucket int, kind int, a long, b long, c long, key binary"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,11 +53,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Digests(dict):
+    """Digests of words, kept while they are few."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+_DIGEST = _Digests()
+
+
 def symbols(text: str | None) -> tuple[list[bytes], np.ndarray]:
     """The words of a text and their digests."""
     words = (text or "").encode("utf-8", "surrogatepass").split()
-    digest = xxhash.xxh64_intdigest
-    return words, np.fromiter((digest(w) for w in words), dtype=np.uint64, count=len(words))
+    return words, np.fromiter(map(_DIGEST.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def recompress(s: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,13 +100,13 @@ def recompress(s: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def window_digests(s: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two digests (64 and 32 bits) of the windows that start at ``at``."""
+    """Two independent 64-bit digests of the windows that start at ``at``."""
+    other = mix(s + _C)
     h, g = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=np.uint64)
     for k in range(width):
-        w = s[at + k]
-        h = h * _P + w
-        g = g * _Q + (w ^ (w >> np.uint64(29)))
-    return mix(h), (mix(g) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        h = h * _P + s[at + k]
+        g = g * _Q + other[at + k]
+    return mix(h), mix(g)
 
 
 def spans_digest(s: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -104,7 +119,7 @@ def spans_digest(s: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndar
 
 
 def choices(s: np.ndarray, at: np.ndarray, width: int, rounds: int) -> np.ndarray:
-    """What each window starting at ``at`` chooses: a function of the window's words alone.
+    """What each window starting at ``at`` (ascending) chooses: a function of the window's words alone.
 
     The window takes, of the symbols that it determines, the one with the smallest mixed name. The symbol stands for
     its whole dependency extent, whose words are all in the window: common words alone don't bring documents together.
@@ -113,8 +128,9 @@ def choices(s: np.ndarray, at: np.ndarray, width: int, rounds: int) -> np.ndarra
     rank = mix(name + _C)
     low = np.searchsorted(first, at, side="left")
     high = np.searchsorted(after, at + width, side="right")
-    out = window_digests(s, at, width)[0] ^ _C
     some = high > low
+    out = np.zeros(len(at), dtype=np.uint64)
+    out[~some] = window_digests(s, at[~some], width)[0] ^ _C
     low, high = low[some], high[some]
     if len(low):
         best, table, step = np.zeros(len(low), dtype=np.int64), np.arange(len(rank)), 1
@@ -134,105 +150,125 @@ def choices(s: np.ndarray, at: np.ndarray, width: int, rounds: int) -> np.ndarra
 
 
 def _starts(lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Window starts in a batch joined with one separator after each document, and the document of each."""
+    """Window starts in texts joined with one separator after each document, and the document of each."""
     base = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
     count = np.maximum(lengths - width + 1, 0)
     doc = np.repeat(np.arange(len(lengths)), count)
     return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + base[doc], doc
 
 
-def _gathered(key: list[np.ndarray], doc_id: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, pa.Array]:
-    """One row for each key of a batch: the keys, smallest and largest doc_id, and the ids but the smallest (null if none)."""
+def _gathered(key: list[np.ndarray], doc_id: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """One row for each key of a bucket: the keys, the smallest doc_id, and whether there are several doc_ids."""
     order = np.lexsort((doc_id, *key[::-1]))
     key, doc_id = [k[order] for k in key], doc_id[order]
-    fresh = np.ones(len(doc_id), dtype=bool)
-    same = np.ones(max(0, len(doc_id) - 1), dtype=bool)
+    start = np.zeros(len(doc_id), dtype=bool)
+    start[:1] = True
     for k in key:
-        same &= k[1:] == k[:-1]
-    fresh[1:] = ~(same & (doc_id[1:] == doc_id[:-1]))
-    start = np.concatenate([[True], ~same])[: len(doc_id)]
-    start, doc_id, key = start[fresh], doc_id[fresh], [k[fresh] for k in key]
+        start[1:] |= k[1:] != k[:-1]
     begin = np.flatnonzero(start)
-    end = np.append(begin[1:], len(doc_id)) if len(begin) else begin
-    several = end - begin > 1
-    size = end - begin - 1
-    inner = doc_id[~start]
-    offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), mask=np.append(~several, False))
-    rest = pa.ListArray.from_arrays(offsets, pa.array(inner, type=pa.int64()))
-    return [k[begin] for k in key], doc_id[begin], doc_id[end - 1] if len(begin) else doc_id, rest
-
-
-def _batch(batch: pa.RecordBatch, rows: np.ndarray | None = None):
-    texts_ = batch.column("text").to_pylist()
-    found = [symbols(t)[1] for t in texts_]
-    lengths = np.array([len(f) for f in found], dtype=np.int64)
-    gap = np.zeros(1, dtype=np.uint64)
-    joined = np.concatenate([x for f in found for x in (f, gap)]) if found else gap
-    return joined, lengths
-
-
-def reveal(docs: DataFrame, width: int, rounds: int) -> DataFrame:
-    """Chosen names by batch: ``name, low, high, rest`` (documents with an id only)."""
-    ddl = "name long, low long, high long, rest array<long>"
-    schema = arrow_schema(ddl)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=6 << 20):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            joined, lengths = _batch(batch)
-            at, doc = _starts(lengths, width)
+    end = np.append(begin[1:], len(doc_id))[: len(begin)]
+    return [k[begin] for k in key], doc_id[begin], doc_id[begin] != doc_id[end - 1]
+
+
+class _Bucket:
+    """The texts of one bucket and what has been noted about them."""
+
+    def __init__(self, docs: pa.Table, notes: pa.Table):
+        self.ids = docs.column("doc_id").to_numpy()
+        self.texts = docs.column("text").to_pylist()
+        self.keys = docs.column("key").to_pylist()
+        self.number = docs.column("bucket")[0].as_py() if docs.num_rows else 0
+        kind = notes.column("kind").to_numpy()
+        self.values = {k: [notes.column(c).to_numpy()[kind == k].view(np.uint64) for c in "abc"] for k in np.unique(kind).tolist()}
+        mine = np.flatnonzero(kind == 0)
+        ids, keys = notes.column("a").to_numpy(), notes.column("key")
+        self.firsts = {(int(ids[i]), keys[int(i)].as_py()) for i in mine}
+
+    def fresh(self) -> list[int]:
+        """The rows that are the first of their text, one for each."""
+        return list({p: i for i, p in reversed(list(enumerate(zip(self.ids.tolist(), self.keys, strict=True)))) if p in self.firsts}.values())
+
+    def alive(self, width: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of the fresh texts, and the starts and doc_ids of the windows that ``rounds`` rounds have left."""
+        rows = self.fresh()
+        found = [symbols(self.texts[i])[1] for i in rows]
+        gap = np.zeros(1, dtype=np.uint64)
+        joined = np.concatenate([x for f in found for x in (f, gap)]) if found else gap
+        at, doc = _starts(np.array([len(f) for f in found], dtype=np.int64), width)
+        for r in range(1, rounds + 1):
             if not len(at):
-                continue
-            name = choices(joined, at, width, rounds)
-            turn = np.concatenate([[True], (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])])
-            (name,), low, high, rest = _gathered([name[turn]], ids[doc[turn]])
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(low), pa.array(high), rest.cast(schema.field("rest").type)], schema=schema)
+                break
+            kept = np.isin(choices(joined, at, width, r), self.values[r][0] if r in self.values else gap[:0])
+            at, doc = at[kept], doc[kept]
+        return joined, at, self.ids[rows][doc] if len(at) else np.zeros(0, dtype=np.int64)
+
+
+def _places(number: int, several: np.ndarray) -> pa.Array:
+    """Where a row comes from: twice the bucket, and one more if several documents there have it."""
+    return pa.array((2 * number + several).astype(np.int32))
+
 
-    return docs.mapInArrow(run, ddl)
+def reveal(met: Callable, notes: DataFrame, width: int, level: int) -> DataFrame:
+    """Notes (kind ``level``) of the level's chosen names that stand in more than one document."""
+    schema = arrow_schema("name long, place int")
 
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        bucket = _Bucket(docs, known)
+        joined, at, ids = bucket.alive(width, level - 1)
+        name = choices(joined, at, width, level) if len(at) else np.zeros(0, dtype=np.uint64)
+        (name,), _, several = _gathered([name], ids)
+        return pa.Table.from_arrays([pa.array(name.view(np.int64)), _places(bucket.number, several)], schema=schema)
 
-def verify(docs: DataFrame, width: int, rounds: int) -> DataFrame:
-    """Digests of the windows that chose a shared name, by batch: ``h, g, low, high, rest``."""
-    ddl = "h long, g int, low long, high long, rest array<long>"
+    every = met(notes, run, "name long, place int").groupBy("name").agg(F.collect_list("place").alias("places"))
+    shared = every.where("size(places) > 1 OR places[0] % 2 = 1").select("name", F.explode("places").alias("place"))
+    return shared.select(F.expr("place div 2").cast("int").alias("bucket"), F.lit(level).alias("kind"), F.col("name").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), F.lit(None).cast("binary").alias("key"))
+
+
+def verify(met: Callable, notes: DataFrame, width: int, rounds: int) -> DataFrame:
+    """Notes (kind -1) of the windows that start in several documents: both digests and the smallest doc_id."""
+    ddl = "h long, g long, low long, place int"
     schema = arrow_schema(ddl)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=6 << 20):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            names = batch.column("names")
-            joined, lengths = _batch(batch)
-            at, doc = _starts(lengths, width)
-            if not len(at):
-                continue
-            chosen = choices(joined, at, width, rounds).view(np.int64)
-            edge = np.searchsorted(doc, np.arange(len(ids) + 1))
-            mine = np.zeros(len(at), dtype=bool)
-            for i in range(len(ids)):
-                mine[edge[i] : edge[i + 1]] = np.isin(chosen[edge[i] : edge[i + 1]], names[i].values.to_numpy(zero_copy_only=False))
-            at, doc = at[mine], doc[mine]
-            if not len(at):
-                continue
-            (h, g), low, high, rest = _gathered(list(window_digests(joined, at, width)), ids[doc])
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g), pa.array(low), pa.array(high), rest.cast(schema.field("rest").type)], schema=schema)
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        bucket = _Bucket(docs, known)
+        joined, at, ids = bucket.alive(width, rounds)
+        (h, g), low, several = _gathered(list(window_digests(joined, at, width)), ids)
+        return pa.Table.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(low), _places(bucket.number, several)], schema=schema)
 
-    return docs.mapInArrow(run, ddl)
+    every = met(notes, run, ddl).groupBy("h", "g").agg(F.min("low").alias("least"), F.collect_list(F.struct("place", "low")).alias("places"))
+    told = every.where("size(places) > 1 OR places[0].place % 2 = 1").select("h", "g", "least", F.explode("places").alias("p")).where("p.low > least OR p.place % 2 = 1")
+    return told.select(F.expr("p.place div 2").cast("int").alias("bucket"), F.lit(-1).alias("kind"), F.col("h").alias("a"), F.col("g").alias("b"), F.col("least").alias("c"), F.lit(None).cast("binary").alias("key"))
 
 
-def _members() -> F.Column:
-    return F.explode(F.concat(F.array("low"), F.coalesce("rest", F.array().cast("array<long>")))).alias("doc_id")
+class _Gone:
+    """The windows that other documents start with: ``(h, g) -> smallest doc_id``."""
 
+    def __init__(self, h: np.ndarray, g: np.ndarray, least: np.ndarray):
+        order = np.lexsort((g, h))
+        self.h, self.g, self.least = h[order], g[order], least[order].view(np.int64)
+        size = np.diff(np.flatnonzero(np.concatenate([[True], self.h[1:] != self.h[:-1], [True]]))) if len(h) else np.zeros(1)
+        self.most = int(size.max())
 
-def cut(text: str | None, copy: bool, gone: np.ndarray | None, width: int) -> tuple[list[bytes], int]:
-    """The words that stay, and how many go, given the digests of the windows that start in a smaller document.
+    def hits(self, h: np.ndarray, g: np.ndarray, doc_id: int) -> np.ndarray:
+        if not len(self.h):
+            return np.zeros(len(h), dtype=bool)
+        out = np.zeros(len(h), dtype=bool)
+        at = np.searchsorted(self.h, h)
+        for k in range(self.most):  # more than one only where the first digests of two windows are equal
+            i = np.minimum(at + k, len(self.h) - 1)
+            out |= (self.h[i] == h) & (self.g[i] == g) & (self.least[i] < doc_id)
+        return out
 
-    Of a copy of an earlier document every window goes, and so does every word if there is a window at all.
-    """
-    if copy or gone is None or not len(gone):
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        return ([], len(words)) if copy and len(words) >= width else (words, 0)
+
+def cut(text: str | None, doc_id: int, gone: _Gone, width: int) -> tuple[list[bytes], int]:
+    """The words that stay, and how many go, of a text that is the first of its kind."""
     words, s = symbols(text)
     at = np.arange(max(0, len(words) - width + 1))
-    hit = at[np.isin(window_digests(s, at, width)[0].view(np.int64), gone)]
+    if not len(at) or not len(gone.h):
+        return words, 0
+    hit = at[gone.hits(*window_digests(s, at, width), doc_id)]
+    if not len(hit):
+        return words, 0
     cover = np.zeros(len(words) + 1, dtype=np.int64)
     np.add.at(cover, hit, 1)
     np.add.at(cover, hit + width, -1)
@@ -240,56 +276,54 @@ def cut(text: str | None, copy: bool, gone: np.ndarray | None, width: int) -> tu
     return [w for w, k in zip(words, keep.tolist(), strict=True) if k], int((~keep).sum())
 
 
-def removals(docs: DataFrame, width: int = 13, rounds: int = 1) -> DataFrame:
-    """``doc_id, text, copy, gone``: every row, whether an earlier document has its very text, and else the digests of
-    the windows that start in a smaller doc_id (null: none).
-
-    The texts are exchanged by doc_id once; the same exchange serves the three joins, whose other sides grow with the
-    input and are therefore merged, not broadcast, at every size.
-    """
+def _processed(docs: DataFrame, emit: Callable[[list[bytes], int], tuple], ddl: str, width: int, rounds: int, bucket_bytes: int) -> DataFrame:
+    """``doc_id`` and what ``emit`` makes of the kept words and the number of removed ones, for every row."""
     every = texts(docs)
-    named = every.where("doc_id is not null").withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
-    keys = every.where("doc_id is not null").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"))
-    first = keys.groupBy("key").agg(F.min("doc_id").alias("least"))
-    copies = keys.join(first.hint("merge"), "key").where("doc_id > least").groupBy("doc_id").agg(F.collect_set("key").alias("copied"))
-    flagged = named.join(copies.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce(F.array_contains("copied", F.col("key")), F.lit(False)).alias("copy"))
-    fresh = flagged.where("NOT copy").select("doc_id", "text")
-    by_name = Window.partitionBy("name")
-    met = reveal(fresh, width, rounds).withColumn("least", F.min("low").over(by_name)).withColumn("most", F.max("high").over(by_name)).where("least < most")
-    shared = met.select("name", _members()).groupBy("doc_id").agg(F.collect_list("name").alias("names"))
-    suspects = fresh.join(shared.hint("merge"), "doc_id")
-    by_digest = Window.partitionBy("h", "g")
-    equal = verify(suspects.select("doc_id", "text", "names"), width, rounds).withColumn("least", F.min("low").over(by_digest)).where("high > least")
-    gone = equal.select("h", "least", _members()).where("doc_id > least").groupBy("doc_id").agg(F.collect_list("h").alias("gone"))
-    unnamed = every.where("doc_id is null").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<long>").alias("gone"))
-    return flagged.join(gone.hint("merge"), "doc_id", "left").select("doc_id", "text", "copy", "gone").unionByName(unnamed)
-
-
-def _gone(column: pa.Array, i: int) -> np.ndarray | None:
-    v = column[i]
-    return v.values.to_numpy(zero_copy_only=False) if v.is_valid else None
-
-
-def deduplicate(docs: DataFrame, width: int = 13, rounds: int = 1) -> DataFrame:
-    """``doc_id, text`` of every row, without the words that repeat an earlier document (kept words joined by a space)."""
+    total = every.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    buckets = max(-(-total // bucket_bytes), 4 * tasks)  # several a task, so that tasks are even
+    of = F.pmod(F.xxhash64("doc_id", "key"), F.lit(buckets)).cast("int").alias("bucket")
+    key = F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key")
+    named = every.where("doc_id is not null")
+    place = named.select("doc_id", "text", key).select(of, "doc_id", "text", "key").groupBy("bucket")
+    none = F.lit(0).cast("long")
+    first = named.select("doc_id", key).groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    notes = first.select(of, F.lit(0).alias("kind"), F.col("doc_id").alias("a"), none.alias("b"), none.alias("c"), "key")
+
+    def met(known: DataFrame, fn: Callable, schema: str) -> DataFrame:
+        return place.cogroup(known.groupBy("bucket")).applyInArrow(fn, schema)
+
+    for level in range(1, rounds + 1):
+        notes = notes.unionByName(reveal(met, notes, width, level))
+    notes = first.select(of, F.lit(0).alias("kind"), F.col("doc_id").alias("a"), none.alias("b"), none.alias("c"), "key").unionByName(verify(met, notes, width, rounds))
+    schema = arrow_schema(ddl)
 
-    def run(batch) -> dict:
-        kept = [b" ".join(cut(t, copy, _gone(batch.column("gone"), i), width)[0]).decode("utf-8", "surrogatepass") for i, (t, copy) in enumerate(zip(batch.column("text").to_pylist(), batch.column("copy").to_pylist(), strict=True))]
-        return {"doc_id": batch.column("doc_id"), "text": kept}
+    def final(docs: pa.Table, known: pa.Table) -> pa.Table:
+        bucket = _Bucket(docs, known)
+        gone = _Gone(*bucket.values[-1]) if -1 in bucket.values else _Gone(*[np.zeros(0, dtype=np.uint64)] * 3)
+        rows = []
+        for doc_id, text, own in zip(bucket.ids.tolist(), bucket.texts, bucket.keys, strict=True):
+            if (doc_id, own) in bucket.firsts:
+                kept, removed = cut(text, doc_id, gone, width)
+            else:  # a copy: all its windows start in the first document of its text
+                words = (text or "").encode("utf-8", "surrogatepass").split()
+                kept, removed = ([], len(words)) if len(words) >= width else (words, 0)
+            rows.append((doc_id, *emit(kept, removed)))
+        columns = zip(*rows, strict=True) if rows else [[] for _ in schema.names]
+        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return per_text(removals(docs, width, rounds), run, "doc_id long, text string")
+    def whole(batch) -> dict:
+        out = [emit((t or "").encode("utf-8", "surrogatepass").split(), 0) for t in batch.column("text").to_pylist()]
+        return {"doc_id": batch.column("doc_id"), **dict(zip(schema.names[1:], map(list, zip(*out, strict=True)), strict=True))}
 
+    return met(notes, final, ddl).unionByName(per_text(every.where("doc_id is null"), whole, ddl))
 
-def report(docs: DataFrame, width: int = 13, rounds: int = 1) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256`` of every row."""
 
-    def run(batch) -> dict:
-        out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": []}
-        for i, (t, copy) in enumerate(zip(batch.column("text").to_pylist(), batch.column("copy").to_pylist(), strict=True)):
-            kept, removed = cut(t, copy, _gone(batch.column("gone"), i), width)
-            out["n_words"].append(len(kept) + removed)
-            out["n_removed"].append(removed)
-            out["kept_sha256"].append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        return {"doc_id": batch.column("doc_id"), **out}
+def deduplicate(docs: DataFrame, width: int = 13, rounds: int = 2, bucket_bytes: int = 8 << 20) -> DataFrame:
+    """``doc_id, text`` of every row, without the words that repeat an earlier document (kept words joined by a space)."""
+    return _processed(docs, lambda kept, removed: (b" ".join(kept).decode("utf-8", "surrogatepass"),), "doc_id long, text string", width, rounds, bucket_bytes)
+
 
-    return per_text(removals(docs, width, rounds), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+def report(docs: DataFrame, width: int = 13, rounds: int = 2, bucket_bytes: int = 8 << 20) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` of every row."""
+    return _processed(docs, lambda kept, removed: (len(kept) + removed, removed, hashlib.sha256(b" ".join(kept)).hexdigest()), "doc_id long, n_words long, n_removed long, kept_sha256 string", width, rounds, bucket_bytes)
