@@ -53,23 +53,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Digests(dict):
-    """Digests of words, kept while they are few."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_DIGEST = _Digests()
-
-
-def symbols(text: str | None) -> tuple[list[bytes], np.ndarray]:
-    """The words of a text and their digests."""
-    words = (text or "").encode("utf-8", "surrogatepass").split()
-    return words, np.fromiter(map(_DIGEST.__getitem__, words), dtype=np.uint64, count=len(words))
+_GAP = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", dtype=np.uint8))
+_LONG = 64  # bytes: longer words are named by a library digest
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _C)
+_POWER = np.cumprod(np.full(_LONG, _Q))
+
+
+def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the words of all texts, each text followed by one zero, and the number of words of each."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    joined = b"\n".join(raw)
+    data = np.frombuffer(joined, dtype=np.uint8)
+    gap = _GAP[data]
+    edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=1, append=1))
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    ends = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1)
+    count = np.diff(np.searchsorted(start, ends), prepend=0)
+    out = np.zeros(len(start) + len(raw), dtype=np.uint64)
+    if len(start):
+        body = data[~gap]
+        first = np.cumsum(size) - size
+        place = np.minimum(np.arange(len(body)) - np.repeat(first, size), _LONG - 1)
+        name = mix(np.add.reduceat(_BYTE[body] * _POWER[place], first) + size.astype(np.uint64) * _C)
+        for i in np.flatnonzero(size > _LONG).tolist():
+            name[i] = xxhash.xxh64_intdigest(joined[start[i] : start[i] + size[i]])
+        out[np.arange(len(start)) + np.repeat(np.arange(len(raw)), count)] = name
+    return out, count
 
 
 def recompress(s: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,8 +135,8 @@ def choices(s: np.ndarray, at: np.ndarray, width: int, rounds: int) -> np.ndarra
     """
     name, first, after = recompress(s, rounds)
     rank = mix(name + _C)
-    low = np.searchsorted(first, at, side="left")
-    high = np.searchsorted(after, at + width, side="right")
+    low = np.cumsum(np.bincount(first + 1, minlength=len(s) + 1))[at]  # symbols whose extent starts before the window
+    high = np.cumsum(np.bincount(after, minlength=len(s) + 2))[at + width]  # and those whose extent ends by its end
     some = high > low
     out = np.zeros(len(at), dtype=np.uint64)
     out[~some] = window_digests(s, at[~some], width)[0] ^ _C
@@ -159,15 +168,27 @@ def _starts(lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _gathered(key: list[np.ndarray], doc_id: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """One row for each key of a bucket: the keys, the smallest doc_id, and whether there are several doc_ids."""
-    order = np.lexsort((doc_id, *key[::-1]))
+    order = np.argsort(key[0])
+    for first, other in zip(key, key[1:], strict=False):  # equal first digests of different windows: sort by both
+        if ((first[order][1:] == first[order][:-1]) & (other[order][1:] != other[order][:-1])).any():
+            order = np.lexsort(key[::-1])
     key, doc_id = [k[order] for k in key], doc_id[order]
     start = np.zeros(len(doc_id), dtype=bool)
     start[:1] = True
     for k in key:
         start[1:] |= k[1:] != k[:-1]
     begin = np.flatnonzero(start)
-    end = np.append(begin[1:], len(doc_id))[: len(begin)]
-    return [k[begin] for k in key], doc_id[begin], doc_id[begin] != doc_id[end - 1]
+    if not len(begin):
+        return key, doc_id, start
+    low = np.minimum.reduceat(doc_id, begin)
+    return [k[begin] for k in key], low, low != np.maximum.reduceat(doc_id, begin)
+
+
+def _turns(name: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Where a new name or document starts: neighbouring windows mostly choose the same symbol."""
+    turn = np.ones(len(name), dtype=bool)
+    turn[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
+    return turn
 
 
 class _Bucket:
@@ -188,17 +209,15 @@ class _Bucket:
         """The rows that are the first of their text, one for each."""
         return list({p: i for i, p in reversed(list(enumerate(zip(self.ids.tolist(), self.keys, strict=True)))) if p in self.firsts}.values())
 
-    def alive(self, width: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols of the fresh texts, and the starts and doc_ids of the windows that ``rounds`` rounds have left."""
+    def alive(self, width: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of the fresh texts, and the starts and doc_ids of the windows whose name of ``level`` is shared (0: all)."""
         rows = self.fresh()
-        found = [symbols(self.texts[i])[1] for i in rows]
-        gap = np.zeros(1, dtype=np.uint64)
-        joined = np.concatenate([x for f in found for x in (f, gap)]) if found else gap
-        at, doc = _starts(np.array([len(f) for f in found], dtype=np.int64), width)
-        for r in range(1, rounds + 1):
-            if not len(at):
-                break
-            kept = np.isin(choices(joined, at, width, r), self.values[r][0] if r in self.values else gap[:0])
+        joined, lengths = symbols([self.texts[i] for i in rows])
+        at, doc = _starts(lengths, width)
+        if level and len(at):
+            name = choices(joined, at, width, level)
+            turn = _turns(name, doc)
+            kept = np.isin(name[turn], self.values[level][0] if level in self.values else joined[:0])[np.cumsum(turn) - 1]
             at, doc = at[kept], doc[kept]
         return joined, at, self.ids[rows][doc] if len(at) else np.zeros(0, dtype=np.int64)
 
@@ -216,7 +235,8 @@ def reveal(met: Callable, notes: DataFrame, width: int, level: int) -> DataFrame
         bucket = _Bucket(docs, known)
         joined, at, ids = bucket.alive(width, level - 1)
         name = choices(joined, at, width, level) if len(at) else np.zeros(0, dtype=np.uint64)
-        (name,), _, several = _gathered([name], ids)
+        turn = _turns(name, ids)
+        (name,), _, several = _gathered([name[turn]], ids[turn])
         return pa.Table.from_arrays([pa.array(name.view(np.int64)), _places(bucket.number, several)], schema=schema)
 
     every = met(notes, run, "name long, place int").groupBy("name").agg(F.collect_list("place").alias("places"))
@@ -249,31 +269,40 @@ class _Gone:
         size = np.diff(np.flatnonzero(np.concatenate([[True], self.h[1:] != self.h[:-1], [True]]))) if len(h) else np.zeros(1)
         self.most = int(size.max())
 
-    def hits(self, h: np.ndarray, g: np.ndarray, doc_id: int) -> np.ndarray:
-        if not len(self.h):
-            return np.zeros(len(h), dtype=bool)
+    def hits(self, h: np.ndarray, g: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+        """Which windows (by digests and own doc_id) start in a smaller doc_id."""
         out = np.zeros(len(h), dtype=bool)
-        at = np.searchsorted(self.h, h)
-        for k in range(self.most):  # more than one only where the first digests of two windows are equal
-            i = np.minimum(at + k, len(self.h) - 1)
-            out |= (self.h[i] == h) & (self.g[i] == g) & (self.least[i] < doc_id)
+        if len(self.h):
+            at = np.searchsorted(self.h, h)
+            for k in range(self.most):  # more than one only where the first digests of two windows are equal
+                i = np.minimum(at + k, len(self.h) - 1)
+                out |= (self.h[i] == h) & (self.g[i] == g) & (self.least[i] < doc_id)
         return out
 
 
-def cut(text: str | None, doc_id: int, gone: _Gone, width: int) -> tuple[list[bytes], int]:
-    """The words that stay, and how many go, of a text that is the first of its kind."""
-    words, s = symbols(text)
-    at = np.arange(max(0, len(words) - width + 1))
-    if not len(at) or not len(gone.h):
-        return words, 0
-    hit = at[gone.hits(*window_digests(s, at, width), doc_id)]
-    if not len(hit):
-        return words, 0
-    cover = np.zeros(len(words) + 1, dtype=np.int64)
-    np.add.at(cover, hit, 1)
-    np.add.at(cover, hit + width, -1)
-    keep = np.cumsum(cover[:-1]) == 0
-    return [w for w, k in zip(words, keep.tolist(), strict=True) if k], int((~keep).sum())
+def kept_words(bucket: _Bucket, width: int) -> list[tuple[list[bytes], int]]:
+    """Of every text of a bucket the words that stay, and how many go."""
+    gone = _Gone(*bucket.values[-1]) if -1 in bucket.values else _Gone(*[np.zeros(0, dtype=np.uint64)] * 3)
+    of_first = np.array([p in bucket.firsts for p in zip(bucket.ids.tolist(), bucket.keys, strict=True)], dtype=bool)
+    rows = np.flatnonzero(of_first)
+    joined, lengths = symbols([bucket.texts[i] for i in rows.tolist()])
+    at, doc = _starts(lengths, width)
+    hit = gone.hits(*window_digests(joined, at, width), bucket.ids[rows][doc]) if len(at) and len(gone.h) else np.zeros(len(at), dtype=bool)
+    cover = np.zeros(len(joined) + width + 1, dtype=np.int32)
+    np.add.at(cover, at[hit], 1)
+    np.add.at(cover, at[hit] + width, -1)
+    keep = np.cumsum(cover)[: len(joined)] == 0
+    base = dict(zip(rows.tolist(), (np.cumsum(lengths + 1) - lengths - 1).tolist(), strict=True))
+    out = []
+    for i, text in enumerate(bucket.texts):
+        words = (text or "").encode("utf-8", "surrogatepass").split()
+        if i not in base:  # a copy: all its windows start in the first document of its text
+            out.append(([], len(words)) if len(words) >= width else (words, 0))
+            continue
+        mine = keep[base[i] : base[i] + len(words)]
+        removed = len(words) - int(mine.sum())
+        out.append(([w for w, k in zip(words, mine.tolist(), strict=True) if k] if removed else words, removed))
+    return out
 
 
 def _processed(docs: DataFrame, emit: Callable[[list[bytes], int], tuple], ddl: str, width: int, rounds: int, bucket_bytes: int) -> DataFrame:
@@ -293,22 +322,15 @@ def _processed(docs: DataFrame, emit: Callable[[list[bytes], int], tuple], ddl:
     def met(known: DataFrame, fn: Callable, schema: str) -> DataFrame:
         return place.cogroup(known.groupBy("bucket")).applyInArrow(fn, schema)
 
-    for level in range(1, rounds + 1):
-        notes = notes.unionByName(reveal(met, notes, width, level))
-    notes = first.select(of, F.lit(0).alias("kind"), F.col("doc_id").alias("a"), none.alias("b"), none.alias("c"), "key").unionByName(verify(met, notes, width, rounds))
+    known = notes
+    for level in range(1, rounds + 1):  # what a round leaves is a subset of what the one before left
+        known = notes.unionByName(reveal(met, known, width, level))
+    notes = notes.unionByName(verify(met, known, width, rounds))
     schema = arrow_schema(ddl)
 
     def final(docs: pa.Table, known: pa.Table) -> pa.Table:
         bucket = _Bucket(docs, known)
-        gone = _Gone(*bucket.values[-1]) if -1 in bucket.values else _Gone(*[np.zeros(0, dtype=np.uint64)] * 3)
-        rows = []
-        for doc_id, text, own in zip(bucket.ids.tolist(), bucket.texts, bucket.keys, strict=True):
-            if (doc_id, own) in bucket.firsts:
-                kept, removed = cut(text, doc_id, gone, width)
-            else:  # a copy: all its windows start in the first document of its text
-                words = (text or "").encode("utf-8", "surrogatepass").split()
-                kept, removed = ([], len(words)) if len(words) >= width else (words, 0)
-            rows.append((doc_id, *emit(kept, removed)))
+        rows = [(doc_id, *emit(*k)) for doc_id, k in zip(bucket.ids.tolist(), kept_words(bucket, width), strict=True)]
         columns = zip(*rows, strict=True) if rows else [[] for _ in schema.names]
         return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
