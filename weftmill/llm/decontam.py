@@ -1,26 +1,33 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is partitioned by document: one row a document with its word count and, for every term that some benchmark
-item uses, the ascending word positions (terms that no query can ask for are counted as words but have no postings).
-It is stored as a scratch table. Document frequencies of the terms come from the whole index. A window (``width``
-consecutive words of an item; an item of fewer words is one window) is looked up from its rarest term: that term's
-positions, less its offset in the window, are candidate starts, which are intersected with the offset-adjusted lists
-of the other terms from rare to common; what is left are exact phrase matches. A proximity match of an item is one of
-its windows whose ``near_terms`` rarest terms all occur within ``slop`` words of an occurrence of the rarest one.
+The index is keyed by term and holds every word of the corpus, whatever benchmark is asked later. A batch of documents
+(about 4 MiB of text) gives one row for each of its terms: ``term, batch, n_docs, positions``, where a position counts
+words from the start of the batch and documents lie ``GAP`` apart; a further row a batch lists its documents. Rows are
+exchanged by term and slot of batches, so that the postings of a very common word are spread over many tasks, sorted,
+and stored as a scratch table that any number of benchmarks can be looked up in.
+
+A window is ``width`` consecutive words of an item (an item of fewer words is one window). Lookup:
+
+1. document frequencies of the benchmark's terms are summed over the index;
+2. each window hangs on its rarest term. The batches that hold one are found from that term's postings, and only there
+   the lists of the window's other terms are asked for, by term and batch;
+3. the lists of a batch meet, and each window's are intersected from the rarest term on, each adjusted by its offset in
+   the window: what is left are exact phrase matches. A proximity match of an item is one of its windows whose
+   ``near_terms`` rarest terms all occur within ``slop`` words of an occurrence of the rarest one.
 
 The benchmark is small by nature, and its size is checked: up to ``most_words`` words its windows are shipped to the
-tasks; beyond that the items are taken in several groups of that size over the same stored documents, and the hits of
-a document are merged, so any size gives the whole result.
+tasks; beyond that the items are taken in groups of that size, one after another, each looked up in the same stored
+index and its matches written before the next one is read, so any size gives the whole result.
 
 Words: A-Z lower-cased, ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Defined edge cases: a null text has no words and is
 clean; items that are null, have no words or no id are skipped; repeated items count once; repeated documents are
-judged each; a digest over no item is that of the empty string; other columns are left alone.
+judged each; a very long text is a batch of its own and is indexed whole; an empty table of documents gives no rows and
+an empty benchmark no matches; a digest over no item is that of the empty string; other columns are left alone.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +40,9 @@ from weftmill.llm.common import arrow_schema, materialize, slices, texts
 
 #: A-Z to a-z; 0-9, a-z and every byte of a non-ASCII character stay; all else separates words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-INDEX = "row_id long, doc_id long, n_words long, terms binary, counts binary, positions binary"
-HITS = "row_id long, doc_id long, n_words long, spans array<int>, items array<string>, near array<string>"
+GAP = 64  # words between two documents of a batch, so that nothing matches across them
+INDEX = "term binary, batch long, n_docs int, positions binary, doc_ids array<long>, n_words array<int>, keys array<binary>"
+HITS = "row_id string, doc_id long, key binary, n_words long, spans array<int>, items array<string>, near array<string>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -42,84 +50,90 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of a group of items, by term numbers, and their lookup order once frequencies are known."""
+    """The windows of a group of items, and their lookup order once document frequencies are known."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], width: int = 13):
-        self.width = width
-        self.vocabulary: dict[bytes, int] = {}
-        number = self.vocabulary.setdefault
-        found: dict[tuple[int, ...], set[str]] = {}
+        found: dict[tuple[bytes, ...], set[str]] = {}
         for item, ws in items:
-            ids = [number(w, len(self.vocabulary)) for w in ws]
-            for a in range(max(1, len(ids) - width + 1)):
-                found.setdefault(tuple(ids[a : a + width]), set()).add(item)
+            for a in range(max(1, len(ws) - width + 1)):
+                found.setdefault(tuple(ws[a : a + width]), set()).add(item)
         self.windows = [(w, sorted(i)) for w, i in found.items()]
+        self.vocabulary = sorted({t for w in found for t in w})
 
-    def order(self, df: np.ndarray, near_terms: int = 4) -> Windows:
-        """Sort the terms of each window from rare to common and hang the window on its rarest term."""
-        self.by_anchor: dict[int, list[tuple[list[tuple[int, int]], list[int], int, list[str]]]] = {}
-        self.is_anchor = np.zeros(max(1, len(self.vocabulary)), dtype=bool)
+    def order(self, df: dict[bytes, int], near_terms: int = 4) -> Windows:
+        """Sort the terms of each window from rare to common and hang the window on its rarest term; a window with a
+        term that no document holds is left out."""
+        self.by_anchor: dict[bytes, list[tuple[list[tuple[bytes, int]], list[bytes], int, list[str]]]] = {}
         for w, items in self.windows:
-            plan = sorted(((t, o) for o, t in enumerate(w)), key=lambda x: (df[x[0]], x[0], x[1]))
-            rare = list(dict.fromkeys(t for t, _ in plan))[:near_terms]
-            self.by_anchor.setdefault(plan[0][0], []).append((plan, rare, len(w), items))
-            self.is_anchor[plan[0][0]] = True
+            if all(t in df for t in w):
+                plan = sorted(((t, o) for o, t in enumerate(w)), key=lambda x: (df[x[0]], x[0], x[1]))
+                rare = list(dict.fromkeys(t for t, _ in plan))[:near_terms]
+                self.by_anchor.setdefault(plan[0][0], []).append((plan, rare, len(w), items))
         return self
 
-
-def postings(text: str | None, vocabulary: dict[bytes, int]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """``(words, terms, counts, positions)``: the positions of each known term, term by term."""
-    ws = words(text)
-    ids = np.fromiter(map(vocabulary.get, ws, [-1] * len(ws)), dtype=np.int32, count=len(ws))
-    at = np.flatnonzero(ids >= 0).astype(np.int32)
-    if not len(at):
-        return len(ws), at, at, at
-    order = np.argsort(ids[at], kind="stable")
-    terms, counts = np.unique(ids[at], return_counts=True)
-    return len(ws), terms.astype(np.int32), counts.astype(np.int32), at[order]
-
-
-def match(n: int, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, windows: Windows, slop: int = 26) -> tuple[list[int], set[str], set[str]]:
-    """Spans (start, end, start, end, ... as word numbers), exact items, and items near only, of one document."""
-    spans: list[tuple[int, int]] = []
-    exact: set[str] = set()
-    close: set[str] = set()
-    anchors = np.flatnonzero(windows.is_anchor[terms]) if len(terms) else terms
-    if not len(anchors):
-        return [], exact, close
-    end = np.cumsum(counts)
-    place = {int(t): i for i, t in enumerate(terms)}
-    line = np.full(n, -1, dtype=np.int32)
-    line[positions] = np.repeat(terms, counts)
-
-    def of(term: int) -> np.ndarray | None:
-        i = place.get(term)
-        return None if i is None else positions[end[i] - counts[i] : end[i]]
-
-    for i in anchors.tolist():
-        anchor = int(terms[i])
-        here = of(anchor)
+    def wanted(self) -> list[tuple[bytes, bytes]]:
+        """``(anchor, term)``: the lists to ask for where the anchor occurs."""
+        return sorted({(a, t) for a, plans in self.by_anchor.items() for plan, *_ in plans for t, _ in plan})
+
+
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
+
+
+def postings(texts_: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(terms, ends, positions, n_docs, n_words)`` of a batch: term ``i`` has ``positions[ends[i - 1]:ends[i]]``."""
+    numbers = _Numbers()
+    ids = []
+    for t in texts_:
+        ws = words(t)
+        ids.append(np.fromiter(map(numbers.__getitem__, ws), dtype=np.int32, count=len(ws)))
+    n_words = np.array([len(i) for i in ids], dtype=np.int32)
+    flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), n_words)
+    order = np.argsort(flat, kind="stable")
+    place = (np.arange(len(flat)) + doc.astype(np.int64) * GAP)[order].astype(np.int32)
+    count = np.bincount(flat, minlength=len(numbers))
+    ends = np.cumsum(count)
+    doc, term = doc[order], flat[order]
+    fresh = np.ones(len(doc), dtype=bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])
+    return list(numbers), ends, place, np.bincount(term[fresh], minlength=len(numbers)), n_words
+
+
+def starts_of(n_words: np.ndarray) -> np.ndarray:
+    """Where each document of a batch starts."""
+    size = n_words.astype(np.int64) + GAP
+    return np.cumsum(size) - size
+
+
+def match(lists: dict[bytes, np.ndarray], windows: Windows, slop: int = 26) -> tuple[list[tuple[int, int, list[str]]], list[tuple[int, list[str]]]]:
+    """Exact matches ``(start, size, items)`` and proximity matches ``(place, items)`` in the lists of one batch."""
+    exact, close = [], []
+    none = np.zeros(0, dtype=np.int64)
+    for anchor in lists.keys() & windows.by_anchor.keys():
+        here = lists[anchor]
         for plan, rare, size, items in windows.by_anchor[anchor]:
-            if any(t not in place for t in rare):
-                continue
             starts = here - plan[0][1]
-            starts = starts[(starts >= 0) & (starts + size <= n)]
             for t, o in plan[1:]:
                 if not len(starts):
                     break
-                starts = starts[line[starts + o] == t]  # the offset-adjusted list of t, by position
-            if len(starts):
-                spans += [(s, s + size) for s in starts.tolist()]
-                exact.update(items)
-            elif not close.issuperset(items):
-                around = np.ones(len(here), dtype=bool)
-                for t in rare[1:]:
-                    other = of(t)
-                    k = np.searchsorted(other, here)
-                    around &= np.minimum(np.abs(other[np.minimum(k, len(other) - 1)] - here), np.abs(here - other[np.maximum(k - 1, 0)])) <= slop
-                if around.any():
-                    close.update(items)
-    return merged(spans), exact, close - exact
+                other = lists.get(t, none) - o  # the list of t, adjusted by its offset
+                at = np.searchsorted(other, starts)
+                starts = starts[other[np.minimum(at, len(other) - 1)] == starts] if len(other) else none
+            exact += [(s, size, items) for s in starts.tolist()]
+            around = here
+            for t in rare[1:]:
+                other = lists.get(t, none)
+                if not len(other) or not len(around):
+                    around = none
+                    break
+                k = np.searchsorted(other, around)
+                gap = np.minimum(np.abs(other[np.minimum(k, len(other) - 1)] - around), np.abs(around - other[np.maximum(k - 1, 0)]))
+                around = around[gap <= slop]
+            close += [(p, items) for p in around.tolist()]
+    return exact, close
 
 
 def merged(spans: list[tuple[int, int]]) -> list[int]:
@@ -133,58 +147,83 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """The stored index of all documents for a vocabulary."""
-    schema = arrow_schema(INDEX)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 36
-        for batch in slices(batches):
-            out: list[list] = [[] for _ in schema.names]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                n, terms, counts, positions = postings(text, vocabulary)
-                deltas = np.diff(positions, prepend=0).astype("<i4")
-                for column, v in zip(out, (row, doc_id, n, terms.tobytes(), counts.tobytes(), deltas.tobytes()), strict=True):
-                    column.append(v)
-                row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-
-    return materialize(texts(docs).mapInArrow(run, INDEX), "postings")
+def row_key() -> F.Column:
+    """What tells rows of documents apart: the digest of id and text."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))).alias("key")
 
 
-def frequencies(index: DataFrame, terms: int) -> np.ndarray:
-    """Document frequency of each term over the whole index; the driver gets one number a benchmark term."""
-    schema = arrow_schema("term int, n long")
+def build_index(docs: DataFrame, slot_bytes: int = 1 << 30) -> DataFrame:
+    """The stored index of all words of all documents; the postings of a term in a gigabyte of text meet in one task."""
+    rows = texts(docs)
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    schema = arrow_schema(INDEX)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(terms, dtype=np.int64)
-        for batch in batches:
-            raw = b"".join(batch.column(0).to_pylist())
-            total += np.bincount(np.frombuffer(raw, dtype="<i4"), minlength=terms)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], schema=schema)
-
-    df = np.zeros(max(1, terms), dtype=np.int64)
-    for r in index.select("terms").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        df[r["term"]] = r["n"]
-    return df
+        number = TaskContext.get().partitionId() << 32
+        for batch in slices(batches):
+            terms, ends, place, n_docs, n_words = postings(batch.column("text").to_pylist())
+            begin = ends - np.diff(ends, prepend=0)
+            deltas = np.diff(place, prepend=0).astype("<i4")
+            deltas[begin] = place[begin]
+            offsets = np.append(0, ends * 4).astype(np.int32)
+            n = len(terms)
+            lists = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(deltas)])
+            null = [pa.nulls(n, schema.field(c).type) for c in ("doc_ids", "n_words", "keys")]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, type=pa.binary()), pa.array(np.full(n, number)), pa.array(n_docs.astype(np.int32)), lists, *null], schema=schema)
+            own = [pa.array([batch.column("doc_id").to_pylist()], type=schema.field("doc_ids").type), pa.array([n_words.tolist()], type=schema.field("n_words").type), pa.array([batch.column("key").to_pylist()], type=schema.field("keys").type)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.array([number]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), *own], schema=schema)
+            number += 1
+
+    slot = F.pmod(F.xxhash64("batch"), F.lit(max(1, -(-total // slot_bytes))))
+    index = rows.select("doc_id", "text", row_key()).mapInArrow(run, INDEX)
+    spread = F.when(F.col("term").isNull(), F.xxhash64("batch")).otherwise(F.xxhash64("term"))
+    return materialize(index.repartition(spread, slot).sortWithinPartitions("term", "batch"), "postings")
+
+
+def frequencies(index: DataFrame, vocabulary: DataFrame) -> dict[bytes, int]:
+    """Document frequency of each term that occurs; the driver gets one number a benchmark term."""
+    counted = index.where("term is not null").select("term", "n_docs").join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").agg(F.sum("n_docs").alias("n"))
+    return {bytes(r["term"]): r["n"] for r in counted.collect()}
 
 
 def lookup(index: DataFrame, windows: Windows, slop: int = 26) -> DataFrame:
-    """The matches of every document of a stored index."""
+    """The matches of every document of a stored index; ``windows`` is one group, whose size is checked."""
+    if slop >= GAP:
+        raise ValueError(f"slop must be below {GAP}")
+    spark = index.sparkSession
+    windows.order(frequencies(index, spark.createDataFrame([(t,) for t in windows.vocabulary], "term binary")))
+    wanted = F.broadcast(spark.createDataFrame(windows.wanted(), "anchor binary, asked binary"))
+    lists = index.where("term is not null").select("term", "batch", "positions")
+    asked = lists.select("term", "batch").join(wanted, F.col("term") == F.col("anchor")).select(F.col("asked").alias("term"), "batch").distinct()
+    found = lists.join(F.broadcast(spark.createDataFrame([(t,) for t in windows.vocabulary], "term binary")), "term", "left_semi").join(asked.hint("merge"), ["term", "batch"], "left_semi")
+    batches = index.where("term is null").select(F.col("batch").alias("number"), "doc_ids", "n_words", "keys")
+    found = found.select("term", F.col("batch").alias("number"), "positions")
     schema = arrow_schema(HITS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            out: list[list] = [[] for _ in schema.names]
-            for row, doc_id, n, terms, counts, deltas in zip(*columns, strict=True):
-                spans, exact, close = match(n, np.frombuffer(terms, "<i4"), np.frombuffer(counts, "<i4"), np.cumsum(np.frombuffer(deltas, "<i4")), windows, slop)
-                for column, v in zip(out, (row, doc_id, n, spans, sorted(exact), sorted(close)), strict=True):
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        out: list[list] = [[] for _ in schema.names]
+        if docs.num_rows:
+            lists = {t: np.cumsum(np.frombuffer(p, "<i4"), dtype=np.int64) for t, p in zip(found.column("term").to_pylist(), found.column("positions").to_pylist(), strict=True)}
+            n_words = np.array(docs.column("n_words")[0].as_py(), dtype=np.int64)
+            begin = starts_of(n_words)
+            exact, close = match(lists, windows, slop)
+            spans: dict[int, list] = {}
+            items: dict[int, set] = {}
+            near: dict[int, set] = {}
+            for (start, size, names), d in zip(exact, (np.searchsorted(begin, [e[0] for e in exact], side="right") - 1).tolist(), strict=True):
+                spans.setdefault(d, []).append((start - int(begin[d]), start - int(begin[d]) + size))
+                items.setdefault(d, set()).update(names)
+            for (_, names), d in zip(close, (np.searchsorted(begin, [c[0] for c in close], side="right") - 1).tolist(), strict=True):
+                near.setdefault(d, set()).update(names)
+            number = docs.column("number")[0].as_py()
+            for d, (doc_id, key) in enumerate(zip(docs.column("doc_ids")[0].as_py(), docs.column("keys")[0].as_py(), strict=True)):
+                own = items.get(d, set())
+                row = (f"{number}:{d}", doc_id, key, int(n_words[d]), merged(spans.get(d, [])), sorted(own), sorted(near.get(d, set()) - own))
+                for column, v in zip(out, row, strict=True):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    return index.mapInArrow(run, HITS)
+    return batches.groupBy("number").cogroup(found.groupBy("number")).applyInArrow(run, HITS)
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -192,7 +231,10 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def item_groups(benchmark: DataFrame, most_words: int = 2_000_000) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in groups of at most about ``most_words`` words: what is shipped to the tasks has a checked size."""
+    """The items in groups of at most about ``most_words`` words, read one after another: what is on the driver and is
+    shipped to the tasks at one time has a checked size."""
+    if most_words < 1:
+        raise ValueError("a group holds at least one word")
     rows = _items(benchmark)
     total = rows.agg(F.coalesce(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))), F.lit(0)).alias("n")).first()["n"]
     groups = max(1, -(-total // most_words))
@@ -201,23 +243,21 @@ def item_groups(benchmark: DataFrame, most_words: int = 2_000_000) -> Iterator[l
         yield [(r["item"], w) for r in part.collect() if (w := words(r["text"]))]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, slop: int = 26, most_words: int = 2_000_000) -> DataFrame:
-    """``HITS`` of every document."""
-    groups = list(item_groups(benchmark, most_words)) if most_words >= 1 else []
-    if len(groups) > 1:
-        docs = materialize(texts(docs), "documents")  # the same rows and order in every pass
-    parts = []
-    for items in groups:
-        windows = Windows(items, width)
-        index = build_index(docs, windows.vocabulary)
-        windows.order(frequencies(index, max(1, len(windows.vocabulary))))
-        parts.append(lookup(index, windows, slop))
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    grouped = every.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near")])
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, slop: int = 26, most_words: int = 2_000_000, index: DataFrame | None = None) -> DataFrame:
+    """``HITS`` of every document, through ``index`` or a new one."""
+    index = build_index(docs) if index is None else index
+    parts, last = [], None
+    for items in item_groups(benchmark, most_words):
+        if last is not None:
+            parts.append(materialize(lookup(index, last, slop), "matches"))
+        last = Windows(items, width)
+    part = lookup(index, last, slop)
+    if not parts:
+        return part
+    for p in parts:
+        part = part.unionByName(p)
+    of = [F.first(c).alias(c) for c in ("doc_id", "key", "n_words")]
+    grouped = part.groupBy("row_id").agg(*of, *[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near")])
     schema = arrow_schema(HITS)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +265,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, slop: int =
             spans = [merged(list(zip(s[::2], s[1::2], strict=True))) for s in batch.column("spans").to_pylist()]
             items = [sorted(set(x)) for x in batch.column("items").to_pylist()]
             near = [sorted(set(x) - set(y)) for x, y in zip(batch.column("near").to_pylist(), items, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_id", "doc_id", "n_words")), pa.array(spans, type=schema.field("spans").type), pa.array(items, type=schema.field("items").type), pa.array(near, type=schema.field("near").type)], schema=schema)
+            same = [batch.column(c) for c in ("row_id", "doc_id", "key", "n_words")]
+            yield pa.RecordBatch.from_arrays([*same, *(pa.array(v, type=schema.field(c).type) for c, v in (("spans", spans), ("items", items), ("near", near)))], schema=schema)
 
     return grouped.mapInArrow(merge, HITS)
 
@@ -234,53 +275,24 @@ def contaminated(n_hit: F.Column, n_words: F.Column) -> F.Column:
     return (n_hit > 0) & (n_hit * 20 >= n_words)
 
 
+def _n_hit() -> F.Column:
+    return F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("int"), lambda a, x: a + x).cast("long")
+
+
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near`` of every document."""
-    length = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("int"), lambda a, x: a + x).cast("long")
-    rows = matches(docs, benchmark, **options).withColumn("n_hit", length)
+    rows = matches(docs, benchmark, **options).withColumn("n_hit", _n_hit())
     return rows.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"), F.size("near").cast("long").alias("n_near"),
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, most_words: int = 2_000_000) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with their columns; judged in the pass that reads the texts."""
-    groups = [Windows(items, width) for items in item_groups(benchmark, most_words)]
-    for w in groups:
-        w.order(_document_frequencies(docs, w.vocabulary))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            keep = []
-            for text in batch.column("text").to_pylist():
-                spans, n = [], 0
-                for w in groups:
-                    n, *lists = postings(text, w.vocabulary)
-                    s = match(n, *lists, w)[0]
-                    spans += zip(s[::2], s[1::2], strict=True)
-                s = merged(spans)
-                hit = sum(s[1::2]) - sum(s[::2])
-                keep.append(not (hit and hit * 20 >= n))
-            yield batch.filter(pa.array(keep, type=pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def _document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
-    schema = arrow_schema("term int, n long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
-        for batch in slices(batches):
-            for text in batch.column("text").to_pylist():
-                count.update(vocabulary.keys() & set(words(text)))
-        yield pa.RecordBatch.from_arrays([pa.array([vocabulary[k] for k in count], type=pa.int32()), pa.array(list(count.values()), type=pa.int64())], schema=schema)
-
-    df = np.zeros(max(1, len(vocabulary)), dtype=np.int64)
-    for r in texts(docs).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        df[r["term"]] = r["n"]
-    return df
+def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, with their columns."""
+    bad = matches(docs, benchmark, **options).where(contaminated(_n_hit(), F.col("n_words"))).select("key").distinct()
+    marked = docs.withColumn("_weftmill_key", row_key())
+    return marked.join(bad.hint("merge"), F.col("_weftmill_key") == F.col("key"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(items: list[str]) -> str:
