@@ -7,11 +7,11 @@ pytest.importorskip("weftmill.llm")
 from weftmill.llm import ann  # noqa: E402
 
 
-def brute(rows, every=20, k=20):
+def brute(rows, every=20, k=20, kind=np.float32):
     out = {}
     for i, v in rows:
         if i % every == 0:
-            scores = sorted(((-float(ann.in_order(np.asarray([v], dtype=np.float32).astype(float) * np.asarray([w], dtype=np.float32).astype(float))[0]), j) for j, w in rows if j != i))[:k]
+            scores = sorted(((-float(ann.in_order(np.asarray([v], dtype=kind).astype(float) * np.asarray([w], dtype=kind).astype(float))[0]), j) for j, w in rows if j != i))[:k]
             out[i] = [(r + 1, j, -s) for r, (s, j) in enumerate(scores)]
     return out
 
@@ -36,7 +36,7 @@ def test_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]
     x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
-    got = collected(ann.search(df, cell=32, floor=1))
+    got = collected(ann.search(df))
     hits = []
     for i in ids[ids % 20 == 0]:
         s = x @ x[ids == i][0]
@@ -51,3 +51,33 @@ def test_few_rows(spark):
     assert ann.search(one).count() == 0 and ann.search(one.limit(0)).count() == 0
     two = spark.createDataFrame([(0, [1.0, 2.0]), (7, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.search(two).collect()] == [(0, 1, 7, 5.0)]
+
+
+def test_doubles_are_scored_as_doubles(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(120)] + [(500, [1e300] + [0.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert collected(ann.search(df, probe=10**6)) == brute(rows, kind=np.float64)
+
+
+def test_clustered_vectors_are_pruned_and_found(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(300, 16))
+    x = (centre[rng.integers(0, 300, 50_000)] + 0.25 * rng.normal(size=(50_000, 16))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    schema = "vec_id long, embedding array<float>"
+    import pyarrow as pa
+
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 16).cast(pa.list_(pa.float32()))}), schema)
+    index = ann.materialize(ann.entries(ann.usable(df), 20), "entries")
+    made = ann.Index(index, 64, None, 20_000, 8192)
+    queries = index.where("cid % 1000 = 0").select("cid", "v")
+    probe = ann.measured_probe(queries, made.placed, made, 20, 0.97, 64)
+    assert probe < len(x) / 2
+    got = collected(ann.search(df, every=500, probe=probe))
+    hits, held = [], np.arange(500, len(x), 1000)  # none of these has set probe
+    for i in held.tolist():
+        s = x.astype(float) @ x[i].astype(float)
+        s[i] = -9
+        hits.append(len(set(np.argsort(-s)[:20].tolist()) & {j for _, j, _ in got[i]}) / 20)
+    assert np.mean(hits) >= 0.95

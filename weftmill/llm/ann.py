@@ -4,13 +4,19 @@ Vectors are cut into two halves, each quantised by its own codebook (k-means on
 ``sample`` distinct vectors). A cell is a pair of centroids; every vector is in the index. A query sorts both codebooks
 by its negative inner products and walks the pairs by their sum with a heap, until the cells it has met hold at least
 ``probe`` vectors (all, if there are fewer); these are reranked by the exact inner product on the original vectors.
-``probe`` is measured, not guessed: 64 of the queries are compared with every vector, and it is the smallest number with
-which the walk would have met the share ``recall`` of their true neighbours (and at least ``floor``).
+``probe`` is measured, not guessed, by the same rule at every size: ``judges`` of the queries are compared with every
+vector, and it is the smallest number with which the walk would have met the share ``recall`` of their true neighbours.
 
 Equal vectors are one index entry with its ``k + 1`` smallest ids (no result can hold more of them), and queries with
-equal vectors are searched once, so copies of one vector, however many, cost one row. Cells and the queries that meet in
-them are packed into blocks of bounded size, and blocks are joined by cell; a crowded cell is many blocks in many tasks.
-The tables shipped to all tasks are the codebooks and the cell counts, at most ``2 * codes`` and ``codes ** 2`` rows.
+equal vectors are searched once, so copies of one vector, however many, cost one row. Codes are numbered along their
+main direction, and neighbouring cells form regions of about ``region`` entries. A query travels once to each region
+that holds a cell it has met, not once a cell; there it is compared with the region's entries in blocks of bounded size
+(entries of the region that lie in cells it has not met come along and can only improve the result). A crowded cell is
+many blocks in many tasks. Codebooks grow as the square root of the number of vectors, so cells keep their size; what is
+shipped to all tasks is both codebooks and one count a cell, about ``n / cell`` numbers.
+
+Components keep the width they have: floats stay floats on the way and are multiplied and summed as doubles; doubles
+stay doubles.
 
 Defined edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite components
 take no part, nor do null ids; of rows that share an id, one takes part (the smallest vector); with no other vector a
@@ -32,7 +38,8 @@ from weftmill.llm.common import arrow_schema, bounded_sample, materialize
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``vec_id, v`` of the rows that take part, one for each id."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"))
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(finite & F.exists("v", lambda x: x != 0))
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -51,14 +58,29 @@ def codebook(x: np.ndarray, codes: int, rounds: int = 12, seed: int = 5) -> np.n
     x = np.unique(x, axis=0)
     if len(x) <= codes:
         return x
-    c = x[np.random.default_rng(seed).choice(len(x), codes, replace=False)]
+    c = x[np.sort(np.random.default_rng(seed).choice(len(x), codes, replace=False))]
     for _ in range(rounds):
         near = (x @ c.T - 0.5 * (c**2).sum(1)).argmax(1)
         count = np.bincount(near, minlength=codes)
         total = np.zeros_like(c)
         np.add.at(total, near, x)
         c = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], c)
-    return c
+    return along_main_direction(c)
+
+
+def along_main_direction(c: np.ndarray) -> np.ndarray:
+    """The centroids in the order of their projection on the direction of most variance: neighbours get near numbers."""
+    d = c - c.mean(0)
+    v = np.ones(c.shape[1])
+    for _ in range(20):
+        v = d.T @ (d @ v)
+        v /= np.linalg.norm(v) or 1.0
+    return c[np.argsort(d @ v, kind="stable")]
+
+
+def regions(counts: np.ndarray, size: int) -> np.ndarray:
+    """The region of each cell: runs of neighbouring cells with about ``size`` entries."""
+    return (np.cumsum(counts) - counts) // size
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -103,7 +125,7 @@ def best_of(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> t
     return qid[rank < k], cid[rank < k], score[rank < k]
 
 
-def measured_probe(wanted: DataFrame, placed: DataFrame, left: np.ndarray, right: np.ndarray, half: int, counts: np.ndarray, k: int, recall: float, most: int = 64) -> int:
+def measured_probe(wanted: DataFrame, placed: DataFrame, made: Index, k: int, recall: float, most: int) -> int:
     """The entries a walk has to meet for the wanted share of true neighbours, on at most ``most`` queries."""
     q = bounded_sample(wanted, "cid", most).select("v").toArrow().column(0).combine_chunks()
     if not len(q):
@@ -121,63 +143,92 @@ def measured_probe(wanted: DataFrame, placed: DataFrame, left: np.ndarray, right
 
     best = Window.partitionBy("query").orderBy(F.desc("score"))
     near = placed.mapInArrow(compare, "query int, score double, cell int").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).collect()
-    a, b = -(q @ np.pad(left, ((0, 0), (0, q.shape[1] - half))).T), -(q[:, half:] @ right.T)
+    a, b = made.sums(q)
     need = []
     for i in range(len(q)):
         order = np.argsort((a[i][:, None] + b[i][None, :]).ravel(), kind="stable")
         met = np.empty(len(order), dtype=np.int64)
-        met[order] = np.cumsum(counts[order])
+        met[order] = np.cumsum(made.counts[order])
         need += [int(met[r["cell"]]) for r in near if r["query"] == i]
     return max(1, int(np.quantile(need, recall, method="higher"))) if need else 1
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: int | None = None, recall: float = 0.95, floor: int = 8192, sample: int = 20_000, cell: int = 1024, codes: int | None = None, block: int = 1024, chunk: int = 128) -> DataFrame:
+class Index:
+    """Codebooks, cell counts and the stored table of placed entries (``cid, v, region``)."""
+
+    def __init__(self, index: DataFrame, cell: int, codes: int | None, sample: int, region: int):
+        n = index.count()
+        self.kind = dict(index.dtypes)["v"]
+        codes = codes or max(4, round((n / cell) ** 0.5))
+        x = matrix(bounded_sample(index.select("cid", "v"), "cid", max(sample, 16 * codes)).select("v").toArrow().column(0).combine_chunks()) if n else np.zeros((0, 2))
+        self.half = half = x.shape[1] // 2 or x.shape[1]
+        self.left, self.right = left, right = codebook(x[:, :half], codes), codebook(x[:, half:], codes)
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                m = matrix(batch.column("v"))
+                cells = nearest_code(m[:, :half], left) * len(right) + nearest_code(m[:, half:], right) if len(m) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("v"), pa.array(cells.astype(np.int32))], names=["cid", "v", "cell"])
+
+        self.placed = materialize(index.select("cid", "v").mapInArrow(assign, f"cid long, v {self.kind}, cell int"), "cells")
+        self.counts = np.zeros(max(1, len(left) * len(right)), dtype=np.int64)
+        for r in self.placed.groupBy("cell").agg(F.count("*").alias("n")).collect():  # one number a cell
+            self.counts[r["cell"]] = r["n"]
+        self.region = regions(self.counts, region)
+
+    def sums(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the walks of some queries sort by: negative inner products with both codebooks."""
+        return -(m[:, : self.half] @ self.left.T), -(m[:, self.half :] @ self.right.T)
+
+
+def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: int | None = None, recall: float = 0.95, sample: int = 20_000, cell: int = 256, codes: int | None = None, region: int = 8192, block: int = 2048, chunk: int = 256, judges: int = 64) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row whose id is divisible by ``every``."""
     rows = materialize(usable(vectors), "vectors")
     index = materialize(entries(rows, k), "entries")
-    n = index.count()
-    codes = codes or int(min(256, max(4, round((n / cell) ** 0.5))))
-    x = matrix(bounded_sample(index.select("cid", "v"), "cid", sample).select("v").toArrow().column(0).combine_chunks()) if n else np.zeros((0, 2))
-    half = x.shape[1] // 2 or x.shape[1]
-    left, right = codebook(x[:, :half], codes), codebook(x[:, half:], codes)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = matrix(batch.column("v"))
-            cells = nearest_code(m[:, :half], left) * len(right) + nearest_code(m[:, half:], right) if len(m) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("v"), pa.array(cells.astype(np.int32))], names=["cid", "v", "cell"])
-
-    placed = materialize(index.select("cid", "v").mapInArrow(assign, "cid long, v array<float>, cell int"), "cells")
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"))
-    counts = np.zeros(max(1, len(left) * len(right)), dtype=np.int64)
-    for r in sizes.collect():  # one number a cell, at most codes ** 2
-        counts[r["cell"]] = r["n"]
-
-    asked = rows.where(F.col("vec_id") % every == 0).join(index.select("v", "cid"), "v").select(F.col("vec_id").alias("query_id"), F.col("cid").alias("qid"))
-    asked = materialize(asked, "asked")
+    made = Index(index, cell, codes, sample, region)
+    placed, counts = made.placed, made.counts
+
+    # a vector that over a thousandth of the queries share is one of at most a thousand: these are broadcast
+    own = rows.where(F.col("vec_id") % every == 0)
+    common = own.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") * 1000 > own.count()).select("v")
+    common = materialize(common.join(index.select("v", "cid"), "v").select("v", F.col("cid").alias("qid")), "common")
+    rare = own.join(F.broadcast(common), "v", "left_anti").join(index.select("v", F.col("cid").alias("qid")), "v")
+    asked = own.join(F.broadcast(common), "v").select(F.col("vec_id").alias("query_id"), "qid", F.lit(True).alias("common"))
+    asked = materialize(asked.unionByName(rare.select(F.col("vec_id").alias("query_id"), "qid", F.lit(False).alias("common"))), "asked")
     wanted = index.select("cid", "v").join(asked.select(F.col("qid").alias("cid")).distinct(), "cid", "left_semi")
 
     if probe is None:
-        probe = max(floor, measured_probe(wanted, placed, left, right, half, counts, k, recall))
+        probe = measured_probe(wanted, placed, made, k, recall, judges)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                m = matrix(part.column("v"))
-                a, b = -(m[:, :half] @ left.T), -(m[:, half:] @ right.T)
-                cells = [walk(a[i], b[i], counts, probe) for i in range(len(m))]
-                which = np.repeat(np.arange(len(m)), [len(c) for c in cells])
-                yield pa.RecordBatch.from_arrays([part.column("cid").take(pa.array(which)), part.column("v").take(pa.array(which)), pa.array([c for cs in cells for c in cs], type=pa.int32())], names=["qid", "q", "cell"])
+                a, b = made_sums(matrix(part.column("v")))
+                met = [np.unique(region_of[walk(a[i], b[i], counts, probe)]) for i in range(part.num_rows)]
+                which = pa.array(np.repeat(np.arange(len(met)), [len(c) for c in met]))
+                flat = np.concatenate(met) if met else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([part.column("cid").take(which), part.column("v").take(which), pa.array(flat.astype(np.int64))], names=["qid", "q", "region"])
+
+    half, left, right, region_of = made.half, made.left, made.right, made.region
+
+    def made_sums(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return -(m[:, :half] @ left.T), -(m[:, half:] @ right.T)
+
+    visits = materialize(wanted.mapInArrow(visit, f"qid long, q {made.kind}, region long"), "visits")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("v"), pa.array(region_of[batch.column("cell").to_numpy()])], names=["cid", "v", "region"])
 
-    visits = materialize(wanted.mapInArrow(visit, "qid long, q array<float>, cell int"), "visits")
-    asked_sizes = visits.groupBy("cell").agg(F.count("*").alias("n"))
+    has = placed.mapInArrow(settle, f"cid long, v {made.kind}, region long")
 
-    def packed(df: DataFrame, key: str, vector: str, per: DataFrame, most: int, name: str) -> DataFrame:
+    def packed(df: DataFrame, key: str, vector: str, most: int, name: str) -> DataFrame:
+        per = df.groupBy("region").agg(F.count("*").alias("n"))  # one number a region
         slot = F.pmod(F.xxhash64(key), F.ceil(F.col("n") / most)).alias("slot")
-        return df.join(F.broadcast(per), "cell").select("cell", slot, key, vector).groupBy("cell", "slot").agg(F.collect_list(F.struct(key, vector)).alias(name)).drop("slot")
+        return df.join(per, "region").select("region", slot, key, vector).groupBy("region", "slot").agg(F.collect_list(F.struct(key, vector)).alias(name)).drop("slot")
 
-    pairs = packed(visits, "qid", "q", asked_sizes, chunk, "asks").join(packed(placed, "cid", "v", sizes, block, "has"), "cell")
+    pairs = packed(visits, "qid", "q", chunk, "asks").join(packed(has, "cid", "v", block, "has"), "region")
     schema = arrow_schema("qid long, cid long, score double")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,5 +261,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: int | None =
     short = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     named = named.withColumn("r", F.row_number().over(short)).where(F.col("r") <= k + 1).drop("r")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = asked.join(named, "qid").where("query_id <> vec_id").withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
+    few = named.join(F.broadcast(common.select("qid")), "qid", "left_semi")  # at most k + 1 rows for each of a thousand
+    every_one = asked.where("NOT common").join(named, "qid").unionByName(asked.where("common").join(F.broadcast(few), "qid"))
+    out = every_one.where("query_id <> vec_id").withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")
