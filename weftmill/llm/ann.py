@@ -181,7 +181,7 @@ class Index:
         return -(m[:, : self.half] @ self.left.T), -(m[:, self.half :] @ self.right.T)
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: int | None = None, recall: float = 0.95, sample: int = 20_000, cell: int = 256, codes: int | None = None, region: int = 8192, block: int = 2048, chunk: int = 256, judges: int = 64) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: int | None = None, recall: float = 0.97, sample: int = 20_000, cell: int = 256, codes: int | None = None, region: int = 8192, block: int = 2048, chunk: int = 256, judges: int = 256) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row whose id is divisible by ``every``."""
     rows = materialize(usable(vectors), "vectors")
     index = materialize(entries(rows, k), "entries")
