@@ -66,6 +66,59 @@ def test_toxicity(spark):
     assert not any(r.rejected for r in toxicity.score(odd(spark), empty).collect())
 
 
+def test_scores_equal_a_plain_version(spark):
+    """An independent reading of the model: every word, its prefixes, every link of the chain, one document at a time."""
+    import math
+    import re
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    chain = toxicity.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels)
+    assert all(len(m.bucket) for m in chain.models)
+    got = {r.doc_id: r for r in toxicity.score(docs, chain).collect()}
+    for r in docs.collect():
+        hit = set()
+        for w in re.split(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+", (r.text or "").lower().encode()):
+            for k in ([w] if w else []) + [w[:n] + b"*" for n in (4, 5, 6) if len(w) >= n]:
+                hit.add(zlib.crc32(k) % (1 << 20))
+        logit = []
+        for m in chain.models:
+            z = m.bias + sum(v for b, v in zip(m.bucket.tolist(), m.weight.tolist(), strict=True) if b in hit) + sum(a * b for a, b in zip(m.chain.tolist(), logit, strict=True))
+            p = min(max(1 / (1 + math.exp(-z)), 1e-4), 1 - 1e-4)
+            logit.append(math.log(p / (1 - p)))
+        assert abs(got[r.doc_id].p_toxic - 1 / (1 + math.exp(-z))) < 1e-6
+        assert got[r.doc_id].rejected == (got[r.doc_id].p_toxic >= chain.threshold)
+
+
+def test_statistics_equal_a_plain_version():
+    """The thirty document statistics, one by one, from the words and lines."""
+    from collections import Counter
+    from math import log1p, log2
+
+    def plain(text):
+        raw = text.encode()
+        n, ws, lines = len(raw), raw.split(), raw.split(b"\n")
+        w = max(1, len(ws))
+        count = Counter(raw)
+        share = lambda ok: sum(v for c, v in count.items() if ok(c)) / n
+        same = [(a, b) for a, b in zip(raw, raw[1:]) if a == b]  # noqa: B905
+        sizes = [len(x) for x in ws] or [0]
+        is_alpha = lambda c: 65 <= c <= 90 or 97 <= c <= 122
+        shouted = sum(any(65 <= c <= 90 for c in x) and not any(97 <= c <= 122 for c in x) for x in ws)
+        last = sum(x[-1] < 128 and not chr(x[-1]).isalnum() and chr(x[-1]) not in ".,;:?" for x in ws)
+        return [
+            log1p(n), log1p(len(ws)), sum(sizes) / len(sizes), share(is_alpha), share(lambda c: 65 <= c <= 90), share(lambda c: 48 <= c <= 57), share(lambda c: c == 32), share(lambda c: c < 32), share(lambda c: c in b"#$%&*+<=>@[]^_{}~\\/"),
+            share(lambda c: c >= 128), share(lambda c: c in b".,;:?'\"()-"), share(lambda c: c == 124), sum(a in b"#$%&*+=@^~!" for a, _ in same) / n, share(lambda c: c == 33),
+            count[64] / w, shouted / w, last / w, sum(x > 14 for x in sizes) / len(sizes), sum(x < 3 for x in sizes) / len(sizes), sum(48 <= x[0] <= 57 for x in ws) / w,
+            len(set(ws)) / w, max(Counter(ws).values(), default=0) / w, log1p(len(lines)), n / len(lines), 1 - len(set(lines)) / len(lines), max(map(len, lines)) / n,
+            (count[46] + count[63] + count[33]) / w, count[44] / w, -sum(v / n * log2(v / n) for v in count.values()), len(same) / n,
+        ]
+
+    for text in ("Hello, WORLD! 12ab\n\nHello, WORLD! 12ab\n== ## naïve|café@x.y", "a", "  \t ", "AAAA bbbb!!!! supercalifragilistic it's (so) {odd} \\ / ~~ ok?"):
+        assert np.allclose(quality.statistics(text), plain(text)), text
+
+
 def test_chain_feeds_later_models():
     rng = np.random.default_rng(4)
     n = 900

@@ -1,22 +1,26 @@
 """Toxicity: a classifier chain. Category 1 is predicted from the text, category 2 from the text and the probability
 of category 1, and so on; each later linear model is trained with the out-of-fold probabilities of the earlier ones.
 
-Categories, in chain order: ``insult`` and ``contempt`` (weak labels: a document labelled toxic that holds a word of
-the category's list) and ``toxic`` (the human label). A document is rejected if its ``toxic`` probability reaches the
-threshold, which is set on the out-of-fold probabilities of the training rows.
-
-Features are the distinct lower-cased words of the whole text and their prefixes of 4 to 6 letters, hashed to 2^20
-buckets; each linear model keeps the buckets that tell its classes apart best. Fitting uses a bounded sample of
-``sample`` labelled rows (default 6,000); scores cover every document.
-
-Defined edge cases: a null or empty text has no features and gets the prior; with no labels, or one class only, all
-probabilities are the smoothed prior and nothing is rejected (the threshold is then 1.0 and probabilities lie below it);
-repeated rows are scored each; other columns are left alone.
+Categories, in chain order: ``variant_1`` and ``variant_2``, the two kinds of toxic document that the labelled rows
+themselves fall into, and ``toxic`` (the human label). The kinds are found by language-free clustering: of the features
+that tell toxic rows apart, the main direction in which the toxic training rows differ splits them in two. A document is
+rejected if its ``toxic`` probability reaches the threshold, which is set on the out-of-fold probabilities of the
+training rows.
+
+Features are the distinct words of the whole text (A-Z and the lower-case forms of other letters; bytes of non-ASCII
+characters count as letters) and their prefixes of 4 to 6 bytes, hashed to 2^20 buckets; each linear model keeps the
+buckets that tell its classes apart best. Fitting uses a bounded sample of ``sample`` labelled documents (default
+6,000), one row for each id; scores cover every document.
+
+Defined edge cases: a null or empty text has no features and gets the prior; a very long text is scored whole, by its
+distinct words; with no labels, or one class only, all probabilities are the smoothed prior and nothing is rejected (the
+threshold is then 1.0 and probabilities lie below it); of rows that share a labelled id, the smallest text is learnt
+from; equal labels and scores are no special case, as nothing is ranked; an empty table gives no rows; repeated rows and
+rows without an id are scored each; other columns are left alone.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -26,25 +30,19 @@ from pyspark.sql import functions as F
 
 from weftmill.llm.common import TwoGenerations, bounded_sample, per_text, texts
 
-INSULT = ("idiot", "moron", "stupid", "clown", "loser", "fool", "dumb", "imbecile")
-CONTEMPT = ("trash", "scum", "disgusting", "worthless", "pathetic", "filth", "vermin", "garbage")
-CATEGORIES = ("insult", "contempt", "toxic")
+CATEGORIES = ("variant_1", "variant_2", "toxic")
 BUCKETS = 1 << 20
-_WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = bytes(c if chr(c).isascii() and chr(c).isalpha() or c >= 128 else 32 for c in range(256))
 
 
-def buckets(word: str) -> tuple[int, ...]:
+def buckets(word: bytes) -> tuple[int, ...]:
     """The feature buckets of a word: the word itself and its prefixes."""
-    keys = [word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) >= n)]
-    return tuple(zlib.crc32(k.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for k in keys)
-
-
-def words(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+    keys = [word, *(word[:n] + b"*" for n in (4, 5, 6) if len(word) >= n)]
+    return tuple(zlib.crc32(k) & (BUCKETS - 1) for k in keys)
 
 
-def _weak(found: set[str]) -> tuple[int, int]:
-    return int(not found.isdisjoint(INSULT)), int(not found.isdisjoint(CONTEMPT))
+def words(text: str | None) -> set[bytes]:
+    return set((text or "").lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split())
 
 
 @dataclass
@@ -69,37 +67,84 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit_linear(start: np.ndarray, flat: np.ndarray, y: np.ndarray, earlier: np.ndarray, keep: int = 2000, steps: int = 80) -> Linear:
-    """Logistic regression on rows given as bucket lists (``flat`` cut at ``start``): screening, then Adam on all rows."""
+def _telling(start: np.ndarray, flat: np.ndarray, y: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets (ascending) that tell two classes apart best, and how far each is from chance, in deviations."""
     n, n1 = len(y), float(y.sum())
-    prior = float(np.log((n1 + 0.5) / (n - n1 + 0.5))) if n else -4.0
-    if n == 0 or n1 in (0.0, float(n)):
-        return Linear(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(earlier.shape[1]), prior)
-    row = np.repeat(np.arange(n), np.diff(start))
     c = np.bincount(flat, minlength=BUCKETS).astype(np.float64)
-    c1 = np.bincount(flat, weights=y[row], minlength=BUCKETS)
+    c1 = np.bincount(flat, weights=np.repeat(y, np.diff(start)), minlength=BUCKETS)
     expected = c * (n1 / n)
     z = np.where(c >= 3, (c1 - expected) / np.sqrt(expected * (1 - n1 / n) * np.maximum(1 - c / n, 1e-3) + 1), 0)
     best = np.argsort(-np.abs(z), kind="stable")[:keep]
     best = np.sort(best[np.abs(z[best]) > 2.0])
+    return best, z[best]
+
+
+def _within(start: np.ndarray, flat: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each occurrence of the buckets ``best``, in row order."""
     place = np.full(BUCKETS, -1)
     place[best] = np.arange(len(best))
     at = place[flat]
-    row, at = row[at >= 0], at[at >= 0]
+    row = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    return row[at >= 0], at[at >= 0]
+
+
+def _sums(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values in ascending groups."""
+    out = np.zeros(n)
+    if len(values):
+        begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        out[group[begin]] = np.add.reduceat(values, begin)
+    return out
+
+
+def fit_linear(start: np.ndarray, flat: np.ndarray, y: np.ndarray, earlier: np.ndarray, keep: int = 2000, steps: int = 80) -> Linear:
+    """Logistic regression on rows given as bucket lists (``flat`` cut at ``start``): screening, then Adam on all rows."""
+    n, n1 = len(y), float(y.sum())
+    prior = float(np.log((n1 + 0.5) / (n - n1 + 0.5))) if n else -4.0
+    if n == 0 or n1 in (0.0, float(n)):
+        return Linear(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(earlier.shape[1]), prior)
+    best, _ = _telling(start, flat, y, keep)
+    row, at = _within(start, flat, best)
+    by_column = np.argsort(at, kind="stable")
+    row_there, column = row[by_column], at[by_column]
     theta = np.zeros(len(best) + earlier.shape[1] + 1)
     theta[-1] = prior
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     k = len(best)
     balance = np.where(y == 1, 0.5 * n / n1, 0.5 * n / (n - n1)) ** 0.5
     for t in range(1, steps + 1):
-        s = np.bincount(row, weights=theta[at], minlength=n) + earlier @ theta[k:-1] + theta[-1]
+        s = _sums(theta[at], row, n) + earlier @ theta[k:-1] + theta[-1]
         r = balance * (1 / (1 + np.exp(-np.clip(s, -40, 40))) - y)
-        g = np.concatenate([np.bincount(at, weights=r[row], minlength=k), earlier.T @ r, [r.sum()]]) / n + np.append(2e-4 * theta[:-1], 0)
+        g = np.concatenate([_sums(r[row_there], column, k), earlier.T @ r, [r.sum()]]) / n + np.append(2e-4 * theta[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta -= 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return Linear(best, theta[:k], theta[k:-1], float(theta[-1]))
 
 
+def variants(start: np.ndarray, flat: np.ndarray, toxic: np.ndarray, keep: int = 400) -> np.ndarray:
+    """Two columns of labels that split the toxic rows along the main direction in which they differ."""
+    out = np.zeros((len(toxic), 2))
+    mine = np.flatnonzero(toxic == 1)
+    if len(mine) < 4 or len(mine) == len(toxic):
+        return out
+    best, z = _telling(start, flat, toxic, keep)
+    best = best[z > 0]
+    row, at = _within(*_take(start, flat, mine), best)
+    x = np.zeros((len(mine), max(1, len(best))))
+    x[row, at] = 1.0
+    x /= np.maximum(np.sqrt(x.sum(1, keepdims=True)), 1.0)
+    x -= x.mean(0)
+    v = np.arange(1.0, x.shape[1] + 1)
+    for _ in range(50):
+        v = x.T @ (x @ v)
+        v /= np.linalg.norm(v) or 1.0
+    v *= np.sign(v[np.abs(v).argmax()]) or 1.0
+    side = x @ v > 0
+    out[mine[side], 0] = 1.0
+    out[mine[~side], 1] = 1.0
+    return out
+
+
 def predict_linear(model: Linear, start: np.ndarray, flat: np.ndarray, earlier: np.ndarray) -> np.ndarray:
     n = len(start) - 1
     weight = np.zeros(BUCKETS)
@@ -144,21 +189,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> Chain:
     chosen = bounded_sample(known, "doc_id", sample)
 
     def features(batch) -> dict:
-        out = {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "insult": [], "contempt": [], "x": []}
-        for t in batch.column("text").to_pylist():
-            found = words(t)
-            a, b = _weak(found)
-            out["insult"].append(a)
-            out["contempt"].append(b)
-            out["x"].append(sorted({k for w in found for k in buckets(w)}))
-        return out
+        return {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "x": [sorted({k for w in words(t) for k in buckets(w)}) for t in batch.column("text").to_pylist()]}
 
-    rows = per_text(texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y"), features, "doc_id long, y int, insult int, contempt int, x array<int>").toArrow().combine_chunks().sort_by("doc_id")
+    learnt = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    rows = per_text(learnt.select("doc_id", "text", "y"), features, "doc_id long, y int, x array<int>").toArrow().combine_chunks().sort_by("doc_id")
     size = np.array([len(v) for v in rows.column("x")], dtype=np.int64)
     start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
     flat = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64) if len(size) else np.zeros(0, dtype=np.int64)
-    toxic = rows.column("y").to_numpy()
-    y = np.column_stack([rows.column("insult").to_numpy() * toxic, rows.column("contempt").to_numpy() * toxic, toxic]).astype(np.float64).reshape(-1, 3)
+    toxic = rows.column("y").to_numpy().astype(np.float64)
+    y = np.column_stack([variants(start, flat, toxic), toxic])
     fold = np.array([zlib.crc32(str(i).encode()) // 5 % 3 for i in rows.column("doc_id").to_pylist()], dtype=np.int64)
     return fit_chain(start, flat, y, fold)
 
@@ -170,8 +209,8 @@ class _Scorer:
         self.chain = chain
         self.kept = {int(b) for m in chain.models for b in m.bucket}
         self.weights = [dict(zip(m.bucket.tolist(), m.weight.tolist(), strict=True)) for m in chain.models]
-        self.plain: set[str] = set()  # words without a kept bucket, bounded by two generations
-        self.old: set[str] = set()
+        self.plain: set[bytes] = set()  # words without a kept bucket, bounded by two generations
+        self.old: set[bytes] = set()
         self.hits = TwoGenerations(50_000)
 
     def score(self, text: str | None) -> list[float]:
@@ -204,7 +243,7 @@ class _Scorer:
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """``doc_id, p_insult, p_contempt, p_toxic, rejected`` of every row."""
+    """``doc_id, p_variant_1, p_variant_2, p_toxic, rejected`` of every row."""
     names = [f"p_{c}" for c in CATEGORIES]
     state: dict[str, _Scorer] = {}
 
@@ -213,7 +252,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
         p = np.asarray([scorer.score(t) for t in batch.column("text").to_pylist()]).reshape(-1, 3)
         return {"doc_id": batch.column("doc_id"), **{n: p[:, i] for i, n in enumerate(names)}, "rejected": p[:, -1] >= chain.threshold}
 
-    return per_text(texts(docs), run, "doc_id long, p_insult double, p_contempt double, p_toxic double, rejected boolean")
+    return per_text(texts(docs), run, ", ".join(["doc_id long", *(f"{n} double" for n in names), "rejected boolean"]))
 
 
 def keep_clean(docs: DataFrame, chain: Chain) -> DataFrame:
