@@ -70,7 +70,14 @@ def test_scores_equal_a_plain_version(spark):
     """An independent reading of the model: every word, its prefixes, every link of the chain, one document at a time."""
     import math
     import re
-    import zlib
+
+    odd_, full = 0x9E3779B97F4A7C15, 1 << 64
+
+    def mixed(x):
+        x %= full
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % full
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % full
+        return x ^ (x >> 31)
 
     sf = "/root/testdata/sf0.001"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -80,8 +87,9 @@ def test_scores_equal_a_plain_version(spark):
     for r in docs.collect():
         hit = set()
         for w in re.split(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+", (r.text or "").lower().encode()):
-            for k in ([w] if w else []) + [w[:n] + b"*" for n in (4, 5, 6) if len(w) >= n]:
-                hit.add(zlib.crc32(k) % (1 << 20))
+            if w:
+                hit.add(mixed(sum(mixed((c + 1) * odd_) * pow(odd_, min(i, 63) + 1, full) for i, c in enumerate(w))) >> 44)
+                hit |= {mixed((int.from_bytes(w[:n], "little") + n) * odd_) >> 44 for n in (4, 5, 6) if len(w) >= n}
         logit = []
         for m in chain.models:
             z = m.bias + sum(v for b, v in zip(m.bucket.tolist(), m.weight.tolist(), strict=True) if b in hit) + sum(a * b for a, b in zip(m.chain.tolist(), logit, strict=True))

@@ -128,6 +128,13 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.orderBy(h, key).limit(most)
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads every bit (the splitmix64 finaliser)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class TwoGenerations:
     """A cache of at most ``2 * most`` entries: when the young half is full it becomes the old one; hits move up."""
 

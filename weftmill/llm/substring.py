@@ -39,20 +39,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmill.llm.common import arrow_schema, per_text, texts
+from weftmill.llm.common import arrow_schema, mix, per_text, texts
 
-_A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+_C = np.uint64(0x9E3779B97F4A7C15)
 _P, _Q = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 NOTE = "bucket int, kind int, a long, b long, c long, key binary"
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads every bit (the splitmix64 finaliser)."""
-    x = (x ^ (x >> np.uint64(30))) * _A
-    x = (x ^ (x >> np.uint64(27))) * _B
-    return x ^ (x >> np.uint64(31))
-
-
 _GAP = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", dtype=np.uint8))
 _LONG = 64  # bytes: longer words are named by a library digest
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _C)

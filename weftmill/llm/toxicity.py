@@ -25,20 +25,40 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmill.llm.common import TwoGenerations, bounded_sample, per_text, texts
+from weftmill.llm.common import bounded_sample, mix, per_text, slices, texts
 
 CATEGORIES = ("variant_1", "variant_2", "toxic")
 BUCKETS = 1 << 20
 _LETTERS = bytes(c if chr(c).isascii() and chr(c).isalpha() or c >= 128 else 32 for c in range(256))
 
 
-def buckets(word: bytes) -> tuple[int, ...]:
-    """The feature buckets of a word: the word itself and its prefixes."""
-    keys = [word, *(word[:n] + b"*" for n in (4, 5, 6) if len(word) >= n)]
-    return tuple(zlib.crc32(k) & (BUCKETS - 1) for k in keys)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _SPREAD)
+_POWER = np.cumprod(np.full(64, _SPREAD))
+
+
+def buckets(found: list[bytes]) -> np.ndarray:
+    """The feature buckets of words, four columns: the word itself and its prefixes of 4, 5 and 6 bytes (-1: too short)."""
+    size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    data = np.frombuffer(b"".join(found) + bytes(6), dtype=np.uint8)
+    first = np.cumsum(size) - size
+    out = np.full((len(found), 4), -1, dtype=np.int64)
+    if not len(found):
+        return out
+    body = data[:-6]
+    place = np.minimum(np.arange(len(body)) - np.repeat(first, size), 63)
+    out[:, 0] = mix(np.add.reduceat(_BYTE[body] * _POWER[place], first)) >> np.uint64(44)
+    head = np.zeros(len(found), dtype=np.uint64)
+    for n in range(6):
+        head |= data[first + n].astype(np.uint64) << np.uint64(8 * n)
+        if n >= 3:
+            long = size > n
+            out[long, n - 2] = mix((head[long] + np.uint64(n + 1)) * _SPREAD) >> np.uint64(44)
+    return out
 
 
 def words(text: str | None) -> set[bytes]:
@@ -189,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> Chain:
     chosen = bounded_sample(known, "doc_id", sample)
 
     def features(batch) -> dict:
-        return {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "x": [sorted({k for w in words(t) for k in buckets(w)}) for t in batch.column("text").to_pylist()]}
+        return {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "x": [np.unique(b[b >= 0]) for t in batch.column("text").to_pylist() for b in [buckets(sorted(words(t)))]]}
 
     learnt = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     rows = per_text(learnt.select("doc_id", "text", "y"), features, "doc_id long, y int, x array<int>").toArrow().combine_chunks().sort_by("doc_id")
@@ -205,41 +225,44 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> Chain:
 class _Scorer:
     """Looks each word up once: only words with a kept bucket in any model contribute."""
 
-    def __init__(self, chain: Chain):
-        self.chain = chain
-        self.kept = {int(b) for m in chain.models for b in m.bucket}
-        self.weights = [dict(zip(m.bucket.tolist(), m.weight.tolist(), strict=True)) for m in chain.models]
-        self.plain: set[bytes] = set()  # words without a kept bucket, bounded by two generations
-        self.old: set[bytes] = set()
-        self.hits = TwoGenerations(50_000)
+    def __init__(self, chain: Chain, most: int = 500_000):
+        self.chain, self.most = chain, most
+        self.kept = np.zeros(BUCKETS, dtype=bool)
+        self.weights = []
+        for m in chain.models:
+            self.kept[m.bucket] = True
+            weight = np.zeros(BUCKETS)
+            weight[m.bucket] = m.weight
+            self.weights.append(weight)
+        self.known: set[bytes] = set()
+        self.telling: set[bytes] = set()
+        self.hits: dict[bytes, list[int]] = {}
+
+    def scores(self, texts_: list[str | None]) -> np.ndarray:
+        """One row of chain probabilities for each text."""
+        found = [words(t) for t in texts_]
+        if len(self.known) > self.most:
+            self.known, self.telling, self.hits = set(), set(), {}
+        fresh = list(set().union(*found) - self.known)
+        b = buckets(fresh)
+        ok = self.kept[b] & (b >= 0)
+        for i in np.flatnonzero(ok.any(axis=1)).tolist():
+            self.hits[fresh[i]] = b[i][ok[i]].tolist()
+            self.telling.add(fresh[i])
+        self.known.update(fresh)
+        mine = [sorted({k for w in f & self.telling for k in self.hits[w]}) for f in found]
+        row = np.repeat(np.arange(len(mine)), [len(m) for m in mine])
+        flat = np.array([k for m in mine for k in m], dtype=np.int64)
+        out = np.zeros((len(mine), len(self.chain.models)))
+        earlier = np.zeros((len(mine), 0))
+        for j, (model, weight) in enumerate(zip(self.chain.models, self.weights, strict=True)):
+            s = _sums(weight[flat], row, len(mine)) + earlier @ model.chain + model.bias
+            out[:, j] = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
+            earlier = np.column_stack([earlier, _logit(out[:, j])])
+        return out
 
     def score(self, text: str | None) -> list[float]:
-        hits: set[int] = set()
-        fresh = []
-        for w in words(text) - self.plain:
-            found = self.hits.get(w)
-            if found is None:
-                if w in self.old:
-                    fresh.append(w)
-                    continue
-                found = tuple(b for b in buckets(w) if b in self.kept)
-                if not found:
-                    fresh.append(w)
-                    continue
-                self.hits.put(w, found)
-            hits.update(found)
-        if len(self.plain) + len(fresh) > 300_000:
-            self.old, self.plain = self.plain, set()
-        self.plain.update(fresh)
-        earlier: list[float] = []
-        out = []
-        order = sorted(hits)
-        for model, weight in zip(self.chain.models, self.weights, strict=True):
-            s = model.bias + sum(weight.get(b, 0.0) for b in order) + float(sum(a * b for a, b in zip(model.chain, earlier, strict=True)))
-            p = 1 / (1 + np.exp(-min(40.0, max(-40.0, s))))
-            out.append(float(p))
-            earlier.append(float(_logit(np.float64(p))))
-        return out
+        return self.scores([text])[0].tolist()
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -249,7 +272,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def run(batch) -> dict:
         scorer = state.setdefault("s", _Scorer(chain))
-        p = np.asarray([scorer.score(t) for t in batch.column("text").to_pylist()]).reshape(-1, 3)
+        p = scorer.scores(batch.column("text").to_pylist())
         return {"doc_id": batch.column("doc_id"), **{n: p[:, i] for i, n in enumerate(names)}, "rejected": p[:, -1] >= chain.threshold}
 
     return per_text(texts(docs), run, ", ".join(["doc_id long", *(f"{n} double" for n in names), "rejected boolean"]))
@@ -260,16 +283,9 @@ def keep_clean(docs: DataFrame, chain: Chain) -> DataFrame:
     state: dict[str, _Scorer] = {}
 
     def run(batches):
-        from weftmill.llm.common import slices
-
         scorer = state.setdefault("s", _Scorer(chain))
         for batch in slices(batches):
-            yield batch.filter(np_mask([scorer.score(t)[-1] < chain.threshold for t in batch.column("text").to_pylist()]))
+            yield batch.filter(pa.array(scorer.scores(batch.column("text").to_pylist())[:, -1] < chain.threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
-
-def np_mask(values: list[bool]):
-    import pyarrow as pa
-
-    return pa.array(values, type=pa.bool_())
