@@ -45,3 +45,40 @@ def test_stages(spark):
     assert {p.doc_id for p in pieces} == {r[0] for r in rows}
     whole = corpus_pipeline.run(spark, SF)
     assert sum(p.length for p in whole.collect()) == sum(p.length for p in pieces)
+
+
+def odd_documents(spark):
+    long = "plain words of a very long text, one after another. " * 4000
+    rows = [(1, None, "en", "s", None), (2, "", "en", "s", 0), (3, long, "de", "s", len(long)), (3, long, "de", "s", len(long)), (3, "another text with the same id", "en", "t", 1), (None, "no id at all here", "en", "t", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.selectExpr("*", "'x' as key", "1 as fp", "2 as component_id", "3 as item", "4 as row_id", "5 as sequence_id")
+
+
+def test_odd_rows_and_empty_tables_at_every_stage(spark):
+    docs = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        nothing = stage(spark, docs.limit(0), SF)
+        assert nothing.count() == 0 and nothing.columns == got.columns
+        rows = got.collect()
+        if name == "packing":
+            assert sum(r.start == 0 for r in rows) == docs.count()
+            continue
+        assert got.columns == docs.columns
+        ids = sorted(str(r.doc_id) for r in rows)
+        if name == "near_duplicates":  # null and empty texts are one component; of the three rows with id 3 one stays
+            assert ids == ["1", "3", "None", "None"]
+        else:
+            assert ids == sorted(str(r.doc_id) for r in docs.collect()), name
+
+
+def test_run_leaves_only_its_result(spark, tmp_path):
+    import os
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        out = corpus_pipeline.run(spark, SF)
+        assert out.count() > 0 and [n.split("-")[-1] for n in os.listdir(tmp_path / "weftmill")] == ["packing"]
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")

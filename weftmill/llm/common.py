@@ -1,7 +1,9 @@
 """What the training-data operators share: scratch tables in the shared folder, row hygiene, bounded caches.
 
-Scratch tables go to ``spark.checkpoint.dir`` (set to a temporary folder only where the session leaves it unset,
-as in tests), are written with Spark's commit protocol, and therefore survive the loss of any executor.
+Scratch tables go to ``spark.checkpoint.dir``, are written with Spark's commit protocol, and therefore survive the loss
+of any executor. Where the setting is missing, a local session (as in tests) gets a temporary folder; a cluster gets an
+error, since no machine's own folder is shared. A block ``with scratch_tables(spark) as made:`` owns the tables that its
+thread makes within it, and ``made.drop(keep=...)`` deletes them; tables of other threads and callers stay.
 """
 
 from __future__ import annotations
@@ -9,6 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +23,7 @@ from pyspark.sql import types as T
 
 from weftmill.session import ship_package
 
-_SCRATCH: list[str] = []
+_OWNERS: ContextVar[tuple] = ContextVar("owners", default=())
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -27,6 +31,8 @@ def scratch_root(spark: SparkSession) -> str:
     ship_package(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='weftmill-scratch-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():
@@ -37,7 +43,8 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh path below the shared folder."""
     path = f"{scratch_root(spark)}/weftmill/{uuid.uuid4().hex}-{tag}"
-    _SCRATCH.append(path)
+    for owner in _OWNERS.get():
+        owner.paths.append(path)
     return path
 
 
@@ -55,22 +62,34 @@ def drop(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> None
     """Delete a scratch table that nothing reads any more."""
     path = df_or_path if isinstance(df_or_path, str) else getattr(df_or_path, "_weftmill_path", None)
     spark = spark or df_or_path.sparkSession
-    if path and path in _SCRATCH:
-        _SCRATCH.remove(path)
+    if path:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def scratch_mark() -> int:
-    """A mark for :func:`drop_since`."""
-    return len(_SCRATCH)
+class ScratchTables:
+    """The scratch tables that one caller has made."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
 
-def drop_since(spark: SparkSession, mark: int, keep: str = "") -> None:
-    """Delete the scratch tables made since ``mark``; for callers that have written their result to ``keep``."""
-    for path in list(_SCRATCH[mark:]):
-        if path != keep:
-            drop(path, spark)
+    def drop(self, keep: str = "") -> None:
+        """Delete them, save ``keep``; for callers that have written their result."""
+        for path in self.paths:
+            if path != keep:
+                drop(path, self.spark)
+        self.paths = [keep] if keep in self.paths else []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[ScratchTables]:
+    """Own the scratch tables that this thread makes within the block."""
+    made = ScratchTables(spark)
+    token = _OWNERS.set((*_OWNERS.get(), made))
+    try:
+        yield made
+    finally:
+        _OWNERS.reset(token)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,14 +7,16 @@ Linking works on distinct fingerprints (each with its smallest doc_id), so copie
 
 1. the 64 bits are cut into ``m`` blocks; a pair within two bits agrees on some ``m - 2`` of them, so every such choice
    is a bucket key and no pair is lost. ``m`` grows with the number of distinct fingerprints, to keep buckets small;
-2. inside a bucket of at most ``most`` fingerprints, a table of Hamming distances to ``PIVOTS`` reference fingerprints
-   discards each pair whose largest coordinate difference exceeds two (triangle inequality); survivors are verified;
-3. a bucket over ``most`` is not compared pairwise: each of its fingerprints goes to itself and to its one-bit
-   neighbours, and fingerprints that meet are linked to the smallest one there. Two fingerprints are within two bits
-   exactly if their one-bit balls meet, so this is exact, and a meeting point has at most 65 members.
+2. the table of Hamming distances to ``PIVOTS`` reference fingerprints is made once for each distinct fingerprint and
+   travels with it. In a group, each pair whose largest coordinate difference exceeds two is discarded (triangle
+   inequality), and the survivors are verified;
+3. a bucket of at most ``most`` fingerprints is one group. A larger one is not compared pairwise: each of its
+   fingerprints goes to itself and to its one-bit neighbours, and those that meet are a group. Two fingerprints are within
+   two bits exactly if their one-bit balls meet, so no pair is lost, and such a group has at most 65 members.
 
 Links become components by star rounds. Defined edge cases: null and blank texts have fingerprint 0 and link like any
-other; a null doc_id keeps its row, and its component is the smallest doc_id there, or null; repeated rows are kept.
+other; a very long text is fingerprinted whole; a null doc_id keeps its row, and its component is the smallest doc_id
+there, or null; repeated rows are kept; an empty table gives no rows; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftmill.llm.common import arrow_schema, materialize, per_text, texts
@@ -54,13 +56,13 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed long) of every row."""
+    """``doc_id, h, fp`` (a digest of the text, and the fingerprint as a signed long) of every row."""
 
     def run(batch) -> dict:
         fp = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-        return {"doc_id": batch.column("doc_id"), "fp": fp.view(np.int64)}
+        return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "fp": fp.view(np.int64)}
 
-    return per_text(texts(docs), run, "doc_id long, fp long")
+    return per_text(texts(docs).select("doc_id", "text", F.xxhash64("text").alias("h")), run, "doc_id long, h long, fp long")
 
 
 def pivots(n: int = 16) -> np.ndarray:
@@ -88,9 +90,13 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def block_links(fp: np.ndarray, node: np.ndarray, group: np.ndarray, radius: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def pivot_table(fp: np.ndarray) -> np.ndarray:
+    """The Hamming distances of each fingerprint to the reference fingerprints."""
+    return np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+
+
+def block_links(fp: np.ndarray, node: np.ndarray, group: np.ndarray, table: np.ndarray, radius: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Links between rows of one group (rows sorted by group) within ``radius`` bits, as a spanning forest."""
-    table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)  # the pivot distance table
     parent = np.arange(len(fp))
 
     def find(i: int) -> int:
@@ -125,10 +131,21 @@ def links(distinct: DataFrame, radius: int = 2, most: int = 256) -> DataFrame:
     n = distinct.count()
     m = 3 if n < 1 << 23 else 4 if n < 1 << 33 else 5
     keep = masks(m)
-    rows = distinct.select("fp", "node", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(signed(k))).alias("key")) for i, k in enumerate(keep)])).alias("k"))
-    rows = rows.select("fp", "node", "k.band", "k.key").repartition("band", "key")
-    size = rows.groupBy("band", "key").agg(F.count("*").alias("n"))
-    few = rows.join(size.where((F.col("n") > 1) & (F.col("n") <= most)), ["band", "key"]).groupBy("band", "key").agg(F.collect_list(F.struct("fp", "node")).alias("members"))
+    def tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pivot_table(batch.column("fp").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("node"), pa.array([t.tobytes() for t in table], type=pa.binary())], names=["fp", "node", "pivots"])
+
+    table = distinct.select("fp", "node").mapInArrow(tabulate, "fp long, node long, pivots binary")
+    rows = table.select("fp", "node", "pivots", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(signed(k))).alias("key")) for i, k in enumerate(keep)])).alias("k"))
+    rows = rows.select("fp", "node", "pivots", "k.band", "k.key")
+    size = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    member = F.collect_list(F.struct("fp", "node", "pivots")).alias("members")
+    sized = rows.join(size, ["band", "key"])
+    few = sized.where(F.col("n") <= most).groupBy("band", "key").agg(member)
+    balls = F.array(*[F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64) if not k >> i & 1]) for k in keep])
+    met = sized.where(F.col("n") > most).select("fp", "node", "pivots", "band", F.explode(F.element_at(balls, F.col("band") + 1)).alias("z"))
+    crowded = met.groupBy("band", "z").agg(member).where("size(members) > 1")
 
     schema = arrow_schema("a long, b long")
 
@@ -139,31 +156,35 @@ def links(distinct: DataFrame, radius: int = 2, most: int = 256) -> DataFrame:
                 count = np.array([len(v) for v in lists], dtype=np.int64)
                 flat = lists.flatten()
                 fp = flat.field("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                a, b = block_links(fp, flat.field("node").to_numpy(zero_copy_only=False), np.repeat(np.arange(len(count)), count))
+                known = np.frombuffer(b"".join(flat.field("pivots").to_pylist()), dtype=np.int8).reshape(len(fp), -1)
+                a, b = block_links(fp, flat.field("node").to_numpy(zero_copy_only=False), np.repeat(np.arange(len(count)), count), known)
                 yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], schema=schema)
 
-    near = few.select("members").mapInArrow(compare, "a long, b long")
-    hot = rows.join(size.where(F.col("n") > most).select("band", "key"), ["band", "key"])
-    balls = F.array(*[F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64) if not k >> i & 1]) for k in keep])
-    met = hot.select("node", "band", F.explode(F.element_at(balls, F.col("band") + 1)).alias("z"))
-    low = met.groupBy("band", "z").agg(F.min("node").alias("low"), F.collect_set("node").alias("all")).where(F.size("all") > 1)
-    far = low.select(F.explode("all").alias("a"), F.col("low").alias("b")).where("a <> b")
-    return near.unionByName(far).distinct()
+    return few.select("members").unionByName(crowded.select("members")).mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every row."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """``doc_id, h, fp, component_id`` of every row; ``h`` is a digest of the text."""
     each = materialize(fingerprints(docs), "fingerprints")
     distinct = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
     roots = components(links(distinct.where("node is not null")))
     known = distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return each.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return each.join(known, "fp").select("doc_id", "h", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of every row."""
+    return _grouped(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each component: the one with its smallest doc_id (of equal ids, one row); rows without an id stay."""
-    kept = materialize(near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    out = docs.join(kept.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")  # the ids grow with the input: the same plan at every size
-    if kept.where("n > 1").limit(1).count():
-        out = out.unionByName(docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.unionByName(docs.where("doc_id is null"))
+    """One row of each component: the one with its smallest doc_id; of several texts with that id, the one with the
+    smallest digest, and of wholly equal rows one. Rows without an id stay."""
+    first = _grouped(docs).where("doc_id = component_id").groupBy("component_id").agg(F.min("h").alias("h"), F.count("*").alias("n"))
+    kept = materialize(first, "kept").select(F.col("component_id").alias("_id"), F.col("h").alias("_h"), "n")
+    marked = docs.withColumn("_digest", F.xxhash64("text"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    out = marked.join(kept.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_digest") == F.col("_h")))  # the ids grow with the input: the same plan at every size
+    one = Window.partitionBy("doc_id").orderBy(*[c for c in own])  # only ids that several rows share are ranked
+    several = out.where("n > 1").withColumn("_rank", F.row_number().over(one)).where("_rank = 1")
+    return out.where("n = 1").select(*own).unionByName(several.select(*own)).unionByName(docs.where("doc_id is null"))
