@@ -3,6 +3,11 @@
 Every stage is a function of (spark, docs, sf_dir); all but the last return the columns of ``documents``. ``run`` writes
 each stage's result as Parquet in the shared folder and reads it again. The result has no SQL twin: the classifier and
 the tokenizer are beyond SQL; ``tests/llm/test_pipeline.py`` holds each stage against a brute-force version instead.
+What the stages write on the way is deleted as soon as the next one has been written; only the result stays.
+
+Defined edge cases: an empty table gives an empty table at every stage; null texts are empty; very long texts are taken
+whole; columns beyond those of ``documents`` pass through all stages but the last. Rows without an id pass the second
+stage, each by itself; repeated rows are one row after it; see each operator for its ties.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftmill.llm import decontam, packing, pii, simhash, toxicity
-from weftmill.llm.common import drop_since, materialize, scratch_mark
+from weftmill.llm.common import materialize, scratch_tables
 from weftmill.session import ship_package
 
 
@@ -55,10 +60,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from ``documents`` to packed pieces."""
     docs = _table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        mark = scratch_mark()
-        kept = stage(spark, docs, sf_dir)
-        docs = materialize(kept, name)
-        path = docs._weftmill_path
-        drop_since(spark, mark, keep=path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch_tables(spark) as made:
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+            made.drop(keep=docs._weftmill_path)
+    return docs
