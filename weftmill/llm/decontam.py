@@ -290,9 +290,9 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with their columns."""
-    bad = matches(docs, benchmark, **options).where(contaminated(_n_hit(), F.col("n_words"))).select("key").distinct()
+    bad = matches(docs, benchmark, **options).where(contaminated(_n_hit(), F.col("n_words"))).select(F.col("key").alias("_weftmill_bad")).distinct()
     marked = docs.withColumn("_weftmill_key", row_key())
-    return marked.join(bad.hint("merge"), F.col("_weftmill_key") == F.col("key"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return marked.join(bad.hint("merge"), F.col("_weftmill_key") == F.col("_weftmill_bad"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(items: list[str]) -> str:

@@ -181,10 +181,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each component: the one with its smallest doc_id; of several texts with that id, the one with the
     smallest digest, and of wholly equal rows one. Rows without an id stay."""
     first = _grouped(docs).where("doc_id = component_id").groupBy("component_id").agg(F.min("h").alias("h"), F.count("*").alias("n"))
-    kept = materialize(first, "kept").select(F.col("component_id").alias("_id"), F.col("h").alias("_h"), "n")
-    marked = docs.withColumn("_digest", F.xxhash64("text"))
+    kept = materialize(first, "kept").select(F.col("component_id").alias("_weftmill_id"), F.col("h").alias("_weftmill_h"), F.col("n").alias("_weftmill_n"))
+    marked = docs.withColumn("_weftmill_digest", F.xxhash64("text"))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    out = marked.join(kept.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_digest") == F.col("_h")))  # the ids grow with the input: the same plan at every size
+    out = marked.join(kept.hint("merge"), (F.col("doc_id") == F.col("_weftmill_id")) & (F.col("_weftmill_digest") == F.col("_weftmill_h")))  # the ids grow with the input: the same plan at every size
     one = Window.partitionBy("doc_id").orderBy(*[c for c in own])  # only ids that several rows share are ranked
-    several = out.where("n > 1").withColumn("_rank", F.row_number().over(one)).where("_rank = 1")
-    return out.where("n = 1").select(*own).unionByName(several.select(*own)).unionByName(docs.where("doc_id is null"))
+    several = out.where("_weftmill_n > 1").withColumn("_weftmill_rank", F.row_number().over(one)).where("_weftmill_rank = 1")
+    return out.where("_weftmill_n = 1").select(*own).unionByName(several.select(*own)).unionByName(docs.where("doc_id is null"))
