@@ -72,13 +72,11 @@ def test_odd_rows_and_empty_tables_at_every_stage(spark):
             assert ids == sorted(str(r.doc_id) for r in docs.collect()), name
 
 
-def test_run_leaves_only_its_result(spark, tmp_path):
+def test_run_leaves_only_its_result(spark, tmp_path, monkeypatch):
     import os
 
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        out = corpus_pipeline.run(spark, SF)
-        assert out.count() > 0 and [n.split("-")[-1] for n in os.listdir(tmp_path / "weftmill")] == ["packing"]
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+    from weftmill.llm import common
+
+    monkeypatch.setattr(common, "scratch_root", lambda _: f"file://{tmp_path}")
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 0 and [n.split("-")[-1] for n in os.listdir(tmp_path / "weftmill")] == ["packing"]
