@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from weftmill.session import ship_package
 
+_FALLBACK: dict[str, str] = {}
 _OWNERS: ContextVar[tuple] = ContextVar("owners", default=())
 
 
@@ -33,8 +34,9 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='weftmill-scratch-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _FALLBACK.get(app) or f"file://{tempfile.mkdtemp(prefix='weftmill-scratch-')}"
+        _FALLBACK[app] = root
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
