@@ -181,7 +181,7 @@ class Index:
         return -(m[:, : self.half] @ self.left.T), -(m[:, self.half :] @ self.right.T)
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: int | None = None, recall: float = 0.97, sample: int = 20_000, cell: int = 256, codes: int | None = None, region: int = 8192, block: int = 2048, chunk: int = 256, judges: int = 256) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: int | None = None, recall: float = 0.97, sample: int = 20_000, cell: int = 256, codes: int | None = None, region: int = 1024, block: int = 1024, chunk: int = 256, judges: int = 256) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row whose id is divisible by ``every``."""
     rows = materialize(usable(vectors), "vectors")
     index = materialize(entries(rows, k), "entries")
@@ -223,12 +223,18 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: int | None =
 
     has = placed.mapInArrow(settle, f"cid long, v {made.kind}, region long")
 
-    def packed(df: DataFrame, key: str, vector: str, most: int, name: str) -> DataFrame:
-        per = df.groupBy("region").agg(F.count("*").alias("n"))  # one number a region
-        slot = F.pmod(F.xxhash64(key), F.ceil(F.col("n") / most)).alias("slot")
-        return df.join(per, "region").select("region", slot, key, vector).groupBy("region", "slot").agg(F.collect_list(F.struct(key, vector)).alias(name)).drop("slot")
+    per = has.groupBy("region").agg(F.count("*").alias("n"))  # one number a region
+    slots = per.select("region", F.ceil(F.col("n") / block).cast("int").alias("slots"))
 
-    pairs = packed(visits, "qid", "q", chunk, "asks").join(packed(has, "cid", "v", block, "has"), "region")
+    def packed(df: DataFrame, key: str, vector: str, slot: F.Column, name: str) -> DataFrame:
+        return df.select("region", slot.alias("slot"), key, vector).groupBy("region", "slot").agg(F.collect_list(F.struct(key, vector)).alias(name))
+
+    # a region's entries are dealt to slots, and each block of queries goes to each of them: crowded regions are many tasks
+    held_by = packed(has.join(slots, "region"), "cid", "v", F.pmod(F.xxhash64("cid"), F.col("slots")), "has")
+    turns = visits.groupBy("region").agg(F.ceil(F.count("*") / chunk).alias("turns"))
+    asking = packed(visits.join(turns, "region"), "qid", "q", F.pmod(F.xxhash64("qid"), F.col("turns")), "asks").drop("slot")
+    asking = asking.join(slots, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).cast("long").alias("slot"), "asks")
+    pairs = asking.join(held_by, ["region", "slot"])
     schema = arrow_schema("qid long, cid long, score double")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
