@@ -224,7 +224,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: int | None =
     has = placed.mapInArrow(settle, f"cid long, v {made.kind}, region long")
 
     per = has.groupBy("region").agg(F.count("*").alias("n"))  # one number a region
-    slots = per.select("region", F.ceil(F.col("n") / block).cast("int").alias("slots"))
+    slots = per.select("region", F.ceil(F.col("n") / block).cast("long").alias("slots"))
 
     def packed(df: DataFrame, key: str, vector: str, slot: F.Column, name: str) -> DataFrame:
         return df.select("region", slot.alias("slot"), key, vector).groupBy("region", "slot").agg(F.collect_list(F.struct(key, vector)).alias(name))
@@ -233,7 +233,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: int | None =
     held_by = packed(has.join(slots, "region"), "cid", "v", F.pmod(F.xxhash64("cid"), F.col("slots")), "has")
     turns = visits.groupBy("region").agg(F.ceil(F.count("*") / chunk).alias("turns"))
     asking = packed(visits.join(turns, "region"), "qid", "q", F.pmod(F.xxhash64("qid"), F.col("turns")), "asks").drop("slot")
-    asking = asking.join(slots, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).cast("long").alias("slot"), "asks")
+    asking = asking.join(slots, "region").select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"), "asks")
     pairs = asking.join(held_by, ["region", "slot"])
     schema = arrow_schema("qid long, cid long, score double")
 

@@ -7,8 +7,8 @@ around. Each symbol carries its dependency extent: the words that decide that it
 hold the same symbols wherever the extent lies within the window; only symbols at the borders may differ.
 
 Spark rounds, one for each level of symbols. In round ``r`` each window that is still alive chooses, of the symbols of
-level ``r`` that it determines, the one with the smallest mixed name, which stands for the words of its extent (a window
-that determines none stands for itself). The chosen names are grouped over the whole corpus, and a name that stands in
+level ``r`` that it determines, the one with the smallest mixed name, which stands for the words of its extent. A window
+that determines none stands for itself in the first round and waits in the later ones. The chosen names are grouped over the whole corpus, and a name that stands in
 one document only ends every window that chose it: it can't repeat elsewhere. The names that are left go back to the
 buckets they came from, and only their windows climb to the next level.
 
@@ -121,10 +121,16 @@ def spans_digest(s: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndar
 
 
 def choices(s: np.ndarray, at: np.ndarray, width: int, rounds: int) -> np.ndarray:
+    """The names of :func:`choose`."""
+    return choose(s, at, width, rounds)[0]
+
+
+def choose(s: np.ndarray, at: np.ndarray, width: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """What each window starting at ``at`` (ascending) chooses: a function of the window's words alone.
 
     The window takes, of the symbols that it determines, the one with the smallest mixed name. The symbol stands for
     its whole dependency extent, whose words are all in the window: common words alone don't bring documents together.
+    Also whether it determines any symbol; one that doesn't takes its own words.
     """
     name, first, after = recompress(s, rounds)
     rank = mix(name + _C)
@@ -148,7 +154,7 @@ def choices(s: np.ndarray, at: np.ndarray, width: int, rounds: int) -> np.ndarra
             step *= 2
         used, where = np.unique(best, return_inverse=True)
         out[some] = spans_digest(s, first[used], after[used])[where]
-    return out
+    return out, some
 
 
 def _starts(lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,14 +209,17 @@ class _Bucket:
         return list({p: i for i, p in reversed(list(enumerate(zip(self.ids.tolist(), self.keys, strict=True)))) if p in self.firsts}.values())
 
     def alive(self, width: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols of the fresh texts, and the starts and doc_ids of the windows whose name of ``level`` is shared (0: all)."""
+        """Symbols of the fresh texts, and the starts and doc_ids of the windows that the rounds up to ``level`` have left."""
         rows = self.fresh()
         joined, lengths = symbols([self.texts[i] for i in rows])
         at, doc = _starts(lengths, width)
-        if level and len(at):
-            name = choices(joined, at, width, level)
+        for r in range(1, level + 1):
+            if not len(at):
+                break
+            name, some = choose(joined, at, width, r)
             turn = _turns(name, doc)
-            kept = np.isin(name[turn], self.values[level][0] if level in self.values else joined[:0])[np.cumsum(turn) - 1]
+            kept = np.isin(name[turn], self.values[r][0] if r in self.values else joined[:0])[np.cumsum(turn) - 1]
+            kept |= ~some & (r > 1)  # what a higher level can't judge stays as the level below left it
             at, doc = at[kept], doc[kept]
         return joined, at, self.ids[rows][doc] if len(at) else np.zeros(0, dtype=np.int64)
 
@@ -227,8 +236,8 @@ def reveal(met: Callable, notes: DataFrame, width: int, level: int) -> DataFrame
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         bucket = _Bucket(docs, known)
         joined, at, ids = bucket.alive(width, level - 1)
-        name = choices(joined, at, width, level) if len(at) else np.zeros(0, dtype=np.uint64)
-        turn = _turns(name, ids)
+        name, some = choose(joined, at, width, level) if len(at) else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool))
+        turn = _turns(name, ids) & (some | (level == 1))
         (name,), _, several = _gathered([name[turn]], ids[turn])
         return pa.Table.from_arrays([pa.array(name.view(np.int64)), _places(bucket.number, several)], schema=schema)
 
@@ -316,8 +325,8 @@ def _processed(docs: DataFrame, emit: Callable[[list[bytes], int], tuple], ddl:
         return place.cogroup(known.groupBy("bucket")).applyInArrow(fn, schema)
 
     known = notes
-    for level in range(1, rounds + 1):  # what a round leaves is a subset of what the one before left
-        known = notes.unionByName(reveal(met, known, width, level))
+    for level in range(1, rounds + 1):
+        known = known.unionByName(reveal(met, known, width, level))
     notes = notes.unionByName(verify(met, known, width, rounds))
     schema = arrow_schema(ddl)
 
