@@ -70,7 +70,7 @@ def test_clustered_vectors_are_pruned_and_found(spark):
 
     df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 16).cast(pa.list_(pa.float32()))}), schema)
     index = ann.materialize(ann.entries(ann.usable(df), 20), "entries")
-    made = ann.Index(index, 64, None, 20_000, 1024)
+    made = ann.Index(index, 256, None, 20_000, 1024)
     queries = index.where("cid % 100 = 50").select("cid", "v")
     probe = ann.measured_probe(queries, made.placed, made, 20, 0.97, 256)
     assert probe < len(x) / 2
