@@ -13,40 +13,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_KEY = re.compile(r"^([A-Za-z0-9_.-]+):\s*(.*)$")
-_ITEM = re.compile(r"^\s*-\s+(.*)$")
 _BLOCK = re.compile(r"^---\n(.*?)\n---\n?(.*)\Z", re.S)
+_KEY_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 
 
-def scalar(raw: str):
-    """A front-matter value: quoted text, an inline list, an integer, or plain text."""
-    raw = raw.strip()
-    if raw[:1] == "[" and raw[-1:] == "]":
-        inner = raw[1:-1].strip()
-        return [scalar(p) for p in inner.split(",")] if inner else []
-    if raw[:1] in ("'", '"'):
-        rest = raw[1:]
-        end = rest.find(raw[0])
-        return (rest if end < 0 else rest[:end]).replace("\\" + raw[0], raw[0])
-    return int(raw) if re.fullmatch(r"-?\d+", raw) else raw
+def unquoted(value: str) -> str:
+    """Text between the first quotation mark and the next of its kind (or the end)."""
+    mark, rest = value[0], value[1:]
+    return rest.split(mark, 1)[0].replace("\\" + mark, mark)
+
+
+def typed(value: str):
+    """A front-matter value: an inline list, quoted text, an integer, or plain text."""
+    value = value.strip()
+    match value[:1], value[-1:]:
+        case "[", "]":
+            return [typed(part) for part in value[1:-1].split(",")] if value[1:-1].strip() else []
+        case ("'" | '"'), _:
+            return unquoted(value)
+    digits = value.removeprefix("-")
+    return int(value) if digits.isdecimal() and digits.isascii() else value
 
 
 def board_frontmatter(text: str | None) -> tuple[dict, str]:
-    """The front matter of a board file (block lists belong to the key before them) and its body."""
+    """The front matter of a board file and its body. A key without a value opens a list of the ``- item`` lines below."""
     text = (text or "").replace("\r\n", "\n")
-    m = _BLOCK.match(text)
-    if not m:
+    block = _BLOCK.match(text)
+    if block is None:
         return {}, text
-    out: dict = {}
-    key = None
-    for line in m[1].split("\n"):
-        item, pair = _ITEM.match(line), _KEY.match(line)
-        if item and key is not None and isinstance(out[key], list):
-            out[key].append(scalar(item[1]))
-        elif pair:
-            key = pair[1]
-            out[key] = scalar(pair[2]) if pair[2].strip() else []
-    return out, m[2]
+    fields: dict = {}
+    open_list: list | None = None
+    for line in block[1].split("\n"):
+        dash, _, item = line.lstrip().partition(" ")
+        if dash == "-" and item and open_list is not None:
+            open_list.append(typed(item))
+            continue
+        key, colon, value = line.partition(":")
+        if colon and key and _KEY_CHARS.issuperset(key):
+            fields[key] = typed(value) if value.strip() else []
+            open_list = fields[key] if isinstance(fields[key], list) else None
+    return fields, block[2]
 
 
 @F.pandas_udf(T.StructType().add("frontmatter", "string").add("body", "string"))

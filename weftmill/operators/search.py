@@ -94,7 +94,7 @@ class Planner:
         else:
             pieces = F.when(F.col("plan") == "decompose", F.split("text", " and ")).otherwise(F.array("text"))
             parts = planned.where("plan <> 'clarify'").select(F.col("qid").alias("parent"), F.posexplode(pieces).alias("part", "text"))
-        parts = parts.withColumn("qid", F.col("parent") * 1000 + F.col("part"))
+        parts = parts.withColumn("qid", F.struct("parent", "part"))
         hits = search(parts.select("qid", "text"), corpus, k, how="bm25").join(parts.select("qid", "parent", "part"), "qid")
         hits = self.relevant(hits) if self.relevant else hits
         if self.fallback:

@@ -69,11 +69,11 @@ def drained(stream: DataFrame, mode: str, base: str) -> DataFrame:
     """Run a stream over what there is, and return what the last state of its sink holds."""
     spark, schema = stream.sparkSession, stream.schema
 
-    def sink(rows: DataFrame, epoch: int) -> None:
-        rows.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+    def sink(rows: DataFrame, epoch: int) -> None:  # a batch that is run again writes the same folder again
+        rows.write.mode("overwrite").parquet(f"{base}/out/epoch={0 if mode == 'complete' else epoch}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{base}/out")
+    return spark.read.schema(schema).parquet(f"{base}/out").select(*schema.names)
 
 
 def rate_limited_stream(stream: DataFrame, key: str, at: str, seconds: float) -> DataFrame:
