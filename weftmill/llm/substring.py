@@ -17,7 +17,7 @@ window meet, and the smallest doc_id of each is known. Cut: windows that start i
 go; both digests (128 bits) are compared there.
 
 How the rows move. Documents are dealt to buckets of about ``bucket_bytes`` by a hash of id and text, and the texts are
-exchanged once, by bucket. What is known of a name or a window goes to buckets, not to documents: a passage that a third
+exchanged once, compressed, by bucket. What is known of a name or a window goes to buckets, not to documents: a passage that a third
 of all documents share is one row a bucket when it is grouped, whatever the number of documents. Exact copies of a text
 cost no more than their share of a map-side minimum: the (id, digest) of each text's first document is sent to that
 document's own bucket, every row that finds no such note is a copy, and nothing is joined on the text's digest.
@@ -31,15 +31,16 @@ other columns are left alone.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmill.llm.common import arrow_schema, mix, per_text, texts
+from weftmill.llm.common import arrow_schema, mix, per_text, slices, texts
 
 _C = np.uint64(0x9E3779B97F4A7C15)
 _P, _Q = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
@@ -190,12 +191,29 @@ def _turns(name: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return turn
 
 
+_UNPACK = zstandard.ZstdDecompressor()
+PACKED = "doc_id long, body binary, key binary"
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Texts compressed for the exchange, which four rounds read."""
+    schema = arrow_schema(PACKED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in slices(batches):
+            body = [None if t is None else pack(t.encode("utf-8")) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(body, type=pa.binary()), batch.column("key")], schema=schema)
+
+    return docs.mapInArrow(run, PACKED)
+
+
 class _Bucket:
     """The texts of one bucket and what has been noted about them."""
 
     def __init__(self, docs: pa.Table, notes: pa.Table):
         self.ids = docs.column("doc_id").to_numpy()
-        self.texts = docs.column("text").to_pylist()
+        self.texts = [None if b is None else _UNPACK.decompress(b).decode("utf-8") for b in docs.column("body").to_pylist()]
         self.keys = docs.column("key").to_pylist()
         self.number = docs.column("bucket")[0].as_py() if docs.num_rows else 0
         kind = notes.column("kind").to_numpy()
@@ -316,7 +334,7 @@ def _processed(docs: DataFrame, emit: Callable[[list[bytes], int], tuple], ddl:
     of = F.pmod(F.xxhash64("doc_id", "key"), F.lit(buckets)).cast("int").alias("bucket")
     key = F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key")
     named = every.where("doc_id is not null")
-    place = named.select("doc_id", "text", key).select(of, "doc_id", "text", "key").groupBy("bucket")
+    place = packed(named.select("doc_id", "text", key)).select(of, "doc_id", "body", "key").groupBy("bucket")
     none = F.lit(0).cast("long")
     first = named.select("doc_id", key).groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     notes = first.select(of, F.lit(0).alias("kind"), F.col("doc_id").alias("a"), none.alias("b"), none.alias("c"), "key")
@@ -343,11 +361,11 @@ def _processed(docs: DataFrame, emit: Callable[[list[bytes], int], tuple], ddl:
     return met(notes, final, ddl).unionByName(per_text(every.where("doc_id is null"), whole, ddl))
 
 
-def deduplicate(docs: DataFrame, width: int = 13, rounds: int = 2, bucket_bytes: int = 8 << 20) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 13, rounds: int = 1, bucket_bytes: int = 8 << 20) -> DataFrame:
     """``doc_id, text`` of every row, without the words that repeat an earlier document (kept words joined by a space)."""
     return _processed(docs, lambda kept, removed: (b" ".join(kept).decode("utf-8", "surrogatepass"),), "doc_id long, text string", width, rounds, bucket_bytes)
 
 
-def report(docs: DataFrame, width: int = 13, rounds: int = 2, bucket_bytes: int = 8 << 20) -> DataFrame:
+def report(docs: DataFrame, width: int = 13, rounds: int = 1, bucket_bytes: int = 8 << 20) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of every row."""
     return _processed(docs, lambda kept, removed: (len(kept) + removed, removed, hashlib.sha256(b" ".join(kept)).hexdigest()), "doc_id long, n_words long, n_removed long, kept_sha256 string", width, rounds, bucket_bytes)
