@@ -11,7 +11,7 @@ offset, length, n_tokens, ids_crc32, first). One record, all integers little-end
 
 ``masked(c) = rotate_right(c, 15) + 0xA282EAD8 mod 2^32``, so a checksum stored among data doesn't check itself.
 
-Documents are range-partitioned by doc_id, then by how the text begins, its digest and the row number, before they are encoded, so rows
+Documents are range-partitioned by doc_id, then by how the text begins and the row number, before they are encoded, so rows
 that share an id, or have none, or are wholly equal, are still cut into many shards of about ``shard_bytes``. Each task
 encodes its sorted share and Spark's own file writer commits the shard, so a lost executor or a repeated attempt leaves
 no half shard, and any Hadoop file system will do. Records are arbitrary bytes, mostly no valid UTF-8; the text writer
@@ -19,7 +19,7 @@ puts a string's bytes as they are, and the checksums would show it if it did not
 shards back and checking every checksum.
 
 Defined edge cases: a null text is an empty text (only the end id); a null doc_id sorts first; equal doc_ids are
-ordered by the first 64 characters of the text, then by its digest; a very long text is one record in a shard of its own size; an empty table gives no
+ordered by the first 64 characters of the text, then as they come; a very long text is one record in a shard of its own size; an empty table gives no
 records; other columns are left alone.
 """
 
@@ -78,9 +78,9 @@ def read_record(file, offset: int) -> tuple[int | None, np.ndarray]:
 
 def write(docs: DataFrame, base: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, tokenizer_path: str | None = None, shard_bytes: int = 24 << 20) -> str:
     """Write the records of ``docs`` below ``base``; a shard holds about ``shard_bytes`` of text."""
-    rows = texts(docs).withColumn("head", F.left("text", F.lit(64))).withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    rows = texts(docs).withColumn("head", F.left("text", F.lit(64))).withColumn("row", F.monotonically_increasing_id())
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    ordered = rows.repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id", "head", "h", "row").sortWithinPartitions("doc_id", "head", "h", "row").select("doc_id", "text")
+    ordered = rows.repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id", "head", "row").sortWithinPartitions("doc_id", "head", "row").select("doc_id", "text")
     tail = np.array([end_id], dtype="<u2").tobytes()
 
     def encode(batch) -> dict:
