@@ -22,11 +22,14 @@ def chain(c: Column, *steps: tuple[str, str]) -> Column:
 
 
 def normalize_markdown(c: Column) -> Column:
-    """Markdown as comparable plain text, whatever tool rendered it."""
+    """Markdown as comparable plain text, whatever tool rendered it.
+
+    Blanks are taken possessively, each run once from its start; a single space is left as it is instead of replaced.
+    """
     c = chain(
         c,
         (r"^---\r?\n[\s\S]*?\r?\n---\r?\n?", ""), (r"<!--[\s\S]*?-->", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"```[\s\S]*?```", " "), (r"`([^`]*)`", " $1 "), (r"\*+", ""), (r"_+", ""),
-        (r"(?m)^\s*#{1,6}\s+", ""), (r"(?m)^\s*>\s?", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+[.)]\s+", ""), (r"\|", " "), (r"\s+([.,;:!?])", "$1"), (r"\s+", " "),
+        (r"(?m)^\s*+#{1,6}\s++", ""), (r"(?m)^\s*+>\s?", ""), (r"(?m)^\s*+[-*+]\s++", ""), (r"(?m)^\s*+\d++[.)]\s++", ""), (r"\|", " "), (r"(?<!\s)\s++([.,;:!?])", "$1"), (r" \s++|[\s&&[^ ]]\s*+", " "),
     )
     return F.lower(F.trim(c))
 
