@@ -114,7 +114,7 @@ def test_registered_fold_reaches_past_the_opening(spark, tmp_path):
     from weftmill.plans.registry import QUERIES
 
     spark.createDataFrame([(1, "x" * 250 + " É END ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert QUERIES["txt4_fold_whole"](spark, str(tmp_path)).first().folded == "x" * 250 + " e end"
+    assert QUERIES["txt4_fold"](spark, str(tmp_path)).first().folded == "x" * 250 + " e end"
 
 
 def test_registered_two_hops_take_every_customer(spark, tmp_path):
@@ -130,7 +130,7 @@ def test_registered_two_hops_take_every_customer(spark, tmp_path):
         one = near[root]
         two = {x for n in one for x in near[n]} - one - {root}
         want |= {(root, root, 0)} | {(root, x, 1) for x in one} | {(root, x, 2) for x in two}
-    assert sorted(tuple(r) for r in QUERIES["ret14_two_hops_whole"](spark, str(tmp_path)).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in QUERIES["ret14_two_hops"](spark, str(tmp_path)).collect()) == sorted(want)
 
 
 def test_positions_and_column_rows_of_whole_tables(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftmill.functions import text as X
-from weftmill.plans.registry import MD, NL, TOKENS, markdown, query, table
+from weftmill.plans.registry import MD, NL, TOKENS, markdown, query, spread, table
 
 _SLUG = "coalesce(nullif(left(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), ''), 'document')"
 _STEPS = [
@@ -40,7 +40,7 @@ def txt3_canonical(spark, sf_dir):
     """The first writer of equal content is canonical."""
     from weftmill.operators.dedup import canonical
 
-    return canonical(markdown(table(spark, sf_dir, "documents")).select("doc_id", X.normalize_markdown(F.col("md")).alias("plain")))
+    return canonical(markdown(spread(table(spark, sf_dir, "documents"))).select("doc_id", X.normalize_markdown(F.col("md")).alias("plain")))
 
 
 @query(f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {TOKENS} AS t FROM documents)")
@@ -50,14 +50,8 @@ def txt4_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
-@query("SELECT doc_id, translate(lower(trim(left(text, 200))), 'áàâäãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy') AS folded FROM documents")
-def txt4_fold(spark, sf_dir):
-    """Query folding of the opening of each document."""
-    return table(spark, sf_dir, "documents").select("doc_id", X.fold_query(F.left("text", F.lit(200))).alias("folded"))
-
-
 @query("SELECT doc_id, translate(lower(trim(text)), 'áàâäãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy') AS folded FROM documents")
-def txt4_fold_whole(spark, sf_dir):
+def txt4_fold(spark, sf_dir):
     """Query folding of each whole document."""
     return table(spark, sf_dir, "documents").select("doc_id", X.fold_query(F.col("text")).alias("folded"))
 
@@ -102,11 +96,12 @@ def txt22_section_chain(spark, sf_dir):
     return rows.select("n_nationkey", X.section_chain(F.concat("r_name", F.lit(" / "), "n_name", F.lit("/ x "))).alias("chain")).distinct()
 
 
-@query("SELECT p_partkey, list_filter(list_transform(string_split(p_type || ',' || upper(p_type) || '/ ' || p_brand, ','), lambda x: trim(x)), lambda x: false) || [p_type, p_brand] AS canonicals FROM part WHERE NOT contains(p_type, '/') AND NOT contains(p_type, ',')")
+@query("""WITH c AS (SELECT p_partkey, unnest(t) AS c, generate_subscripts(t, 1) AS i FROM (SELECT p_partkey, string_split_regex(p_type || ', ' || upper(p_type) || '/ ' || p_brand || ' ,, ' || coalesce(p_name, '') || '/' || lower(p_type), '[,/]') AS t FROM part)),
+f AS (SELECT p_partkey, arg_min(trim(c), i) AS first, min(i) AS place FROM c WHERE trim(c) <> '' GROUP BY p_partkey, lower(trim(c))) SELECT p_partkey, list(first ORDER BY place) AS canonicals FROM f GROUP BY p_partkey""")
 def txt25_canonicals(spark, sf_dir):
     """Canonical terms: the first spelling of each."""
-    rows = table(spark, sf_dir, "part").where(~F.col("p_type").contains("/") & ~F.col("p_type").contains(","))
-    return rows.select("p_partkey", X.canonicals(F.concat("p_type", F.lit(", "), F.upper("p_type"), F.lit("/ "), "p_brand", F.lit(" ,, "))).alias("canonicals"))
+    rows = table(spark, sf_dir, "part")
+    return rows.select("p_partkey", X.canonicals(F.concat("p_type", F.lit(", "), F.upper("p_type"), F.lit("/ "), "p_brand", F.lit(" ,, "), "p_name", F.lit("/"), F.lower("p_type"))).alias("canonicals"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
