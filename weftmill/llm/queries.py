@@ -158,3 +158,34 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftmill.llm import pii
 
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+def _op11_sql(rounds: int = 4) -> str:
+    """The rounds written out: each assigns all parts and replaces the entries that were used."""
+    nearest = """SELECT p.r, p.j, min(list_dot_product(p.e, p.e) - 2 * list_dot_product(p.e, c.e) + list_dot_product(c.e, c.e)) AS d,
+      arg_min(c.i, (list_dot_product(p.e, p.e) - 2 * list_dot_product(p.e, c.e) + list_dot_product(c.e, c.e)) * 256 + c.i) AS i FROM p JOIN {c} c USING (j) GROUP BY p.r, p.j"""
+    steps = []
+    for k in range(rounds):
+        steps.append(f"""a{k} AS MATERIALIZED ({nearest.format(c=f"c{k}")}),
+m{k} AS (SELECT j, i, list(floor(s / n) ORDER BY q) AS e FROM (SELECT a.j, a.i, x.q, sum(x.v) AS s, count(*) AS n FROM a{k} a JOIN x USING (r, j) GROUP BY a.j, a.i, x.q) GROUP BY j, i),
+c{k + 1} AS MATERIALIZED (SELECT c.j, c.i, coalesce(m.e, c.e) AS e FROM c{k} c LEFT JOIN m{k} m USING (j, i))""")
+    return f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, j, v[j * len(v) // 4 + 1 : (j + 1) * len(v) // 4] AS e FROM k, range(4) AS t(j)),
+x AS MATERIALIZED (SELECT r, j, generate_subscripts(e, 1) AS q, unnest(e) AS v FROM p),
+c0 AS MATERIALIZED (SELECT j, r - 1 AS i, e FROM p WHERE r <= 256),
+{",".join(steps)},
+z AS MATERIALIZED ({nearest.format(c=f"c{rounds}")}),
+o AS (SELECT k.vec_id, k.label, string_agg(lpad(lower(to_hex(z.i)), 2, '0'), '' ORDER BY z.j) AS code, CAST(sum(z.d) AS BIGINT) AS error FROM k JOIN z USING (r) GROUP BY k.r, k.vec_id, k.label),
+s AS (SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY j, i, q)) AS sha FROM (SELECT j, i, generate_subscripts(e, 1) AS q, unnest(e) AS v FROM c{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM o, s
+"""
+
+
+@query(_op11_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes, errors and codebooks of all vectors."""
+    from weftmill.llm import vectorcodes
+
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
