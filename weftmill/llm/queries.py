@@ -189,3 +189,28 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftmill.llm import vectorcodes
 
     return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
+_OP12_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+           CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS place FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3 * CAST(sum(size) AS BIGINT) AS cap, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER o AS k, (SELECT CAST(sum(source_size) AS BIGINT) FROM s) - coalesce(CAST(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS words_left,
+             CAST(sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS over FROM s WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
+f AS (SELECT words_left, over FROM r WHERE CAST(w AS HUGEINT) * words_left <= CAST(cap AS HUGEINT) * over ORDER BY k LIMIT 1),
+t AS (SELECT s.source, source_size, CASE WHEN CAST(w AS HUGEINT) * words_left > CAST(cap AS HUGEINT) * over THEN CAST(cap AS DOUBLE) ELSE CAST(w * words_left AS DOUBLE) / CAST(over AS DOUBLE) END AS target FROM s, f),
+b AS (SELECT d.*, t.source_size, t.target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS begin
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, begin + pass * source_size AS since FROM b, range(3) AS e(pass) WHERE size > 0 AND begin + pass * source_size < target),
+g AS (SELECT doc_id, source, size, CAST(sum(size) OVER (ORDER BY CAST(since + size AS DOUBLE) / target, place, source NULLS LAST, doc_id NULLS FIRST, size, pass ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM q),
+u AS (SELECT doc_id, source, size, CAST(sum(greatest(0, least(size, (SELECT sum(size) FROM d) - upto + size))) AS BIGINT) AS taken FROM g GROUP BY doc_id, source, size)
+SELECT b.doc_id, b.size, b.source_size, b.target, coalesce(u.taken, 0) AS taken FROM b LEFT JOIN u ON b.doc_id IS NOT DISTINCT FROM u.doc_id AND b.source IS NOT DISTINCT FROM u.source AND b.size = u.size
+"""
+
+
+@query(_OP12_SQL)
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    from weftmill.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents"))
