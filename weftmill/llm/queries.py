@@ -214,3 +214,48 @@ def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftmill.llm import mixing
 
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def _op13_sql() -> str:
+    """The programme with whole strings: all macro edits of a turn, the least (cost, letters) for each state."""
+    after = {"": ("u", "a"), "s": ("u", "a"), "u": ("a",), "a": ("u",)}
+    macros = []
+    for q, runs in after.items():
+        for n in range(len(runs) + 1):
+            at, put = (runs[n - 1] if n else q), ["user:" if x == "u" else "assistant:" for x in runs[:n]]
+            turn = "a" if at == "u" else "u"
+            role = "assistant" if turn == "a" else "user"
+            keep = "i IN ('u', 's')" if at == "" else f"i = '{turn}'"
+            for letter, to, cost, when, line in (("D", f"'{at}'", "3", "TRUE", "[]"), ("R", f"'{turn}'", "2 + t", "NOT g", f"['{role}:' || text]"), ("K", "i", "t + 0", f"NOT g AND {keep}", "[role || ':' || text]")):
+                macros.append(f"SELECT c, n, {to} AS q, cost + {2 * n} + {cost} AS cost, letters || '{'I' * n}{letter}' AS letters, list_concat(list_concat(lines, CAST({put} AS VARCHAR[])), CAST({line} AS VARCHAR[])) AS lines FROM x WHERE q = '{q}' AND {when}")
+    return rf"""
+WITH RECURSIVE k AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda acc, b: xor(acc >> 8, list_reduce(list_concat([xor(acc, b) & 255], [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda r, z: xor(r >> 1, (r & 1) * 3988292384)))), 4294967295) % 20 AS f FROM conversations),
+d AS (SELECT c, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN f = 3 THEN [1, 2] ELSE [1] END) AS copy FROM k WHERE f <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS n, left(role, 1) AS i, regexp_extract_all(text, '[^ 	-]') AS w FROM d),
+e AS (SELECT *, CASE WHEN len(w) = 0 THEN 1 WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY n) > 1 THEN 2 WHEN w[-1] NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, lag(i) OVER (PARTITION BY c ORDER BY n) AS before FROM o),
+p AS (SELECT c, n, role, text, i, fault IN (1, 2) AS g, CAST(fault = 3 AS BIGINT) AS t FROM e),
+m AS (SELECT DISTINCT c, conv_id FROM k),
+st AS (SELECT c, CAST(0 AS BIGINT) AS n, '' AS q, CAST(0 AS BIGINT) AS cost, '' AS letters, CAST([] AS VARCHAR[]) AS lines FROM m
+  UNION ALL
+  SELECT c, n, q, cost, letters, lines FROM (SELECT *, row_number() OVER (PARTITION BY c, q ORDER BY cost, letters) AS r FROM (
+    WITH x AS (SELECT st.c, p.n, st.q, st.cost, st.letters, st.lines, p.role, p.text, p.i, p.g, p.t FROM st JOIN p ON p.c = st.c AND p.n = st.n + 1)
+    {" UNION ALL ".join(macros)})) WHERE r = 1),
+z AS (SELECT c, CAST(cost AS BIGINT) + CASE q WHEN 's' THEN 4 WHEN 'u' THEN 2 ELSE 0 END AS cost, letters || CASE q WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END AS letters,
+        list_concat(lines, CASE q WHEN 's' THEN ['user:', 'assistant:'] WHEN 'u' THEN ['assistant:'] ELSE CAST([] AS VARCHAR[]) END) AS lines
+      FROM st WHERE n = (SELECT coalesce(max(p.n), 0) FROM p WHERE p.c = st.c)),
+b AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY cost, letters) AS r FROM z),
+s AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+        count(*) FILTER (n > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM e GROUP BY c)
+SELECT m.conv_id, coalesce(s.gaps, 0) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate, coalesce(s.truncated, 0) AS truncated, coalesce(s.illegal, 0) AS illegal,
+       b.cost, b.letters AS audit, sha256(coalesce(array_to_string(b.lines, chr(10)), '')) AS repaired_sha256 FROM m JOIN b ON b.c = m.c AND b.r = 1 LEFT JOIN s ON s.c = m.c
+"""
+
+
+@query(_op13_sql())
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation."""
+    from weftmill.llm import conversations
+
+    return conversations.report(conversations.damage(table(spark, sf_dir, "conversations")))
