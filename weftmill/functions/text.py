@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Small Latin letters with marks and the letters below them, by Unicode decomposition.
+_MARKED = {chr(i): d[0] for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if "a" <= (d := unicodedata.normalize("NFD", chr(i)))[0] <= "z" and len(d) > 1}
 TOKEN = r"[\p{L}\p{N}]+"
 _NOT_WORD_BEFORE, _NOT_WORD_AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
@@ -98,6 +102,11 @@ def fold_query(c: Column) -> Column:
     return F.translate(F.lower(F.trim(c)), "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
 
+def fold(c: Column) -> Column:
+    """Lower case, trimmed, Latin letters without any of their marks: the form in which names are indexed and asked for."""
+    return F.translate(F.lower(F.trim(c)), "".join(_MARKED), "".join(_MARKED.values()))
+
+
 def unquote(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\"']|[\"']$", "")
 

@@ -165,7 +165,8 @@ def graph_topk(matched: DataFrame, mention: DataFrame, relations: DataFrame, k:
     near = neighbours(relations).groupBy("entity").agg(F.array_sort(F.collect_set("neighbour")).alias("neighbours"))
     rows = matched.join(mention, "entity").join(near, "entity", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<string>")))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id", "entity")
-    return rows.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    # a bare limit on the row number is also applied before the exchange: a query costs at most k rows a task
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def siblings(hits: DataFrame, chunks: DataFrame, n: int = 4) -> DataFrame:
