@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftmill.scratch import kept
+
 _BLOCK = re.compile(r"^---\n(.*?)\n---\n?(.*)\Z", re.S)
 _KEY_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 
@@ -148,7 +148,7 @@ def expand_terms(queries: DataFrame, mappings: DataFrame, column: str = "query",
     The list is curated and small; it is counted, and beyond ``most_mappings`` taken in parts, each a pass over the queries
     that starts from what the last one wrote.
     """
-    spark, schema = queries.sparkSession, f"{', '.join(f'`{n}` {t}' for n, t in queries.dtypes)}, expanded string"
+    schema = f"{', '.join(f'`{n}` {t}' for n, t in queries.dtypes)}, expanded string"
     key = F.struct("term", "canonicals")
     left, last, source = mappings.count(), None, column
     while True:
@@ -167,10 +167,7 @@ def expand_terms(queries: DataFrame, mappings: DataFrame, column: str = "query",
         left -= len(held)
         if not held or left <= 0:
             return queries
-        root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='weftmill-expand-')}"
-        path = f"{root.rstrip('/')}/expand-{uuid.uuid4().hex}"  # so that only one part is held at a time
-        queries.write.parquet(path)
-        queries, source = spark.read.parquet(path), "expanded"
+        queries, source = kept(queries, "expand"), "expanded"  # so that only one part is held at a time
 
 
 def append_log(body: Column, line: Column) -> Column:

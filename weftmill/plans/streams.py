@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from weftmill.plans.registry import query, table
+from weftmill.scratch import folder
 from weftmill.streaming import frames as S
+from weftmill.streaming import idle as I
 
 
 def _base(spark) -> str:
     """A folder for stream state that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='weftmill-stream-')}"
-    return f"{root.rstrip('/')}/weftmill-stream/{uuid.uuid4().hex}"
+    return folder(spark, "stream")
 
 
 def _events(spark, sf_dir):
@@ -107,3 +105,32 @@ def str3_supersede(spark, sf_dir):
 def str10_retry(spark, sf_dir):
     """Only failed stages run again."""
     return table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F").select("o_orderkey", "o_orderstatus")
+
+
+_IDLE = """WITH f AS (SELECT user_id, ts, event_id, event_type = 'error' AS terminal, coalesce(lead(ts) OVER w, (SELECT max(ts) FROM events)) - ts >= INTERVAL 6 HOUR AND event_type <> 'error' AS idle FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+o AS (SELECT *, coalesce(max(CAST(terminal OR idle AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed FROM f)
+SELECT user_id AS task, ts AS at, CASE WHEN terminal THEN 'terminal' ELSE 'frame' END AS kind, CAST(event_id AS VARCHAR) AS text FROM o WHERE closed = 0
+UNION ALL SELECT user_id, date_trunc('millisecond', ts) + INTERVAL 6 HOUR, 'error', 'task idle timeout: no agent activity for 21600000ms' FROM o WHERE closed = 0 AND idle"""
+
+
+@query(_IDLE)
+def str2_idle_errors(spark, sf_dir):
+    """Frames of open tasks, and an error for each that was idle for six hours."""
+    rows = _events(spark, sf_dir)
+    until = rows.agg(F.max("ts").cast("timestamp").alias("n")).scalar()
+    out = I.idle_frames_batch(rows, "user_id", "ts", "event_id", F.col("event_id").cast("string"), F.col("event_type") == "error", 21_600_000, until)
+    return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query(_IDLE)
+def str2_idle_errors_stream(spark, sf_dir):
+    """The same as a stream whose errors come from timers."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, I.PROVIDER)  # timers need it; the stream takes its settings at its start
+    try:
+        stream = S.stream_of(spark, sf_dir, "events")
+        out = I.idle_frames(stream, "user_id", "ts", "event_id", F.col("event_id").cast("string"), F.col("event_type") == "error", 21_600_000, forget_ms=10 * 365 * 86_400_000)
+        return S.drained(out, "append", _base(spark)).withColumn("at", F.col("at").cast("timestamp_ntz"))
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
