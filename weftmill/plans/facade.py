@@ -121,3 +121,23 @@ def mut3_overwrite(spark, sf_dir):
     old = line.where("id <> 2").groupBy("doc", "id").agg(F.min("l_partkey").alias("was"))
     new = line.where("id <> 3").groupBy("doc", "id").agg(F.max("l_partkey").alias("h"))
     return new.join(old, ["doc", "id"], "left").select("doc", "id", "h", (~F.col("h").eqNullSafe(F.col("was"))).alias("embed_again"))
+
+
+_LINES = "list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: i || ' ' || x)"
+
+
+@query(f"""WITH t AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT doc_id, {_LINES} AS l FROM documents)),
+k AS (SELECT *, i % 7 = 3 AS gone, i % 7 <> 3 AND i % 5 = 2 AS new FROM t),
+m AS (SELECT *, gone OR new AS hit, CAST(sum(CAST(NOT gone AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - CAST(NOT gone AS INTEGER) AS before, i - row_number() OVER (PARTITION BY doc_id, gone OR new ORDER BY i) AS run FROM k),
+h AS (SELECT doc_id, min(i) AS i, '@@ -' || min(i) || ',' || count(*) || ' +' || (min(before) + 1) || ',' || count(*) FILTER (new) || ' @@' || string_agg(chr(10) || '-' || line, '' ORDER BY i)
+        || coalesce(string_agg(chr(10) || '+' || line || ' (edited)', '' ORDER BY i) FILTER (new), '') AS part FROM m WHERE hit GROUP BY doc_id, run),
+u AS (SELECT doc_id, count(*) AS hunks, string_agg(part, chr(10) ORDER BY i) AS unified FROM h GROUP BY doc_id)
+SELECT d.doc_id, coalesce(u.hunks, 0) AS hunks, coalesce(u.unified, '') AS unified FROM documents d LEFT JOIN u USING (doc_id)""")
+def txt23_hunks(spark, sf_dir):
+    """Hunks between each text, its lines numbered, and a version with every seventh line gone and every fifth edited."""
+    from weftmill.functions.hunks import diff_hunks
+
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(" "), x))
+    edited = F.transform(lines, lambda x, i: F.when((i + 1) % 7 == 3, None).when((i + 1) % 5 == 2, F.concat(x, F.lit(" (edited)"))).otherwise(x))
+    d = diff_hunks(F.array_join(lines, "\n"), F.array_join(edited, "\n"))  # null elements are left out
+    return table(spark, sf_dir, "documents").select("doc_id", d.alias("d")).select("doc_id", F.size("d.hunks").cast("long").alias("hunks"), "d.unified")
