@@ -40,7 +40,7 @@ DOCS = [
 ]
 
 
-@pytest.mark.parametrize("most_words", [2_000_000, 40])
+@pytest.mark.parametrize("most_words", [50_000, 40])
 def test_against_brute_force(spark, most_words):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string").selectExpr("*", "'x' as item", "1 as spans")
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
@@ -59,3 +59,16 @@ def test_proximity_and_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in decontam.report(docs, none).collect()} == {0}
     assert decontam.report(docs.limit(0), bench).count() == 0
+
+
+def test_one_long_item_is_cut_and_no_window_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "SEGMENT", 7)
+    long = [f"q{i}" for i in range(120)]
+    bench = [(1, " ".join(long)), (2, "x y"), (3, " ".join(long[40:60]))]
+    docs = [(i, "lead " + " ".join(long[i : i + 13]) + " tail " + "pad " * (i % 5)) for i in range(108)] + [(200, "x y"), (201, None)]
+    groups = list(decontam.item_groups(spark.createDataFrame(bench, "item_id long, text string"), most_words=60))
+    assert len(groups) > 3 and max(len(w) for g in groups for _, w in g) <= 19
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), most_words=300).collect()}
+    assert got == brute(docs, bench)
+    sizes = [sum(sum(map(len, w)) for _, w in g) for g in decontam.item_groups(spark.createDataFrame([(i, "word " * 13 + str(i)) for i in range(300)], "item_id long, text string"), most_bytes=4096)]
+    assert len(sizes) >= 4 and max(sizes) < 3 * 4096

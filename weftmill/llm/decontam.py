@@ -15,9 +15,12 @@ A window is ``width`` consecutive words of an item (an item of fewer words is on
    the window: what is left are exact phrase matches. A proximity match of an item is one of its windows whose
    ``near_terms`` rarest terms all occur within ``slop`` words of an occurrence of the rarest one.
 
-The benchmark is small by nature, and its size is checked: up to ``most_words`` words its windows are shipped to the
-tasks; beyond that the items are taken in groups of that size, one after another, each looked up in the same stored
-index and its matches written before the next one is read, so any size gives the whole result.
+What is shipped to the tasks is bounded, in number and in bytes: items are cut into segments of up to ``SEGMENT`` windows (a
+segment reaches ``width - 1`` words into the next one, so no window is lost), and segments are taken in groups of about
+``most_words`` words and ``most_bytes`` bytes, one after another, each looked up in the same stored index and its matches
+written before the next one is read. So a benchmark, or a single item, of any size gives the whole result; what a group broadcasts
+(its terms, and at most ``width`` pairs of terms for each of its windows) has that bound as well. 50,000 words are some 60 MB of
+objects in a worker and 10 MB of closure.
 
 Words: A-Z lower-cased, ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Defined edge cases: a null text has no words and is
 clean; items that are null, have no words or no id are skipped; repeated items count once; repeated documents are
@@ -41,6 +44,7 @@ from weftmill.llm.common import arrow_schema, materialize, slices, texts
 #: A-Z to a-z; 0-9, a-z and every byte of a non-ASCII character stay; all else separates words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 GAP = 64  # words between two documents of a batch, so that nothing matches across them
+SEGMENT = 10_000
 INDEX = "term binary, batch long, n_docs int, positions binary, doc_ids array<long>, n_words array<int>, keys array<binary>"
 HITS = "row_id string, doc_id long, key binary, n_words long, spans array<int>, items array<string>, near array<string>"
 
@@ -230,26 +234,46 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null").distinct()
 
 
-def item_groups(benchmark: DataFrame, most_words: int = 2_000_000) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in groups of at most about ``most_words`` words, read one after another: what is on the driver and is
-    shipped to the tasks at one time has a checked size."""
-    if most_words < 1:
+def segments(benchmark: DataFrame, width: int = 13) -> DataFrame:
+    """``item, body, n``: the words of each item, space-joined, in segments of up to ``SEGMENT`` windows."""
+    ddl = "item string, body binary, n long"
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                ws = words(text)
+                for a in range(0, max(1, len(ws) - width + 1), SEGMENT):
+                    part = ws[a : a + SEGMENT + width - 1]
+                    if part:
+                        rows.append((item, b" ".join(part), len(part)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return _items(benchmark).mapInArrow(run, ddl)
+
+
+def item_groups(benchmark: DataFrame, width: int = 13, most_words: int = 50_000, most_bytes: int = 2 << 20) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The segments in groups of about ``most_words`` words and ``most_bytes`` bytes, read one after another: what is on
+    the driver and is shipped to the tasks at one time has a checked size."""
+    if most_words < 1 or most_bytes < 1:
         raise ValueError("a group holds at least one word")
-    rows = _items(benchmark)
-    total = rows.agg(F.coalesce(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))), F.lit(0)).alias("n")).first()["n"]
-    groups = max(1, -(-total // most_words))
+    rows = segments(benchmark, width)
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("b")).first()
+    groups = max(1, -(-total["n"] // most_words), -(-total["b"] // most_bytes))
+    rows = materialize(rows, "segments") if groups > 1 else rows
     for g in range(groups):
-        part = rows if groups == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == g)
-        yield [(r["item"], w) for r in part.collect() if (w := words(r["text"]))]
+        part = rows if groups == 1 else rows.where(F.pmod(F.xxhash64("item", "body"), F.lit(groups)) == g)
+        yield [(r["item"], bytes(r["body"]).split()) for r in part.select("item", "body").collect()]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, slop: int = 26, most_words: int = 2_000_000, index: DataFrame | None = None) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, slop: int = 26, most_words: int = 50_000, most_bytes: int = 2 << 20, index: DataFrame | None = None) -> DataFrame:
     """``HITS`` of every document, through ``index`` or a new one."""
     index = build_index(docs) if index is None else index
     parts, last = [], None
-    for items in item_groups(benchmark, most_words):
-        if last is not None:
-            parts.append(materialize(lookup(index, last, slop), "matches"))
+    for items in item_groups(benchmark, width, most_words, most_bytes):
+        if last is not None:  # of all but the last group only documents with a match are kept
+            parts.append(materialize(lookup(index, last, slop).where("size(spans) > 0 or size(near) > 0"), "matches"))
         last = Windows(items, width)
     part = lookup(index, last, slop)
     if not parts:
