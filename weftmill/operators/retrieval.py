@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftmill.functions.text import tokens
+from weftmill.functions.text import TOKEN, tokens
+from weftmill.scratch import kept
 
 RRF_K = 60
 QUERY_BLOCK = 1024
@@ -86,21 +89,80 @@ def postings(corpus: DataFrame) -> DataFrame:
     return t.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
+def _counts(corpus: DataFrame, terms: dict[str, int]) -> DataFrame:
+    """``id, len, terms, tfs``: each text read once, its length in tokens and how often it holds each wanted term (by number)."""
+    schema = pa.schema([("id", pa.int64()), ("len", pa.int64()), ("terms", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32()))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        word = regex.compile(TOKEN)
+        for batch in batches:
+            size, numbers, counts = [], [], []
+            for text in batch.column("text").to_pylist():
+                found = word.findall(text or "")
+                own = Counter(map(terms.get, found))
+                own.pop(None, None)
+                size.append(len(found))
+                numbers.append(list(own.keys()))
+                counts.append(list(own.values()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(v, type=f.type) for v, f in zip((size, numbers, counts), list(schema)[1:], strict=True))], schema=schema)
+
+    return corpus.select(F.col("id").cast("long"), F.lower("text").alias("text")).mapInArrow(read, "id long, len long, terms array<int>, tfs array<int>")
+
+
+def bm25(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, digits: int = 6, block: int = 256) -> DataFrame:
     """``qid, id, score, rank``: BM25 top-k of query texts (a bag of distinct words).
 
-    Only terms that some query uses leave the scan; document frequencies are counted over the whole corpus.
+    Queries are a stated set, taken in blocks of ``QUERY_BLOCK``. For each block every text is read once into its length and its counts
+    of the block's terms, a small table from which document frequencies are summed; then a task scores ``block`` documents at a time
+    against all queries of the block, through the queries that hold each term, and keeps its own best ``k``. So no row for a
+    pair of query and document is ever exchanged. Frequencies and lengths are those of the whole corpus.
     """
-    wanted = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    size = F.struct(F.count("*").alias("n"), F.avg(F.size(tokens(F.coalesce("text", F.lit(""))))).alias("avgdl"))
-    stats = corpus.agg(size.alias("s")).scalar()  # a scalar subquery: one row of corpus statistics
-    hits = postings(corpus).join(wanted.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = hits.join(df, "term").withColumn("s", stats).select("*", "s.n", "s.avgdl")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    scored = weighted.select("term", "id", weight.alias("w")).join(wanted, "term").groupBy("qid", "id").agg(F.round(F.sum("w"), digits).alias("score"))
-    return top(scored, k)
+    spark, key = queries.sparkSession, queries.schema["qid"]
+    asked = queries.select("qid", F.array_distinct(tokens(F.coalesce("text", F.lit("")))).alias("terms")).orderBy("qid").toLocalIterator()
+    out = pa.schema([("q", pa.int32()), ("id", pa.int64()), ("score", pa.float64())])
+    every = None
+    for held in _blocks(asked):
+        words = {t: i for i, t in enumerate(dict.fromkeys(t for r in held for t in r["terms"]))}
+        if not words:
+            continue
+        table = kept(_counts(corpus, words), "counts")
+        size = table.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl")).first()
+        df = np.zeros(len(words))
+        for r in table.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():  # a number for each term of the block
+            df[r["t"]] = r["n"]
+        idf = np.log(1 + (size["n"] - df + 0.5) / (df + 0.5))
+        asks = sorted((words[t], q) for q, r in enumerate(held) for t in r["terms"])
+        of = np.array([q for _, q in asks], dtype=np.int64)  # the queries of term t: of[ends[t] : ends[t + 1]]
+        ends = np.searchsorted([t for t, _ in asks], np.arange(len(words) + 1))
+        n_queries, avgdl = len(held), size["avgdl"] or 1.0
+
+        def score(batches: Iterator[pa.RecordBatch], idf=idf, of=of, ends=ends, n_queries=n_queries, avgdl=avgdl) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, block):
+                    batch = whole.slice(at, block)
+                    ids, length = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "len"))
+                    lists = batch.column("terms")
+                    doc = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+                    term, tf = lists.flatten().to_numpy(zero_copy_only=False), batch.column("tfs").flatten().to_numpy(zero_copy_only=False)
+                    weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / avgdl))
+                    n = ends[term + 1] - ends[term]
+                    cell = np.repeat(doc * n_queries, n) + of[np.repeat(ends[term] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                    scores = np.round(np.bincount(cell, np.repeat(weight, n), len(ids) * n_queries).reshape(len(ids), n_queries).T, digits)
+                    best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+                    row = np.repeat(np.arange(n_queries), best.shape[1])
+                    best = best.ravel()
+                    some = scores[row, best] > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(row[some].astype(np.int32)), pa.array(ids[best[some]]), pa.array(scores[row, best][some])], schema=out)
+
+        found = table.mapInArrow(score, "q int, id long, score double")
+        names = spark.createDataFrame([(i, r["qid"]) for i, r in enumerate(held)], T.StructType([T.StructField("q", T.IntegerType()), T.StructField("qid", key.dataType)]))
+        part = top(found, k, key="q").join(names, "q").select("qid", "id", "score", "rank")
+        every = part if every is None else every.unionByName(part)
+    if every is None:
+        return spark.createDataFrame([], T.StructType([T.StructField("qid", key.dataType), T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())]))
+    return every
 
 
 def rrf(lists: list[DataFrame], k: int, constant: int = RRF_K, digits: int = 9) -> DataFrame:

@@ -47,7 +47,10 @@ def txt29_log(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", U.append_log(F.lit("b\n\n"), F.col("o_orderstatus")).alias("body"))
 
 
-@query(f"WITH b AS ({_BM25.replace('FROM documents)', chr(70) + 'ROM documents WHERE lang = ' + chr(39) + 'en' + chr(39) + ')', 1)}) SELECT qid, id, rank FROM b WHERE rank < 5")
+_ENGLISH = _BM25.replace("FROM documents)", "FROM documents WHERE lang = 'en')", 1)
+
+
+@query(f"WITH b AS ({_ENGLISH}) SELECT qid, id, rank FROM b WHERE rank < 5")
 def ret11_scoped_search(spark, sf_dir):
     """Text search within a scope, through the facade."""
     hits = Q.search(_questions(spark, sf_dir), Q.Corpus(_chunks(spark, sf_dir)), 5, scope="en", how="bm25")

@@ -97,7 +97,7 @@ def jn5_relations_by_name(spark, sf_dir):
     """Relations joined on folded names; one edge a pair, the last wins."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     entities = n.select(F.col("n_name").alias("name")).unionByName(r.select(F.col("r_name").alias("name")))
-    rel = table(spark, sf_dir, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))  # two fixed dimension tables of 25 and 5 rows
+    rel = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     return G.relation_edges(rel.select(F.lower("n_name").alias("source"), F.initcap("r_name").alias("target"), F.col("s_name").alias("keyword"), F.col("s_suppkey").alias("doc"), F.lit(0).alias("pos")), entities)
 
 

@@ -33,15 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` over all cores if their scan has fewer splits than there are cores; larger tables stay as they are read.
-
-    Spark can't split a Parquet row group, so a small file costs one task however many cores wait.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def markdown(docs: DataFrame) -> DataFrame:
     """Documents as markdown: source and language as headings, each line its own paragraph."""
     return docs.withColumn("md", F.concat(F.lit("# "), "source", F.lit("\n\n## "), "lang", F.lit("\n\n"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))))

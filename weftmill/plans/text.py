@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftmill.functions import text as X
-from weftmill.plans.registry import MD, NL, TOKENS, markdown, query, spread, table
+from weftmill.plans.registry import MD, NL, TOKENS, markdown, query, table
 
 _SLUG = "coalesce(nullif(left(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), ''), 'document')"
 _STEPS = [
@@ -40,7 +40,7 @@ def txt3_canonical(spark, sf_dir):
     """The first writer of equal content is canonical."""
     from weftmill.operators.dedup import canonical
 
-    return canonical(markdown(spread(table(spark, sf_dir, "documents"))).select("doc_id", X.normalize_markdown(F.col("md")).alias("plain")))
+    return canonical(markdown(table(spark, sf_dir, "documents")).select("doc_id", X.normalize_markdown(F.col("md")).alias("plain")))
 
 
 @query(f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {TOKENS} AS t FROM documents)")
@@ -82,17 +82,17 @@ def txt20_slug(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.slugify(F.col("p_name")).alias("slug"), X.document_id(F.col("p_name"), F.concat(F.lit("raw/"), F.replace("p_type", F.lit("/"), F.lit(" ")), F.lit(".MD"))).alias("doc_id"))
 
 
-@query(f"SELECT doc_id, source AS title, CASE WHEN length(text) > 200 THEN left(text, 200) || '…' ELSE text END AS preview, left(trim(string_split(text, {NL})[1]), 200) AS summary FROM documents WHERE length(trim(string_split(text, {NL})[1])) > 0")
+@query(f"SELECT doc_id, source AS title, CASE WHEN length(text) > 200 THEN left(text, 200) || '…' ELSE text END AS preview, coalesce(left(trim(list_filter(string_split(text, {NL}), lambda x: trim(x) <> '' AND NOT starts_with(x, '#'))[1]), 200), '') AS summary FROM documents")
 def txt19_titles(spark, sf_dir):
     """Page title, preview and first-paragraph summary of the markdown view."""
-    rows = markdown(table(spark, sf_dir, "documents")).where(F.length(F.trim(F.get(F.split("text", "\n"), F.lit(0)))) > 0)
+    rows = markdown(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", X.page_title(F.col("md")).alias("title"), X.preview(F.col("text")).alias("preview"), X.first_paragraph(F.col("md")).alias("summary"))
 
 
 @query("SELECT DISTINCT n_nationkey, [r_name, r_name || ' / ' || n_name, r_name || ' / ' || n_name || ' / x'] AS chain FROM nation JOIN region ON n_regionkey = r_regionkey")
 def txt22_section_chain(spark, sf_dir):
     """Cumulative section paths of a heading path."""
-    rows = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.select("n_nationkey", X.section_chain(F.concat("r_name", F.lit(" / "), "n_name", F.lit("/ x "))).alias("chain")).distinct()
 
 

@@ -53,15 +53,18 @@ def wiki_pages(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("path", m["type"].alias("type"), m["topic"].alias("topic"), F.coalesce(m["title"], X.page_title(X.body(F.col("text"))), X.stem_title(name)).alias("title"), "text")
 
 
-def write_wiki(pages: DataFrame, root: str) -> None:
-    """Pages (category, topic, folder, title, body) with front matter, as Parquet partitioned by their folder."""
+def write_wiki(pages: DataFrame, root: str, mode: str = "errorifexists") -> None:
+    """Pages (category, topic, folder, title, body) with front matter, as Parquet partitioned by their folder; for files see ``pagefiles``.
+
+    A root that exists is an error unless ``mode`` says ``append`` or ``overwrite``.
+    """
     keys, values = F.array(F.lit("type"), F.lit("title"), F.lit("topic")), F.array("category", "title", F.coalesce("topic", F.lit("")))
-    pages.withColumn("page", X.render_frontmatter(keys, values, F.col("body"))).withColumn("dir", F.coalesce("topic", "folder")).write.mode("overwrite").partitionBy("dir").parquet(root)
+    pages.withColumn("page", X.render_frontmatter(keys, values, F.col("body"))).withColumn("dir", F.coalesce("topic", "folder")).write.mode(mode).partitionBy("dir").parquet(root)
 
 
-def write_chunks(chunks: DataFrame, root: str, key: str = "doc_id") -> DataFrame:
-    """Chunks as Parquet; returns the small reference: chunks and bytes of each document."""
-    chunks.write.mode("overwrite").parquet(root)
+def write_chunks(chunks: DataFrame, root: str, key: str = "doc_id", mode: str = "errorifexists") -> DataFrame:
+    """Chunks as Parquet; returns the small reference: chunks and bytes of each document. ``mode`` as in ``write_wiki``."""
+    chunks.write.mode(mode).parquet(root)
     back = chunks.sparkSession.read.parquet(root)
     return back.groupBy(key).agg(F.count("*").alias("chunks"), F.sum(F.octet_length("text")).alias("bytes")).withColumn("location", F.lit(root))
 
