@@ -81,3 +81,38 @@ def test_clustered_vectors_are_pruned_and_found(spark):
         s[i] = -9
         hits.append(len(set(np.argsort(-s)[:20].tolist()) & {j for _, j, _ in got[i]}) / 20)
     assert np.mean(hits) >= 0.95
+
+
+@pytest.mark.parametrize("huge", [1e8, 1e12])
+def test_long_vectors_that_cancel_lose_no_neighbour(spark, huge):
+    rng = np.random.default_rng(11)
+    rows = [(i, [huge if i % 2 else -huge, huge, *rng.normal(size=6).tolist()]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert collected(ann.search(df, probe=10**6)) == brute(rows, kind=np.float64)
+
+
+def test_scores_that_overflow_are_ordered(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, (rng.normal(size=4) * (1e200 if i % 3 == 0 else 1.0)).tolist()) for i in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for probe in (10**6, None):
+        got = collected(ann.search(df, probe=probe))
+        assert len(got) == 12 and all(len(v) == 20 for v in got.values())
+        if probe:
+            for i, hits in got.items():
+                with np.errstate(all="ignore"):
+                    scores = [(float(ann.in_order(np.array([rows[i][1]]) * np.array([w]))[0]), j) for j, w in rows if j != i]
+                want = sorted(scores, key=lambda x: (-x[0] if x[0] == x[0] else np.inf, x[1]))[:20]
+                assert [j for _, j, _ in hits] == [j for _, j in want]
+
+
+def test_held_out_recall_is_measured(spark, caplog):
+    import logging
+
+    rng = np.random.default_rng(13)
+    centres = rng.normal(size=(40, 16)) * 3
+    rows = [(i, (centres[i % 40] + rng.normal(size=16) * 0.3).tolist()) for i in range(4000)]
+    with caplog.at_level(logging.INFO, logger="weftmill.llm.ann"):
+        ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).count()
+    line = next(r.getMessage() for r in caplog.records if "held-out recall" in r.getMessage())
+    assert float(line.rsplit(" ", 1)[1]) >= 0.9

@@ -26,6 +26,7 @@ query has no rows; ties go to the smaller id; other columns are left alone.
 from __future__ import annotations
 
 import heapq
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,10 +116,38 @@ def in_order(products: np.ndarray) -> np.ndarray:
     return np.add.accumulate(products, axis=1)[:, -1]
 
 
+def by_score() -> F.Column:
+    """Descending, what is no number (infinities of both signs met) last."""
+    return F.desc(F.when(F.isnan("score"), float("-inf")).otherwise(F.col("score")))
+
+
+def near_block(q: np.ndarray, e: np.ndarray, cid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of all pairs that may be among the ``k`` best of their row once they are scored in order.
+
+    A product by matrices differs from one in order by rounding, which grows with the norms, not with the score: all within that of the
+    k-th come along. Where a product could overflow, the pairs are scored in order at once.
+    """
+    k, d = min(k, len(e)), q.shape[1]
+    if float(np.abs(q).max(initial=0)) * float(np.abs(e).max(initial=0)) * d > 1e300 or max(np.abs(q).max(initial=0), np.abs(e).max(initial=0)) > 1e150:
+        rows, columns = [], []
+        for i in range(len(q)):
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = in_order(q[i] * e)
+            best = np.lexsort((cid, -np.where(np.isnan(score), -np.inf, score)))[:k]
+            rows.append(np.full(len(best), i))
+            columns.append(best)
+        return np.concatenate(rows), np.concatenate(columns)
+    s = q @ e.T
+    kth = np.partition(s, len(e) - k, axis=1)[:, len(e) - k]
+    size = np.sqrt((e * e).sum(1))
+    slack = 4 * (d + 2) * 2.0**-53 * np.sqrt((q * q).sum(1))[:, None] * (size + size.max())
+    return np.nonzero(s >= kth[:, None] - slack)
+
+
 def best_of(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``k`` best rows (qid, cid, score) of each query, by score, then id."""
     qid, cid, score = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order = np.lexsort((cid, -score, qid))
+    order = np.lexsort((cid, -np.where(np.isnan(score), -np.inf, score), qid))
     qid, cid, score = qid[order], cid[order], score[order]
     start = np.flatnonzero(np.concatenate([[True], qid[1:] != qid[:-1]])) if len(qid) else np.zeros(0, dtype=np.int64)
     rank = np.arange(len(qid)) - np.repeat(start, np.diff(np.append(start, len(qid))))
@@ -126,16 +155,19 @@ def best_of(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> t
 
 
 def measured_probe(wanted: DataFrame, placed: DataFrame, made: Index, k: int, recall: float, most: int) -> int:
-    """The entries a walk has to meet for the wanted share of true neighbours, on at most ``most`` queries."""
-    q = bounded_sample(wanted, "cid", most).select("v").toArrow().column(0).combine_chunks()
+    """The entries a walk has to meet for the wanted share of true neighbours, on at most ``most`` queries.
+
+    Every third one of half as many again sets nothing: what such a walk finds of theirs is logged as the held-out recall.
+    """
+    q = bounded_sample(wanted, "cid", most + most // 2).select("v").toArrow().column(0).combine_chunks()
     if not len(q):
         return 1
-    q = matrix(q)
+    q, scale = matrix(q), made.scale
     schema = arrow_schema("query int, score double, cell int")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = q @ matrix(batch.column("v")).T
+            s = (q * scale) @ (matrix(batch.column("v")) * scale).T
             top = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
             row = np.repeat(np.arange(len(q)), top.shape[1])
             cells = batch.column("cell").to_numpy()[top.ravel()]
@@ -144,29 +176,36 @@ def measured_probe(wanted: DataFrame, placed: DataFrame, made: Index, k: int, re
     best = Window.partitionBy("query").orderBy(F.desc("score"))
     near = placed.mapInArrow(compare, "query int, score double, cell int").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).collect()
     a, b = made.sums(q)
-    need = []
+    need, held_out = [], []
     for i in range(len(q)):
         order = np.argsort((a[i][:, None] + b[i][None, :]).ravel(), kind="stable")
         met = np.empty(len(order), dtype=np.int64)
         met[order] = np.cumsum(made.counts[order])
-        need += [int(met[r["cell"]]) for r in near if r["query"] == i]
-    return max(1, int(np.quantile(need, recall, method="higher"))) if need else 1
+        (held_out if i % 3 == 2 else need).extend(int(met[r["cell"]]) for r in near if r["query"] == i)
+    probe = max(1, int(np.quantile(need, recall, method="higher"))) if need else 1
+    share, found = probe / max(1, int(made.counts.sum())), float(np.mean(np.array(held_out) <= probe)) if held_out else 1.0
+    made.met, made.recall = share, found
+    logging.getLogger(__name__).log(logging.WARNING if found < 0.9 or share > 0.25 and made.counts.sum() > 100_000 else logging.INFO, "walks meet %.0f %% of the entries; held-out recall %.3f", 100 * share, found)
+    return probe
 
 
 class Index:
     """Codebooks, cell counts and the stored table of placed entries (``cid, v, region``)."""
 
     def __init__(self, index: DataFrame, cell: int, codes: int | None, sample: int, region: int):
-        n = index.count()
+        size = index.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).first()
+        n, most = size["n"], float(size["most"] or 1.0)
         self.kind = dict(index.dtypes)["v"]
+        self.scale = scale = 2.0 ** -int(np.log2(most)) if most > 1e100 else 1.0  # so that no product of two overflows
         codes = codes or max(4, round((n / cell) ** 0.5))
         x = matrix(bounded_sample(index.select("cid", "v"), "cid", max(sample, 16 * codes)).select("v").toArrow().column(0).combine_chunks()) if n else np.zeros((0, 2))
+        x = x * scale
         self.half = half = x.shape[1] // 2 or x.shape[1]
         self.left, self.right = left, right = codebook(x[:, :half], codes), codebook(x[:, half:], codes)
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                m = matrix(batch.column("v"))
+                m = matrix(batch.column("v")) * scale
                 cells = nearest_code(m[:, :half], left) * len(right) + nearest_code(m[:, half:], right) if len(m) else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("v"), pa.array(cells.astype(np.int32))], names=["cid", "v", "cell"])
 
@@ -178,6 +217,7 @@ class Index:
 
     def sums(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What the walks of some queries sort by: negative inner products with both codebooks."""
+        m = m * self.scale
         return -(m[:, : self.half] @ self.left.T), -(m[:, self.half :] @ self.right.T)
 
 
@@ -210,9 +250,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: int | None =
                 flat = np.concatenate(met) if met else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([part.column("cid").take(which), part.column("v").take(which), pa.array(flat.astype(np.int64))], names=["qid", "q", "region"])
 
-    half, left, right, region_of = made.half, made.left, made.right, made.region
+    half, left, right, region_of, scale = made.half, made.left, made.right, made.region, made.scale
 
     def made_sums(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m = m * scale
         return -(m[:, :half] @ left.T), -(m[:, half:] @ right.T)
 
     visits = materialize(wanted.mapInArrow(visit, f"qid long, q {made.kind}, region long"), "visits")
@@ -245,11 +286,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: int | None =
                 asks, has = batch.column("asks")[i].values, batch.column("has")[i].values
                 q, e = matrix(asks.field("q")), matrix(has.field("v"))
                 qid, cid = asks.field("qid").to_numpy(zero_copy_only=False), has.field("cid").to_numpy(zero_copy_only=False)
-                s = q @ e.T
-                most = min(k + 1, e.shape[0])
-                kth = np.partition(s, e.shape[0] - most, axis=1)[:, e.shape[0] - most]
-                a, b = np.nonzero(s >= kth[:, None] - 1e-9 * (1 + np.abs(kth[:, None])))  # ties at the border come along
-                held.append((qid[a], cid[b], in_order(q[a] * e[b])))
+                a, b = near_block(q, e, cid, k + 1)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    held.append((qid[a], cid[b], in_order(q[a] * e[b])))
                 rows += len(a)
                 if rows > 400_000:  # a task keeps the best of each query over all its blocks, in bounded memory
                     held = [best_of(held, k + 1)]
@@ -261,12 +300,12 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: int | None =
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in best_of(held, k + 1)], schema=schema)
 
     scored = pairs.select("asks", "has").mapInArrow(rerank, "qid long, cid long, score double")
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
+    best = Window.partitionBy("qid").orderBy(by_score(), "cid")
     top = scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("qid", "cid", "score")
     named = top.join(index.select("cid", "ids"), "cid").select("qid", "score", F.explode("ids").alias("vec_id"))
-    short = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
+    short = Window.partitionBy("qid").orderBy(by_score(), "vec_id")
     named = named.withColumn("r", F.row_number().over(short)).where(F.col("r") <= k + 1).drop("r")
-    last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    last = Window.partitionBy("query_id").orderBy(by_score(), "vec_id")
     few = named.join(F.broadcast(common.select("qid")), "qid", "left_semi")  # at most k + 1 rows for each of a thousand
     every_one = asked.where("NOT common").join(named, "qid").unionByName(asked.where("common").join(F.broadcast(few), "qid"))
     out = every_one.where("query_id <> vec_id").withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
