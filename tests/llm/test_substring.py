@@ -64,3 +64,14 @@ def test_equal_windows_choose_equal_names():
             s = np.concatenate([left, core, right])
             seen.add(int(substring.choices(s, np.array([len(left)]), 13, rounds)[0]))
         assert len(seen) == 1
+
+
+def test_many_wholly_equal_rows_and_a_very_long_text(spark):
+    text = " ".join(f"u{i}" for i in range(30))
+    same = spark.range(1_000_000).selectExpr("7L AS doc_id", f"'{text}' AS text")
+    long = " ".join(f"v{i % 977}x{i % 1013}" for i in range(300_000))
+    others = [(3, "lead " + text), (9, long), (11, " ".join(long.split()[150_000:150_040])), (12, None), (12, None)]
+    out = substring.report(same.unionByName(spark.createDataFrame(others, "doc_id long, text string"))).groupBy("doc_id", "n_words", "n_removed", "kept_sha256").count().collect()
+    got = {(r.doc_id, r.n_words, r.n_removed): (r.kept_sha256, r["count"]) for r in out}
+    empty = hashlib.sha256(b"").hexdigest()
+    assert got == {(7, 30, 30): (empty, 1_000_000), (3, 31, 0): (hashlib.sha256(("lead " + text).encode()).hexdigest(), 1), (9, 300_000, 0): (hashlib.sha256(long.encode()).hexdigest(), 1), (11, 40, 40): (empty, 1), (12, 0, 0): (empty, 2)}

@@ -20,7 +20,8 @@ How the rows move. Documents are dealt to buckets of about ``bucket_bytes`` by a
 exchanged once, compressed, by bucket. What is known of a name or a window goes to buckets, not to documents: a passage that a third
 of all documents share is one row a bucket when it is grouped, whatever the number of documents. Exact copies of a text
 cost no more than their share of a map-side minimum: the (id, digest) of each text's first document is sent to that
-document's own bucket, every row that finds no such note is a copy, and nothing is joined on the text's digest.
+document's own bucket, every row that finds no such note is a copy, and nothing is joined on the text's digest. Wholly equal rows,
+id and text, are one row with a number, and as many again at the end.
 
 Words: ``[^\\x20\\x09-\\x0D]+``, unchanged. Defined edge cases: a null text has no words; a document without an id loses
 nothing and is no one's source; rows with equal doc_id are one document to each other (nothing is removed for their
@@ -37,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftmill.llm.common import arrow_schema, mix, per_text, slices, texts
@@ -192,7 +193,7 @@ def _turns(name: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 _UNPACK = zstandard.ZstdDecompressor()
-PACKED = "doc_id long, body binary, key binary"
+PACKED = "doc_id long, body binary, key binary, n long"
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -203,7 +204,7 @@ def packed(docs: DataFrame) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in slices(batches):
             body = [None if t is None else pack(t.encode("utf-8")) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(body, type=pa.binary()), batch.column("key")], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(body, type=pa.binary()), batch.column("key"), batch.column("n")], schema=schema)
 
     return docs.mapInArrow(run, PACKED)
 
@@ -214,7 +215,7 @@ class _Bucket:
     def __init__(self, docs: pa.Table, notes: pa.Table):
         self.ids = docs.column("doc_id").to_numpy()
         self.texts = [None if b is None else _UNPACK.decompress(b).decode("utf-8") for b in docs.column("body").to_pylist()]
-        self.keys = docs.column("key").to_pylist()
+        self.keys, self.copies = docs.column("key").to_pylist(), docs.column("n").to_pylist()
         self.number = docs.column("bucket")[0].as_py() if docs.num_rows else 0
         kind = notes.column("kind").to_numpy()
         self.values = {k: [notes.column(c).to_numpy()[kind == k].view(np.uint64) for c in "abc"] for k in np.unique(kind).tolist()}
@@ -259,8 +260,9 @@ def reveal(met: Callable, notes: DataFrame, width: int, level: int) -> DataFrame
         (name,), _, several = _gathered([name[turn]], ids[turn])
         return pa.Table.from_arrays([pa.array(name.view(np.int64)), _places(bucket.number, several)], schema=schema)
 
-    every = met(notes, run, "name long, place int").groupBy("name").agg(F.collect_list("place").alias("places"))
-    shared = every.where("size(places) > 1 OR places[0] % 2 = 1").select("name", F.explode("places").alias("place"))
+    whole = Window.partitionBy("name")  # streamed and spilled, never one row: a name may stand in every bucket
+    every = met(notes, run, "name long, place int")
+    shared = every.select("name", "place", F.min("place").over(whole).alias("low"), F.max("place").over(whole).alias("high")).where("low <> high OR place % 2 = 1")
     return shared.select(F.expr("place div 2").cast("int").alias("bucket"), F.lit(level).alias("kind"), F.col("name").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), F.lit(None).cast("binary").alias("key"))
 
 
@@ -275,9 +277,8 @@ def verify(met: Callable, notes: DataFrame, width: int, rounds: int) -> DataFram
         (h, g), low, several = _gathered(list(window_digests(joined, at, width)), ids)
         return pa.Table.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(low), _places(bucket.number, several)], schema=schema)
 
-    every = met(notes, run, ddl).groupBy("h", "g").agg(F.min("low").alias("least"), F.collect_list(F.struct("place", "low")).alias("places"))
-    told = every.where("size(places) > 1 OR places[0].place % 2 = 1").select("h", "g", "least", F.explode("places").alias("p")).where("p.low > least OR p.place % 2 = 1")
-    return told.select(F.expr("p.place div 2").cast("int").alias("bucket"), F.lit(-1).alias("kind"), F.col("h").alias("a"), F.col("g").alias("b"), F.col("least").alias("c"), F.lit(None).cast("binary").alias("key"))
+    told = met(notes, run, ddl).withColumn("least", F.min("low").over(Window.partitionBy("h", "g"))).where("low > least OR place % 2 = 1")
+    return told.select(F.expr("place div 2").cast("int").alias("bucket"), F.lit(-1).alias("kind"), F.col("h").alias("a"), F.col("g").alias("b"), F.col("least").alias("c"), F.lit(None).cast("binary").alias("key"))
 
 
 class _Gone:
@@ -325,6 +326,29 @@ def kept_words(bucket: _Bucket, width: int) -> list[tuple[list[bytes], int]]:
     return out
 
 
+def single(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, key) with ``n``: of wholly equal rows one, with their number.
+
+    Ids and digests are counted first; only where some repeat, their rows are told apart by a join with the list of those.
+    """
+    repeated = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return rows.withColumn("n", F.lit(1).cast("long"))
+    others = rows.join(repeated.select("doc_id", "key"), ["doc_id", "key"], "left_anti").select("doc_id", "text", "key", F.lit(1).cast("long").alias("n"))
+    same = rows.join(repeated.select("doc_id", "key"), ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    return others.unionByName(same)
+
+
+_ROWS = 1 << 10
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """Rows with ``n`` as ``n`` rows each, in two steps, so that no array is long."""
+    blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _ROWS))))
+    inside = F.least(F.lit(_ROWS).cast("long"), F.col("n") - F.col("_block") * _ROWS)
+    return blocks.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), inside))).drop("n", "_block", "_row")
+
+
 def _processed(docs: DataFrame, emit: Callable[[list[bytes], int], tuple], ddl: str, width: int, rounds: int, bucket_bytes: int) -> DataFrame:
     """``doc_id`` and what ``emit`` makes of the kept words and the number of removed ones, for every row."""
     every = texts(docs)
@@ -334,7 +358,7 @@ def _processed(docs: DataFrame, emit: Callable[[list[bytes], int], tuple], ddl:
     of = F.pmod(F.xxhash64("doc_id", "key"), F.lit(buckets)).cast("int").alias("bucket")
     key = F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key")
     named = every.where("doc_id is not null")
-    place = packed(named.select("doc_id", "text", key)).select(of, "doc_id", "body", "key").groupBy("bucket")
+    place = packed(single(named.select("doc_id", "text", key)).select("doc_id", "text", "key", "n")).select(of, "doc_id", "body", "key", "n").groupBy("bucket")
     none = F.lit(0).cast("long")
     first = named.select("doc_id", key).groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     notes = first.select(of, F.lit(0).alias("kind"), F.col("doc_id").alias("a"), none.alias("b"), none.alias("c"), "key")
@@ -346,19 +370,19 @@ def _processed(docs: DataFrame, emit: Callable[[list[bytes], int], tuple], ddl:
     for level in range(1, rounds + 1):
         known = known.unionByName(reveal(met, known, width, level))
     notes = notes.unionByName(verify(met, known, width, rounds))
-    schema = arrow_schema(ddl)
+    schema, counted = arrow_schema(ddl), arrow_schema(f"{ddl}, n long")
 
     def final(docs: pa.Table, known: pa.Table) -> pa.Table:
         bucket = _Bucket(docs, known)
-        rows = [(doc_id, *emit(*k)) for doc_id, k in zip(bucket.ids.tolist(), kept_words(bucket, width), strict=True)]
-        columns = zip(*rows, strict=True) if rows else [[] for _ in schema.names]
-        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        rows = [(doc_id, *emit(*k), n) for doc_id, k, n in zip(bucket.ids.tolist(), kept_words(bucket, width), bucket.copies, strict=True)]
+        columns = zip(*rows, strict=True) if rows else [[] for _ in counted.names]
+        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, counted, strict=True)], schema=counted)
 
     def whole(batch) -> dict:
         out = [emit((t or "").encode("utf-8", "surrogatepass").split(), 0) for t in batch.column("text").to_pylist()]
         return {"doc_id": batch.column("doc_id"), **dict(zip(schema.names[1:], map(list, zip(*out, strict=True)), strict=True))}
 
-    return met(notes, final, ddl).unionByName(per_text(every.where("doc_id is null"), whole, ddl))
+    return _copies(met(notes, final, f"{ddl}, n long")).unionByName(per_text(every.where("doc_id is null"), whole, ddl))
 
 
 def deduplicate(docs: DataFrame, width: int = 13, rounds: int = 1, bucket_bytes: int = 8 << 20) -> DataFrame:
