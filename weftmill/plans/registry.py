@@ -13,7 +13,7 @@ from weftmill.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-PLANS = ("text", "rules", "chunks", "retrieval", "graph", "lifecycle", "board", "chat", "code", "streams", "relational", "facade", "entity", "ingest", "merging", "feedback")
+PLANS = ("text", "rules", "chunks", "retrieval", "graph", "lifecycle", "board", "chat", "code", "streams", "relational", "facade", "entity", "ingest", "merging", "feedback", "upkeep")
 
 
 def query(sql: str | None = None, name: str | None = None):
