@@ -144,3 +144,35 @@ def txt23_hunks(spark, sf_dir):
     edited = F.transform(lines, lambda x, i: F.when((i + 1) % 7 == 3, None).when((i + 1) % 5 == 2, F.concat(x, F.lit(" (edited)"))).otherwise(x))
     d = diff_hunks(F.array_join(lines, "\n"), F.array_join(edited, "\n"))  # null elements are left out
     return table(spark, sf_dir, "documents").select("doc_id", d.alias("d")).select("doc_id", F.size("d.hunks").cast("long").alias("hunks"), "d.unified")
+
+
+@query("""SELECT o_orderkey, '---' || chr(10) || 'title: ' || CASE WHEN regexp_full_match(o_orderpriority, '[A-Za-z0-9_./-]+') THEN o_orderpriority ELSE '"' || o_orderpriority || '"' END || chr(10) || 'pr: ' || o_custkey || chr(10)
+  || CASE WHEN o_orderkey % 2 = 0 THEN 'blocked_by: []' ELSE 'blocked_by:' || chr(10) || '  - "o' || o_custkey || '"' || chr(10) || '  - "' || o_orderstatus || ' x"' END || chr(10) || '---' || chr(10) || chr(10) || o_orderstatus || chr(10) AS file FROM orders""")
+def snk6_board_files(spark, sf_dir):
+    """Board files of tickets: texts quoted if need be, lists as quoted block lists."""
+    from weftmill.functions.boards import board_file
+
+    blocked = F.when(F.col("o_orderkey") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("o"), "o_custkey"), F.concat("o_orderstatus", F.lit(" x"))))
+    fields = {"title": (F.col("o_orderpriority"), "string"), "pr": (F.col("o_custkey"), "long"), "blocked_by": (blocked, "array<string>")}
+    return table(spark, sf_dir, "orders").select("o_orderkey", board_file(fields, F.col("o_orderstatus")).alias("file"))
+
+
+@query("""SELECT p_partkey, '---' || chr(10) || 'title: ' || p_name || chr(10) || 'read_count: ' || (p_partkey % 9) || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN 'updated: 2024-05-05' || chr(10) || 'topic: ' || p_brand ELSE 'topic: ' || p_brand || chr(10) || 'updated: 2024-05-05' END
+  || chr(10) || '---' || chr(10) || p_type AS page FROM part""")
+def txt7_patched_pages(spark, sf_dir):
+    """Pages whose front matter is patched: keys in place or at the end, the body kept."""
+    from weftmill.functions.boards import patched
+
+    page = F.concat(F.lit("---\ntitle: "), "p_name", F.lit("\nread_count: 0\n"), F.when(F.col("p_partkey") % 2 == 0, "updated: 2000-01-01\n").otherwise(""), F.lit("---\n"), "p_type")
+    changes = {"read_count": (F.col("p_partkey") % 9).cast("string"), "topic": F.col("p_brand")}
+    return table(spark, sf_dir, "part").select("p_partkey", patched(page, changes, F.lit("2024-05-05")).alias("page"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'b' || chr(10) || chr(10) || '## Progress Log' || chr(10) || chr(10) || '| UTC timestamp | status | progress |' || chr(10) || '|---|---|---|' || chr(10) || '| t | ' || o_orderstatus || ' | ' || o_custkey || ' |' || chr(10) || '| old | x | y |' || chr(10)
+  ELSE o_orderpriority || chr(10) || chr(10) || '## Progress Log' || chr(10) || chr(10) || '| UTC timestamp | status | progress |' || chr(10) || '|---|---|---|' || chr(10) || '| t | ' || o_orderstatus || ' | ' || o_custkey || ' |' || chr(10) END AS body FROM orders""")
+def txt29_progress(spark, sf_dir):
+    """Progress rows put first in their table, which is made where there is none."""
+    head = "b\n\n## Progress Log\n\n| UTC timestamp | status | progress |\n|---|---|---|\n| old | x | y |\n"
+    body = F.when(F.col("o_orderkey") % 2 == 0, head).otherwise(F.concat("o_orderpriority", F.lit("\n")))
+    row = F.concat(F.lit("| t | "), "o_orderstatus", F.lit(" | "), "o_custkey", F.lit(" |"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", U.insert_progress(body, row).alias("body"))
