@@ -3,7 +3,8 @@ of category 1, and so on; each later linear model is trained with the out-of-fol
 
 Categories, in chain order: ``variant_1`` and ``variant_2``, the two kinds of toxic document that the labelled rows
 themselves fall into, and ``toxic`` (the human label). The kinds are found by language-free clustering: of the features
-that tell toxic rows apart, the main direction in which the toxic training rows differ splits them in two. A document is
+that tell toxic rows apart, the main direction in which the toxic training rows differ splits them in two, for each fold
+without its own rows. A document is
 rejected if its ``toxic`` probability reaches the threshold, which is set on the out-of-fold probabilities of the
 training rows.
 
@@ -22,6 +23,7 @@ rows without an id are scored each; other columns are left alone.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -179,16 +181,22 @@ def _take(start: np.ndarray, flat: np.ndarray, rows: np.ndarray) -> tuple[np.nda
     return out, flat[np.repeat(start[rows] - out[:-1], size) + np.arange(out[-1])]
 
 
-def fit_chain(start: np.ndarray, flat: np.ndarray, y: np.ndarray, fold: np.ndarray, folds: int = 3) -> Chain:
-    """Fit the chain; ``y`` has a column for each category. The out-of-fold probabilities feed the next category."""
+def fit_chain(start: np.ndarray, flat: np.ndarray, y: np.ndarray, fold: np.ndarray, folds: int = 3, labels: Callable[[np.ndarray], np.ndarray] | None = None) -> Chain:
+    """Fit the chain; ``y`` has a column for each category. The out-of-fold probabilities feed the next category.
+
+    ``labels`` gives the columns of ``y`` as the rows of the other folds alone would set them, where a category is itself found in
+    the data: a fold's probabilities then come from labels that have not seen it.
+    """
     n = len(y)
+    inside_of = {f: np.flatnonzero(fold != f) for f in range(folds)}
+    seen = {f: labels(rows) if labels else y[rows] for f, rows in inside_of.items()}
     models, earlier, measured = [], np.zeros((n, 0)), {}
     oof = np.zeros(n)
     for j, name in enumerate(CATEGORIES):
         oof = np.zeros(n)
         for f in range(folds):
-            inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            part = fit_linear(*_take(start, flat, inside), y[inside, j], earlier[inside])
+            inside, outside = inside_of[f], np.flatnonzero(fold == f)
+            part = fit_linear(*_take(start, flat, inside), seen[f][:, j], earlier[inside])
             oof[outside] = predict_linear(part, *_take(start, flat, outside), earlier[outside])
         models.append(fit_linear(start, flat, y[:, j], earlier))
         measured[name] = float(((oof >= 0.5) == (y[:, j] == 1)).mean()) if n else 0.0
@@ -218,8 +226,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> Chain:
     flat = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64) if len(size) else np.zeros(0, dtype=np.int64)
     toxic = rows.column("y").to_numpy().astype(np.float64)
     y = np.column_stack([variants(start, flat, toxic), toxic])
+
+    def labels(rows: np.ndarray) -> np.ndarray:
+        kinds = variants(*_take(start, flat, rows), toxic[rows])
+        same = (kinds == y[rows, :2]).all(1)[toxic[rows] == 1]
+        return np.column_stack([kinds if not len(same) or same.mean() >= 0.5 else kinds[:, ::-1], toxic[rows]])  # which kind is called the first is no label
+
     fold = np.array([zlib.crc32(str(i).encode()) // 5 % 3 for i in rows.column("doc_id").to_pylist()], dtype=np.int64)
-    return fit_chain(start, flat, y, fold)
+    return fit_chain(start, flat, y, fold, labels=labels)
 
 
 class _Scorer:
