@@ -72,7 +72,11 @@ def check_packing(rows, want):
         for r in sorted(seq, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at == seq[0].window <= 1024 and at & (at - 1) == 0
+        assert seq[0].window in packing.TIERS and (at == seq[0].window or at < packing.TIERS[0] and seq[0].window == 1024)
+    tasks = defaultdict(int)
+    for number, seq in by_seq.items():
+        tasks[number >> 36] += sum(r.length for r in seq) < seq[0].window
+    assert max(tasks.values(), default=0) <= 1  # at most one padded sequence a task
     assert sum(r.length for r in rows) == sum(want)
 
 
@@ -90,6 +94,14 @@ def test_packing(spark):
     check_packing(whole, [r.doc_tokens for r in {p.doc_id: p for p in whole}.values()])
 
 
+def test_what_is_left_stays_in_the_tiers():
+    p = packing.Packer()
+    for d, n in enumerate((300, 77, 15, 999, 3)):
+        p.add(d, n)
+    p.pack(True)
+    assert [(size, sum(x[0] for x in w)) for size, w in p.windows] == [(1024, 1024), (256, 256), (1024, 114)] and p.left == 0
+
+
 def test_steps_are_balanced():
     rng = np.random.default_rng(3)
     p = packing.Packer()

@@ -4,8 +4,8 @@ Each task encodes its documents and packs them in rounds of about ``round_tokens
 worker's memory is bounded. Of a document, whole 1024-id windows go out as they are; the rest is routed to the tier
 (1024, 512, 256 or 128) that just holds it. Tiers are packed from the longest: the longest piece opens a window of its
 tier, and the gap is filled from the shorter tiers, best fit first; when nothing fits, a shorter piece is cut to fill
-it exactly. What a round can't fill is carried into the next; at the end of a task the last ids go into windows whose
-sizes are powers of two. So every sequence is exactly as long as its window and nothing is padded.
+it exactly. What a round can't fill is carried into the next; at the end of a task what is left goes into ever shorter tiers,
+and the last ids, fewer than the shortest tier holds, are one window of 1024, the only one of a task that is padded.
 
 Step groups: the windows of one tier in a round are dealt to steps of ``step_tokens`` ids in serpentine order of their
 attention cost (the sum of squared piece lengths), so steps have equal shape and nearly equal cost.
@@ -74,8 +74,11 @@ class Packer:
                 self.pieces.pop()
                 self.left -= piece[0]
                 self._fill(size, [piece])
+            elif last and self.left >= self.tiers[0]:
+                self._fill(next(t for t in reversed(self.tiers) if t <= self.left), [])
             elif last:
-                self._fill(1 << (self.left.bit_length() - 1), [])
+                self.windows.append((self.longest, self.pieces[::-1]))
+                self.pieces, self.left = [], 0
             else:
                 break
 
