@@ -38,11 +38,16 @@ def ret4_entity_match(spark, sf_dir):
     return E.match(_asked(spark, sf_dir), E.build(_entities(spark, sf_dir)), _K)
 
 
-@query(f"""WITH {_INDEX}, v AS MATERIALIZED (SELECT DISTINCT entity, unnest(list_append(list_transform(aliases, lambda a: {_FOLD.format("a")}), {_FOLD.format("entity")})) AS name FROM e WHERE entity IN (SELECT entity FROM m WHERE r <= {_BEST})),
+def search_sql(k: int, best: int) -> str:
+    """The ``k`` documents by the ``best`` entities of each question."""
+    return f"""WITH {_INDEX}, v AS MATERIALIZED (SELECT DISTINCT entity, unnest(list_append(list_transform(aliases, lambda a: {_FOLD.format("a")}), {_FOLD.format("entity")})) AS name FROM e WHERE entity IN (SELECT entity FROM m WHERE r <= {best})),
 x AS MATERIALIZED (SELECT doc_id, {_FOLD.format("text")} AS t FROM documents), n AS (SELECT DISTINCT entity, doc_id AS id FROM v JOIN x ON contains(t, name)),
-h AS (SELECT qid, id, score, entity, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id, entity) AS r FROM m JOIN n USING (entity) WHERE m.r <= {_BEST}),
+h AS (SELECT qid, id, score, entity, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id, entity) AS r FROM m JOIN n USING (entity) WHERE m.r <= {best}),
 y AS (SELECT entity, unnest(aliases) AS other FROM e), b AS (SELECT entity, list_sort(list(DISTINCT other)) AS neighbours FROM (SELECT entity, other FROM y UNION ALL SELECT other, entity FROM y) WHERE entity <> other GROUP BY entity)
-SELECT qid, id, score, CAST(h.r - 1 AS INTEGER) AS rank, entity, coalesce(neighbours, []) AS neighbours FROM h LEFT JOIN b USING (entity) WHERE h.r <= {_K}""")
+SELECT qid, id, score, CAST(h.r - 1 AS INTEGER) AS rank, entity, coalesce(neighbours, []) AS neighbours FROM h LEFT JOIN b USING (entity) WHERE h.r <= {k}"""
+
+
+@query(search_sql(_K, _BEST))
 def ret4_entity_search(spark, sf_dir):
     """Documents that mention the three best entities of each question, with neighbours (an entity and its alias are related)."""
     e = _entities(spark, sf_dir)

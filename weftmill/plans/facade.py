@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from weftmill.functions import udf as U
 from weftmill.operators import search as Q
+from weftmill.plans import entity
 from weftmill.plans.registry import TOKENS, query, table
-from weftmill.plans.retrieval import _BM25, _asked, _corpus, _questions, _vectors
+from weftmill.plans.retrieval import _BM25, _VECTOR, _asked, _corpus, _fused, _questions, _vectors
 from weftmill.sources import files, paged
 
 
@@ -57,11 +58,33 @@ def ret11_scoped_search(spark, sf_dir):
     return hits.select("qid", "id", "rank")
 
 
-@query()
+_TOP5 = [x.replace("rn <= 20", "rn <= 5") for x in (_VECTOR, _BM25)]
+_FUSED5 = _fused(_TOP5[0], *(f"SELECT * FROM ({x}) WHERE qid IN (SELECT vec_id FROM embeddings)" for x in (_TOP5[1], f"SELECT qid, id, score, rank FROM ({entity.search_sql(5, 5)})"))).replace("WHERE rank < 10", "WHERE rank < 5")
+
+
+@query(f"""WITH h AS ({_FUSED5}), n AS (SELECT h.qid, h.id, c.doc_id AS other, row_number() OVER (PARTITION BY h.qid, h.id ORDER BY c.doc_id) AS i FROM h JOIN documents d ON d.doc_id = h.id JOIN documents c ON c.source = d.source AND c.lang = d.lang AND c.doc_id <> d.doc_id)
+SELECT h.qid, h.id, h.fused, h.source, h.rank, coalesce((SELECT list(other ORDER BY other) FROM n WHERE n.qid = h.qid AND n.id = h.id AND i <= 4), []) AS siblings FROM h JOIN documents ON doc_id = h.id""")
 def ret7_fused_search(spark, sf_dir):
-    """The fused search with siblings, through the facade."""
+    """Vectors, text and graph fused, with siblings, through the facade."""
     asked = _questions(spark, sf_dir).join(_asked(spark, sf_dir), "qid")
-    return Q.search(asked, Q.Corpus(_chunks(spark, sf_dir), _vectors(spark, sf_dir)), 5, enrich=True).select("qid", "id", "fused", "source", "rank", "siblings")
+    e = entity._entities(spark, sf_dir)
+    relations = e.select(F.col("entity").alias("source"), F.explode("aliases").alias("target"))
+    corpus = Q.Corpus(_chunks(spark, sf_dir), _vectors(spark, sf_dir), e, relations)
+    return Q.search(asked, corpus, 5, enrich=True).select("qid", "id", "fused", "source", "rank", "siblings")
+
+
+_KEYWORD = _BM25.replace("FROM documents)", "FROM (SELECT doc_id, text FROM documents WHERE doc_id % 2 = 0))", 1).replace("rn <= 20", "rn <= 5")
+_SCOPED = _BM25.replace("FROM documents)", "FROM documents WHERE lang = 'en')", 1).replace("rn <= 20", "rn <= 5")
+
+
+@query(f"""WITH s AS (SELECT qid, 0 AS kind, id, round(1.0::DOUBLE / (61 + rank), 9) AS score, rank FROM ({_SCOPED})), k AS (SELECT qid, 1 AS kind, id, score, rank FROM ({_KEYWORD}) WHERE id IN (SELECT doc_id FROM documents WHERE lang = 'en')),
+h AS (SELECT * FROM s UNION ALL SELECT * FROM k)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY kind, rank, id) - 1 AS position, CASE kind WHEN 0 THEN 'semantic' ELSE 'keyword' END AS kind, id, CASE WHEN id % 2 = 0 THEN 'wiki/' || id || '.md' END AS path, score FROM h""")
+def ret11_knowledge_search(spark, sf_dir):
+    """Semantic hits and keyword hits of wiki pages (every other document) within a scope."""
+    chunks = _chunks(spark, sf_dir)
+    pages = chunks.where("id % 2 = 0").select("id", "text", "topic", F.concat(F.lit("wiki/"), "id", F.lit(".md")).alias("path"))
+    return Q.knowledge_search(_questions(spark, sf_dir), lambda: Q.Corpus(chunks), lambda: pages, scope="en", how="bm25").results
 
 
 @query()
