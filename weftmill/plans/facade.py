@@ -87,7 +87,15 @@ def ret11_knowledge_search(spark, sf_dir):
     return Q.knowledge_search(_questions(spark, sf_dir), lambda: Q.Corpus(chunks), lambda: pages, scope="en", how="bm25").results
 
 
-@query()
+_DEFINITION = " OR ".join(f"regexp_matches(t, '{x}')" for x in (r"^(what|who|which|where|when|whose|how)\s+(is|are|was|were|does|do|did)\s+", r"^(what|who|which|where|when)\s+.*\b(is|are|was|were)\b", r"^define\s+", r"^what\s+does\s+\S+\s+mean", r"\bis\s+[a-z0-9_-]+\s*[?.]?$"))
+_PARTS = rf"""(WITH pl AS (SELECT item_id AS qid, text, regexp_replace(lower(trim(text)), '[?!.]+$', '') AS t FROM benchmark),
+k AS (SELECT qid, text, CASE WHEN {_DEFINITION} THEN 'direct' WHEN len(string_split_regex(trim(text), '\s+')) < 2 THEN 'clarify' WHEN contains(text, ' and ') THEN 'decompose' ELSE 'direct' END AS plan FROM pl)
+SELECT qid, plan, text, CASE WHEN plan = 'decompose' THEN string_split(text, ' and ') WHEN plan = 'direct' THEN [text] ELSE [] END AS parts FROM k)"""
+_PLANNED = _BM25.replace("FROM benchmark)", f"FROM (SELECT qid * 1000 + generate_subscripts(parts, 1) - 1 AS item_id, unnest(parts) AS text FROM {_PARTS}))", 1).replace("rn <= 20", "rn <= 5")
+
+
+@query(f"""WITH h AS ({_PLANNED}), f AS (SELECT qid // 1000 AS qid, id, min((qid % 1000) * 1000 + rank) AS seen FROM h GROUP BY 1, 2), l AS (SELECT qid, list(id ORDER BY seen, id)[1:5] AS hits FROM f GROUP BY qid)
+SELECT p.qid, p.plan, coalesce(l.hits, []) AS hits FROM {_PARTS} p LEFT JOIN l USING (qid)""")
 def ret17_planned_answers(spark, sf_dir):
     """Planned answers to a batch of questions."""
     return Q.Planner().answer(_questions(spark, sf_dir), Q.Corpus(_chunks(spark, sf_dir)), 5)
