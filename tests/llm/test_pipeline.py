@@ -80,3 +80,16 @@ def test_run_leaves_only_its_result(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(common, "scratch_root", lambda _: f"file://{tmp_path}")
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and [n.split("-")[-1] for n in os.listdir(tmp_path / "weftmill")] == ["packing"]
+
+
+def test_a_failed_stage_leaves_no_tables(spark, tmp_path, monkeypatch):
+    import os
+
+    from weftmill.llm import common
+
+    monkeypatch.setattr(common, "scratch_root", lambda _: f"file://{tmp_path}")
+    with pytest.raises(ZeroDivisionError), common.scratch_tables(spark):
+        common.materialize(spark.range(5).toDF("id"), "first")
+        assert len(os.listdir(tmp_path / "weftmill")) == 1
+        raise ZeroDivisionError
+    assert os.listdir(tmp_path / "weftmill") == []

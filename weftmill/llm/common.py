@@ -85,11 +85,14 @@ class ScratchTables:
 
 @contextmanager
 def scratch_tables(spark: SparkSession) -> Iterator[ScratchTables]:
-    """Own the scratch tables that this thread makes within the block."""
+    """Own the scratch tables that this thread makes within the block; if the block fails, they go."""
     made = ScratchTables(spark)
     token = _OWNERS.set((*_OWNERS.get(), made))
     try:
         yield made
+    except BaseException:
+        made.drop()
+        raise
     finally:
         _OWNERS.reset(token)
 
