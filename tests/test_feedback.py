@@ -51,11 +51,11 @@ def test_feedback_lands_as_in_a_loop(spark, monkeypatch):
 
 
 def test_manual_additions(spark):
-    pairs = spark.createDataFrame([(1, "What is C-Day?", [1.0, 0.0], "the day", ["wiki/a.md"], "up")], B.PAIRS)
-    rows = [(0, "what is c-day", [1.0, 0.1], "x", None, None), (1, "c-day", [1.0, 0.1], "also", ["wiki/b.md"], "merge"), (2, "invoice", [0.0, 1.0], "file it", None, "merge"), (3, "invoices", [0.1, 1.0], "again", None, "add-anyway"), (4, "c day", [1.0, 0.0], "only this", [], "overwrite"), (5, "none", None, "n", None, None)]
+    pairs = spark.createDataFrame([(1, "What is X-Day?", [1.0, 0.0], "the day", ["wiki/a.md"], "up")], B.PAIRS)
+    rows = [(0, "what is x-day", [1.0, 0.1], "x", None, None), (1, "x-day", [1.0, 0.1], "also", ["wiki/b.md"], "merge"), (2, "invoice", [0.0, 1.0], "file it", None, "merge"), (3, "invoices", [0.1, 1.0], "again", None, "add-anyway"), (4, "x day", [1.0, 0.0], "only this", [], "overwrite"), (5, "none", None, "n", None, None)]
     after, out = B.manual_add(pairs, spark.createDataFrame(rows, "n long, question string, vector array<double>, answer string, sources array<string>, mode string"))
     assert [(r.n, r.id, r.action) for r in out.orderBy("n").collect()] == [(0, 1, "needs_decision"), (1, 1, "merged"), (2, None, "inserted"), (3, -3, "added_anyway"), (4, 1, "overwritten"), (5, None, "inserted")]
-    assert {r.id: (r.question, r.answer, r.sources, r.feedback) for r in after.collect()} == {1: ("What is C-Day?", "only this", [], None), -3: ("invoice", "file it", [], None), -4: ("invoices", "again", [], None), -6: ("none", "n", [], None)}
+    assert {r.id: (r.question, r.answer, r.sources, r.feedback) for r in after.collect()} == {1: ("What is X-Day?", "only this", [], None), -3: ("invoice", "file it", [], None), -4: ("invoices", "again", [], None), -6: ("none", "n", [], None)}
 
 
 def test_nothing_comes(spark):

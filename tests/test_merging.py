@@ -18,8 +18,8 @@ def test_sections_merge(spark):
     assert [(r.text, r.new_id) for r in R.renumbered(chunks).orderBy("doc", "pos", "at").collect()] == [("aa", "c1"), ("bb", "c2"), ("cc", "c3"), ("dd", "c4"), ("z", "c1")]
     refs = spark.createDataFrame([("d", 1, "c2", "k"), ("d", 1, "c9", "gone"), ("d", 3, "x", "m")], "doc string, pos int, id string, what string")
     assert [(r.what, r.new_id) for r in R.remapped(refs, chunks).orderBy("what").collect()] == [("k", "c3"), ("m", "c4")]
-    names = spark.createDataFrame([("d", 0, 0, "CALEO", "org", "first"), ("d", 0, 1, "caleo", "org", "dup"), ("d", 1, 0, "Caleo", None, None), ("d", 1, 1, "", None, None), ("e", 0, 0, "caleo", "org", None)], "doc string, pos int, at int, name string, type string, description string")
-    assert [(r.doc, r.name, r.description) for r in R.entities(names).orderBy("doc").collect()] == [("d", "CALEO", "first"), ("e", "caleo", None)]
+    names = spark.createDataFrame([("d", 0, 0, "ACME", "org", "first"), ("d", 0, 1, "acme", "org", "dup"), ("d", 1, 0, "Acme", None, None), ("d", 1, 1, "", None, None), ("e", 0, 0, "acme", "org", None)], "doc string, pos int, at int, name string, type string, description string")
+    assert [(r.doc, r.name, r.description) for r in R.entities(names).orderBy("doc").collect()] == [("d", "ACME", "first"), ("e", "acme", None)]
     rel = spark.createDataFrame([("d", 0, 0, "A", "B", ["h"], "x"), ("d", 1, 0, "A", "B", ["h"], "y"), ("d", 1, 1, "A", "B", None, "z"), ("d", 1, 2, None, "B", None, "z")], "doc string, pos int, at int, source string, target string, keywords array<string>, description string")
     assert [r.description for r in R.relations(rel).orderBy("pos", "at").collect()] == ["x", "z"]
     titled = spark.createDataFrame([("d", 0, 0, "A", " "), ("d", 1, 0, " a ", "Said."), ("d", 1, 1, "B", None)], "doc string, pos int, at int, title string, summary string")
@@ -41,10 +41,10 @@ def test_emptied_folders(spark):
 
 
 def test_retry_restarts_what_hangs_on_a_failed_stage(spark):
-    states = [(1, "parsing", "failed", 0), (2, "ingesting_llmwiki", "failed", 0), (2, "parsing", "done", 0), (3, "parsing", "failed", 0), (3, "refinement", "running", 0), (4, "parsing", "done", 0), (5, "refinement", "failed", 0), (5, "refinement", "done", 1), (6, "refinement", "failed", 1), (7, "unknown", "failed", 0)]
+    states = [(1, "parsing", "failed", 0), (2, "ingesting_wiki", "failed", 0), (2, "parsing", "done", 0), (3, "parsing", "failed", 0), (3, "refinement", "running", 0), (4, "parsing", "done", 0), (5, "refinement", "failed", 0), (5, "refinement", "done", 1), (6, "refinement", "failed", 1), (7, "unknown", "failed", 0)]
     got = {r.task: (r.outcome, r.restarted) for r in G.retry(spark.createDataFrame(states, "task int, stage string, status string, at int")).collect()}
-    assert got[1] == ("retried", ["parsing", "refinement", "ingesting_llmwiki", "ingesting_neo4j"]) and got[2] == ("retried", ["ingesting_llmwiki"])
-    assert got[3] == ("busy", []) and got[4] == got[5] == ("nothing", []) and got[6] == ("retried", ["refinement", "ingesting_llmwiki", "ingesting_neo4j"])
+    assert got[1] == ("retried", ["parsing", "refinement", "ingesting_wiki", "ingesting_graph"]) and got[2] == ("retried", ["ingesting_wiki"])
+    assert got[3] == ("busy", []) and got[4] == got[5] == ("nothing", []) and got[6] == ("retried", ["refinement", "ingesting_wiki", "ingesting_graph"])
     with pytest.raises(ValueError, match="depend"):
         G.closure(spark, {"a": ("b",), "b": ("a",)})
 

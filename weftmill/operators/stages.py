@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: The stages of an ingest task, in order, each with those it needs.
-STAGES = {"parsing": (), "refinement": ("parsing",), "ingesting_llmwiki": ("refinement",), "ingesting_neo4j": ("refinement",)}
+#: The stages of an ingest task, in order, each with those it needs; any other graph can be given.
+STAGES = {"parsing": (), "refinement": ("parsing",), "ingesting_wiki": ("refinement",), "ingesting_graph": ("refinement",)}
 
 
 def closure(spark: SparkSession, needs: dict[str, tuple[str, ...]] = STAGES) -> DataFrame:

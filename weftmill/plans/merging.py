@@ -47,11 +47,11 @@ def snk5_emptied_folders(spark, sf_dir):
     return P.delete(pages, gone)[1]
 
 
-_RETRY = """WITH RECURSIVE s AS (SELECT l_orderkey AS task, CASE l_linenumber % 4 WHEN 0 THEN 'parsing' WHEN 1 THEN 'refinement' WHEN 2 THEN 'ingesting_llmwiki' ELSE 'ingesting_neo4j' END AS stage,
+_RETRY = """WITH RECURSIVE s AS (SELECT l_orderkey AS task, CASE l_linenumber % 4 WHEN 0 THEN 'parsing' WHEN 1 THEN 'refinement' WHEN 2 THEN 'ingesting_wiki' ELSE 'ingesting_graph' END AS stage,
   CASE WHEN l_returnflag = 'R' THEN 'failed' WHEN l_quantity > 48 THEN 'running' ELSE 'done' END AS status, l_linenumber AS seen FROM lineitem),
 l AS (SELECT task, stage, status FROM (SELECT *, row_number() OVER (PARTITION BY task, stage ORDER BY seen DESC, status) AS n FROM s) WHERE n = 1),
-g(need, stage) AS (VALUES ('parsing', 'refinement'), ('refinement', 'ingesting_llmwiki'), ('refinement', 'ingesting_neo4j')),
-o(stage, place) AS (VALUES ('parsing', 0), ('refinement', 1), ('ingesting_llmwiki', 2), ('ingesting_neo4j', 3)),
+g(need, stage) AS (VALUES ('parsing', 'refinement'), ('refinement', 'ingesting_wiki'), ('refinement', 'ingesting_graph')),
+o(stage, place) AS (VALUES ('parsing', 0), ('refinement', 1), ('ingesting_wiki', 2), ('ingesting_graph', 3)),
 c AS (SELECT task, stage FROM l WHERE status = 'failed' UNION SELECT c.task, g.stage FROM c JOIN g ON g.need = c.stage),
 t AS (SELECT task, bool_or(status = 'running') AS busy, bool_or(status = 'failed') AS failed FROM l GROUP BY task),
 r AS (SELECT task, list(stage ORDER BY place) AS restarted FROM c JOIN o USING (stage) GROUP BY task)
@@ -62,7 +62,7 @@ SELECT t.task, CASE WHEN busy THEN 'busy' WHEN NOT failed THEN 'nothing' ELSE 'r
 def str10_retry_stages(spark, sf_dir):
     """What a retry of each task restarts: failed stages and all that depends on them."""
     k = F.col("l_linenumber") % 4
-    stage = F.when(k == 0, "parsing").when(k == 1, "refinement").when(k == 2, "ingesting_llmwiki").otherwise("ingesting_neo4j")
+    stage = F.when(k == 0, "parsing").when(k == 1, "refinement").when(k == 2, "ingesting_wiki").otherwise("ingesting_graph")
     status = F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_quantity") > 48, "running").otherwise("done")
     return G.retry(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task"), stage.alias("stage"), status.alias("status"), F.col("l_linenumber").alias("at")))
 
