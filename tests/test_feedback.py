@@ -62,3 +62,33 @@ def test_nothing_comes(spark):
     pairs = spark.createDataFrame([(1, "q", [1.0], "a", None, None)], B.PAIRS)
     after, matches, moves = B.record(pairs, spark.createDataFrame([], IN))
     assert [(r.id, r.answer, r.sources) for r in after.collect()] == [(1, "a", [])] and matches.count() == moves.count() == 0
+
+
+def test_no_vector_reaches_the_driver(spark, monkeypatch):
+    for name, size in {"SIDE": 6, "SETTLED": 5, "STEP": 3}.items():
+        monkeypatch.setattr(B, name, size, raising=False)
+    rng = random.Random(5)
+    vec = lambda: [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)]
+    pairs = [(i, vec()) for i in range(3)]
+    inputs = [(n, [None, 1.0, 0.0, 0.0] if n == 8 else vec(), n % 6 == 2) for n in range(60)]
+    vectors, want = dict(pairs), {}
+    for n, v, always in inputs:
+        best = None if None in v else near(vectors, v, 0.8)
+        want[n] = (best[1] if best else -n - 1, -best[0] if best else None, always or best is None)
+        if want[n][2] and None not in v:
+            vectors[-n - 1] = v
+    a, b = spark.createDataFrame(pairs, "id long, vector array<double>"), spark.createDataFrame(inputs, "n long, vector array<double>, always boolean")
+
+    def guarded(call):
+        def run(self, *args, **kwargs):
+            assert "vector" not in self.columns, "vectors come to the driver"
+            return call(self, *args, **kwargs)
+
+        return run
+
+    with monkeypatch.context() as m:
+        for name in ("collect", "toLocalIterator"):
+            m.setattr(type(a), name, guarded(getattr(type(a), name)))
+        out = B.assign(a, b, 0.8, b["always"])
+    assert {r.n: (r.id, r.score, r.made) for r in out.collect()} == want
+    assert sum(made for _, _, made in want.values()) > 12

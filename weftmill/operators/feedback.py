@@ -1,31 +1,105 @@
 """Questions and answers: feedback and manual additions that land on the most similar question.
 
 Inputs count in order of ``n``. Each goes to the most similar pair at or above a threshold, among the stored pairs and those that
-earlier inputs have made, or makes a new one. Inputs are a stated query set: they are taken in blocks of ``QUERY_BLOCK``, each compared
-with all pairs in one pass (a task keeps its own best), and what a block's own earlier inputs make is settled among its rows. New
-pairs of earlier blocks are a table like the stored ones, so memory is one block however many inputs come.
+earlier inputs have made, or makes a new one. All inputs are compared with the stored pairs in one distributed pass. Only those that no
+stored pair is similar to can make one, so only they are settled in order: ``SETTLED`` of them in a task, whose new pairs
+then take out what is similar to them among the rest, in the tasks. A last pass compares all inputs with the pairs made before them. The driver
+gets counts and the last ``n`` of a block, and memory is that of two groups of vectors however many inputs come.
 
 Then one ordered fold for each pair gives its answer, sources and feedback, and moves of confidence are counted where the direction
 of feedback changes. Scores are rounded to six places and ties go to the smaller id; a new pair's id is ``-n - 1``.
 
-A null or zero vector is similar to nothing; null sources are none; blank or repeated sources count once; an empty input changes nothing.
+A null or zero vector, or one with a null component, is similar to nothing; null sources are none; blank or repeated sources count once; an empty input changes nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftmill.operators import retrieval as S
 from weftmill.scratch import kept
 
 PAIRS = "id long, question string, vector array<double>, answer string, sources array<string>, feedback string"
-_MATCH = "n long, id long, score double, made boolean"
+SIDE = 16_384
+SETTLED = 16_384
+STEP = 512
 
 
 def _usable(v: Column) -> Column:
-    return v.isNotNull() & ~F.forall(F.coalesce(v, F.array().cast("array<double>")), lambda x: x.isNull() | (x == 0))
+    held = F.coalesce(v, F.array().cast("array<double>"))
+    return ~F.exists(held, lambda x: x.isNull()) & F.exists(held, lambda x: x != 0)
+
+
+def _nearest(asked: DataFrame, corpus: DataFrame, threshold: float, digits: int = 6) -> DataFrame:
+    """``n, id, score``: the row of ``corpus`` (id, born, vector) most similar to each of ``asked`` (n, vector), at or above ``threshold``.
+
+    A row with a ``born`` counts only for inputs after it. Both sides are hashed into groups of about ``SIDE`` rows, and a task
+    compares one group with one other, ``STEP`` inputs at a time; it gives a row for an input, so neither the driver nor a task holds a side.
+    """
+    sides = [max(1, -(-side.count() // SIDE)) for side in (asked, corpus)]
+    step = STEP
+    schema = pa.schema([("n", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+
+    def matrix(t: pa.Table) -> np.ndarray:
+        v = t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        right = right.sort_by("id")  # the first of equal scores is the smaller id
+        n, ids, born = left.column("n").to_numpy(), right.column("id").to_numpy(), right.column("born").fill_null(np.iinfo(np.int64).min).to_numpy()
+        a, b, out = matrix(left), matrix(right).T, []
+        for at in range(0, len(n), step):
+            own = n[at : at + step]
+            s = np.round(a[at : at + step] @ b, digits)
+            s[~(s >= threshold) | (born[None, :] >= own[:, None])] = -np.inf
+            best = s.argmax(axis=1)
+            score = s[np.arange(len(own)), best]
+            some = score > -np.inf
+            out.append(pa.table([own[some], ids[best[some]], score[some]], schema=schema))
+        return pa.concat_tables(out)
+
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    part = lambda key, size: F.pmod(F.xxhash64(key), F.lit(size)).cast("int")
+    left = asked.select("n", "vector", part("n", sides[0]).alias("q"), every(sides[1]).alias("c"))
+    right = corpus.select("id", "born", "vector", every(sides[0]).alias("q"), part("id", sides[1]).alias("c"))
+    found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInArrow(compare, "n long, id long, score double")
+    return _best(found)
+
+
+def _best(found: DataFrame) -> DataFrame:
+    best = found.groupBy("n").agg(F.min(F.struct((-F.col("score")).alias("score"), "id")).alias("b"))
+    return best.select("n", "b.id", (-F.col("b.score")).alias("score"))
+
+
+def _settled(block: DataFrame, threshold: float, digits: int = 6) -> DataFrame:
+    """Those rows of one block (n, vector) that no earlier one, itself left, is similar to."""
+    schema, step = pa.schema([("n", pa.int64()), ("vector", pa.list_(pa.float64()))]), STEP
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held).sort_by("n")
+        v = t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+        left = np.empty(0, dtype=np.int64)
+        for at in range(0, len(v), step):
+            own = v[at : at + step]
+            alive = ~(np.round(own @ v[left].T, digits) >= threshold).any(axis=1) if len(left) else np.ones(len(own), dtype=bool)
+            near = np.round(own @ own.T, digits) >= threshold
+            for i in range(len(own)):
+                if alive[i]:
+                    alive[i + 1 :] &= ~near[i, i + 1 :]
+            left = np.concatenate([left, at + np.flatnonzero(alive)])
+        yield from t.take(pa.array(left)).select(["n", "vector"]).cast(schema).to_batches()
+
+    return block.coalesce(1).mapInArrow(settle, "n long, vector array<double>")
 
 
 def assign(pairs: DataFrame, inputs: DataFrame, threshold: float, always: Column | None = None) -> DataFrame:
@@ -34,44 +108,26 @@ def assign(pairs: DataFrame, inputs: DataFrame, threshold: float, always: Column
     ``score`` is that of the similar pair, null if there is none; where ``always`` holds, the input makes a pair of its own all the same,
     and ``id`` is still the similar one.
     """
-    spark = inputs.sparkSession
     asked = kept(inputs.select(F.col("n").cast("long"), F.col("vector").cast("array<double>").alias("vector"), F.coalesce(always if always is not None else F.lit(False), F.lit(False)).alias("always")), "asked")
-    corpus = pairs.where(_usable(F.col("vector"))).select("id", F.col("vector").cast("array<double>").alias("vector"))
-    parts, after = [], None
+    clean = asked.where(_usable(F.col("vector")))
+    stored = pairs.where(_usable(F.col("vector"))).select(F.col("id").cast("long"), F.lit(None).cast("long").alias("born"), F.col("vector").cast("array<double>").alias("vector"))
+    pair = lambda rows: rows.select((-F.col("n") - 1).alias("id"), F.col("n").alias("born"), "vector")
+    old = kept(_nearest(clean.select("n", "vector"), stored, threshold), "stored")
+    made = clean.where("always").select("n", "vector")
+    open_ = kept(clean.where(~F.col("always")).select("n", "vector").join(old.select("n"), "n", "left_anti"), "open")
+    open_ = kept(open_.join(_nearest(open_, pair(made), threshold).select("n"), "n", "left_anti"), "open")
     while True:
-        rest = asked if after is None else asked.where(F.col("n") > after)
-        block = rest.orderBy("n").limit(S.QUERY_BLOCK).collect()
-        if not block:
+        block = kept(open_.orderBy("n").limit(SETTLED), "block")
+        last = block.agg(F.max("n")).first()[0]
+        if last is None:
             break
-        after = block[-1]["n"]
-        clean = [(r["n"], r["vector"]) for r in block if r["vector"] and any(r["vector"]) and None not in r["vector"]]
-        found = {}
-        if clean:
-            near = S.vector_topk(spark.createDataFrame(clean, "qid long, vector array<double>"), corpus, 1).where(F.col("score") >= threshold)
-            found = {r["qid"]: (-r["score"], r["id"]) for r in near.collect()}
-        vectors = {n: np.asarray(v) / np.linalg.norm(v) for n, v in clean}
-        made: list[int] = []
-        rows = []
-        for r in block:
-            n, best = r["n"], found.get(r["n"])
-            if n in vectors and made:
-                for m, score in zip(made, np.round(np.array([vectors[m] for m in made]) @ vectors[n], 6).tolist(), strict=True):
-                    if score >= threshold and (best is None or (-score, -m - 1) < best):
-                        best = (-score, -m - 1)
-            new = best is None or r["always"]
-            if new and n in vectors:
-                made.append(n)
-            rows.append((n, best[1] if best else -n - 1, -best[0] if best else None, new))
-        parts.append(kept(spark.createDataFrame(rows, _MATCH), "matched"))
-        if made:
-            own = [(-m - 1, vectors[m].tolist()) for m in made]
-            corpus = corpus.unionByName(kept(spark.createDataFrame(own, "id long, vector array<double>"), "made"))
-    if not parts:
-        return spark.createDataFrame([], _MATCH)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        fresh = kept(_settled(block, threshold), "made")
+        made = made.unionByName(fresh)
+        rest = open_.where(F.col("n") > last)
+        open_ = kept(rest.join(_nearest(rest, pair(fresh), threshold).select("n"), "n", "left_anti"), "open")
+    best = _best(old.unionByName(_nearest(clean.select("n", "vector"), pair(made), threshold)))
+    rows = asked.select("n", "always").join(best, "n", "left")
+    return kept(rows.select("n", F.coalesce("id", -F.col("n") - 1).alias("id"), "score", (F.col("always") | F.col("score").isNull()).alias("made")), "matched")
 
 
 def _sources(lists: Column) -> Column:
