@@ -51,3 +51,12 @@ def test_chunks_of_the_best_entity_come_first(spark):
     q = spark.createDataFrame([(7, "Elan vital")], "qid long, text string")
     hits = E.search(q, E.build(e), E.mentions(chunks, e), relations, 3).orderBy("rank").collect()
     assert [(h.id, h.entity, h.neighbours) for h in hits] == [(1, "Élan Vital", []), (1, "Vital", ["Tool"]), (2, "Vital", ["Tool"])]
+
+
+def test_capitals_of_a_question_make_no_other_word(spark, tmp_path):
+    from weftmill.plans.registry import QUERIES
+
+    spark.createDataFrame([(0, "ENCHSS oschte"), (1, "Straße Chlich")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "enchß straße")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name in ("ret4_entity_match", "ret4_entity_search"):
+        assert {(r.qid, r.entity) for r in QUERIES[name](spark, str(tmp_path)).collect()} == {(7, "Straße")}

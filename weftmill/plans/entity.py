@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import functions as F
 
 from weftmill.operators import entities as E
@@ -28,8 +30,11 @@ def _entities(spark, sf_dir):
 
 
 def _asked(spark, sf_dir):
-    """The items in capitals and without marks: only folding finds what they name."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.upper(E.fold(F.col("text"))).alias("text"))
+    """The items in capitals and without marks: only folding finds what they name.
+
+    Capitals are those of a to z, which folding takes back: ``upper`` makes two letters of a sharp s, another word.
+    """
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.translate(E.fold(F.col("text")), ascii_lowercase, ascii_uppercase).alias("text"))
 
 
 @query(f"WITH {_INDEX} SELECT qid, entity, score, CAST(r - 1 AS INTEGER) AS rank FROM m WHERE r <= {_K}")
