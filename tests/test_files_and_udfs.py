@@ -144,3 +144,12 @@ def test_search_facade(spark):
     plans = Q.Planner().answer(spark.createDataFrame([(1, "apple pie and car engine"), (2, "hm"), (3, "what is apple?")], "qid long, text string"), corpus).collect()
     got = {r.qid: (r.plan, r.hits) for r in plans}
     assert got[1] == ("decompose", [1, 2, 3]) and got[2] == ("clarify", []) and got[3][0] == "direct"
+
+
+def test_loose_relations_are_parsed_once(spark):
+    from weftmill.functions.text import relation_of
+
+    texts = ['{"source": " a", "target": "b", "keywords": ["k"]}', 'so: {"from": "a", "to": "b "} end', '```json\n{"from": "c", "to": "d"}\n``` {', "none", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", relation_of(F.col("t")).alias("r")).select("i", "r.*")
+    assert [tuple(r)[1:] for r in rows.orderBy("i").collect()] == [("a", "b", ["k"]), ("a", "b", []), ("c", "d", []), (None, None, []), (None, None, [])]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1

@@ -194,9 +194,9 @@ def is_definitional(c: Column) -> Column:
 def lenient_json(c: Column, ddl: str) -> Column:
     """JSON as it is, else the fenced block, else from the first brace to the last."""
     fenced, outer = F.regexp_extract(c, r"```(?:json)?\s*([\s\S]*?)```", 1), F.regexp_extract(c, r"(\{[\s\S]*\})", 1)
-    whole = F.trim(c)
     ok = lambda x: x.rlike(r"^\{[\s\S]*\}$")
-    return F.from_json(F.coalesce(F.when(ok(whole), whole), F.when(ok(F.trim(fenced)), F.trim(fenced)), F.when(ok(outer), outer)), ddl)
+    tried = lambda x: F.get(F.filter(F.array(x), ok), 0)  # noqa: E731  an element is made once, a repeated expression each time
+    return F.from_json(F.coalesce(tried(F.trim(c)), tried(F.trim(fenced)), tried(outer)), ddl)
 
 
 def ticket_ref(c: Column) -> Column:
@@ -228,6 +228,7 @@ def serialize_turn(role: Column, content: Column, thinking: Column, tool: Column
 
 def relation_of(c: Column) -> Column:
     """A relation out of loose JSON: ``source`` or ``from``, ``target`` or ``to``, trimmed; keywords never null."""
-    r = lenient_json(c, "source string, target string, `from` string, `to` string, keywords array<string>")
-    end = lambda a, b: F.trim(F.coalesce(r[a], r[b]))
-    return F.struct(end("source", "from").alias("source"), end("target", "to").alias("target"), F.coalesce(r["keywords"], F.array().cast("array<string>")).alias("keywords"))
+    end = lambda r, a, b: F.trim(F.coalesce(r[a], r[b]))
+    fields = lambda r: F.struct(end(r, "source", "from").alias("source"), end(r, "target", "to").alias("target"), F.coalesce(r["keywords"], F.array().cast("array<string>")).alias("keywords"))
+    loose = lenient_json(c, "source string, target string, `from` string, `to` string, keywords array<string>")
+    return F.get(F.transform(F.array(loose), fields), 0)  # parsed once for all fields
