@@ -145,3 +145,11 @@ def test_positions_and_column_rows_of_whole_tables(spark):
     cards = rows.select(F.when(F.col("a") == 1, "Done").when(F.col("a") == 2, "Backlog").otherwise("Odd").alias("status"), F.col("b").alias("pos"), F.concat(F.lit("r"), "b").alias("ref"))
     listed = {(r.ordinal, r.status, i, ref) for r in B.columns(cards).collect() for i, ref in enumerate(r.cards)}
     assert {tuple(r) for r in B.column_rows(cards).select("ordinal", "status", "position", "ref").collect()} == listed
+
+
+def test_patches_fold_in_order_and_without_a_group_for_each_document(spark):
+    grid = [(1, 0, "heading", 1, "A"), (1, 1, "paragraph", 0, "p"), (2, 1, "paragraph", 0, "q"), (2, 0, "heading", 2, "B"), (None, 0, "heading", 1, "N"), (3, 0, "paragraph", 0, None)]
+    ops = [(1, 3, "set_heading", 0, "A3", None), (1, 2, "set_heading", 0, "A2", None), (1, 4, "insert_after", 0, "new", None), (1, 5, "delete", 1, None, None), (1, 6, "set_text", 1, "gone", None), (2, 1, "set_level", 0, None, 9), (2, 2, "set_text", 0, "no", None), (2, 3, "delete", None, None, None), (None, 1, "set_heading", 0, "M", None), (9, 1, "insert_after", 0, "x", None)]
+    out = C.apply_patches(spark.createDataFrame(grid, "doc_id long, pos int, kind string, level int, text string"), spark.createDataFrame(ops, "doc_id long, seq int, op string, index int, text string, level int"))
+    want = {(1, 0, "heading", 1, "A3"), (1, 1, "paragraph", 0, "new"), (2, 0, "heading", 6, "B"), (2, 1, "paragraph", 0, "q"), (None, 0, "heading", 1, "M"), (3, 0, "paragraph", 0, None)}
+    assert {tuple(r) for r in out.collect()} == want and "CoGroup" not in out._jdf.queryExecution().executedPlan().toString()

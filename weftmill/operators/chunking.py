@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,38 +88,44 @@ def apply_patches(found: DataFrame, patches: DataFrame, key: str = "doc_id") ->
     ``patches`` has ``key, seq, op, index, text, level``; ops: ``set_heading``, ``set_text``, ``set_level``,
     ``delete``, ``insert_after``. Each document is folded on its own, in ``seq`` order.
     """
-    schema = f"{key} {dict(found.dtypes)[key]}, pos int, kind string, level int, text string"
-
-    def fold(grid: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
-        if grid.empty:
-            return pd.DataFrame(columns=[key, "pos", "kind", "level", "text"])
-        grid = grid.sort_values("pos").reset_index(drop=True)
-        kinds = grid["kind"].tolist()
-        rows: list[dict | None] = grid[["kind", "level", "text"]].to_dict("records")
+    kind = dict(found.dtypes)[key]
+
+    def fold(grid: list[dict], changes: list[dict]) -> list[dict]:
+        kinds = [b["kind"] for b in grid]
+        rows: list[dict | None] = list(grid)
         after: dict[int, list[dict]] = {}
-        for c in changes.sort_values("seq").itertuples():
-            i = int(c.index_)
-            if not 0 <= i < len(rows):
+        for c in changes:
+            i = c["index"]
+            if i is None or not 0 <= i < len(rows):
                 continue
-            row = rows[i]
-            if c.op == "insert_after":
-                after.setdefault(i, []).append({"kind": "paragraph", "level": 0, "text": c.text})
+            row, op = rows[i], c["op"]
+            if op == "insert_after":
+                after.setdefault(i, []).append({"kind": "paragraph", "level": 0, "text": c["text"]})
             elif row is None:
                 continue
-            elif c.op == "delete":
+            elif op == "delete":
                 rows[i] = None
-            elif c.op == "set_text" and kinds[i] == "paragraph" or c.op == "set_heading" and kinds[i] == "heading":
-                row["text"] = c.text
-            elif c.op == "set_level" and kinds[i] == "heading":
-                row["level"] = min(6, max(1, int(c.level)))
-        out = [r for i, row in enumerate(rows) for r in ([row] if row else []) + after.get(i, [])]
-        frame = pd.DataFrame(out, columns=["kind", "level", "text"])
-        frame.insert(0, "pos", range(len(frame)))
-        frame.insert(0, key, grid[key].iloc[0])
-        return frame
-
-    renamed = patches.withColumnRenamed("index", "index_")
-    return found.groupBy(key).cogroup(renamed.groupBy(key)).applyInPandas(fold, schema)
+            elif op == "set_text" and kinds[i] == "paragraph" or op == "set_heading" and kinds[i] == "heading":
+                row["text"] = c["text"]
+            elif op == "set_level" and kinds[i] == "heading" and c["level"] is not None:
+                row["level"] = min(6, max(1, int(c["level"])))
+        return [r for i, row in enumerate(rows) for r in ([row] if row else []) + after.get(i, [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
+                out = [fold(g, c or []) for g, c in zip(batch.column("grid").to_pylist(), batch.column("changes").to_pylist(), strict=True)]
+                every = [r for rows in out for r in rows]
+                of = pa.array([i for i, rows in enumerate(out) for _ in rows], type=pa.int64())
+                pos = pa.array([i for rows in out for i in range(len(rows))], type=pa.int32())
+                columns = [pa.array([r[c] for r in every], type=t) for c, t in (("kind", pa.string()), ("level", pa.int32()), ("text", pa.string()))]
+                yield pa.RecordBatch.from_arrays([batch.column("key_").take(of), pos, *columns], names=[key, "pos", "kind", "level", "text"])
+
+    listed = lambda rows, name, *fields: rows.groupBy(F.col(key).alias("key_")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))  # noqa: E731  one document's own
+    grid, changes = listed(found, "grid", "pos", "kind", "level", "text"), listed(patches, "changes", "seq", "op", "index", "text", "level")
+    both = grid.join(changes, grid["key_"].eqNullSafe(changes["key_"]), "left").select(grid["key_"], "grid", "changes")
+    return both.mapInArrow(run, f"{key} {kind}, pos int, kind string, level int, text string")
 
 
 def align_headings(source: DataFrame, refined: DataFrame, key: str = "doc_id") -> DataFrame:
