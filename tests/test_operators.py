@@ -153,3 +153,12 @@ def test_patches_fold_in_order_and_without_a_group_for_each_document(spark):
     out = C.apply_patches(spark.createDataFrame(grid, "doc_id long, pos int, kind string, level int, text string"), spark.createDataFrame(ops, "doc_id long, seq int, op string, index int, text string, level int"))
     want = {(1, 0, "heading", 1, "A3"), (1, 1, "paragraph", 0, "new"), (2, 0, "heading", 6, "B"), (2, 1, "paragraph", 0, "q"), (None, 0, "heading", 1, "M"), (3, 0, "paragraph", 0, None)}
     assert {tuple(r) for r in out.collect()} == want and "CoGroup" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_text_is_split_once_for_all_its_hashes(spark):
+    import hashlib
+
+    rows = spark.createDataFrame([(0, "a b c d e"), (1, None), (2, "")], "i int, t string").select("i", X.chunk_hashes(X.normalize_markdown(F.col("t")), 2).alias("h"))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert [r.h for r in rows.orderBy("i").collect()] == [[sha("a b"), sha("c d"), sha("e")], None, [sha("")]]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1

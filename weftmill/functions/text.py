@@ -40,9 +40,9 @@ def normalize_markdown(c: Column) -> Column:
 
 def chunk_hashes(c: Column, words: int = 1000) -> Column:
     """SHA-256 of every ``words`` words of a normalized text."""
-    parts = F.split(c, " ")
-    starts = F.sequence(F.lit(1), F.size(parts), F.lit(words))
-    return F.transform(starts, lambda s: F.sha2(F.array_join(F.slice(parts, s, F.lit(words)), " "), 256))
+    starts = lambda parts: F.sequence(F.lit(1), F.size(parts), F.lit(words))
+    hashes = lambda parts: F.transform(starts(parts), lambda s: F.sha2(F.array_join(F.slice(parts, s, F.lit(words)), " "), 256))
+    return F.get(F.transform(F.array(F.split(c, " ")), hashes), 0)  # an element: the text is normalized once, not again for each hash
 
 
 def tokens(c: Column) -> Column:
