@@ -40,3 +40,15 @@ def test_frames_of_unknown_tasks_are_dropped(spark):
     df = spark.createDataFrame([(k, t, t, x) for k, t, x in rows], "task string, at int, tie int, kind string")
     out = U.routed(df, "task", "at", "tie", F.col("kind") == "open", F.col("kind") == "end")
     assert sorted((r.task, r.at) for r in out.collect()) == [("a", 2), ("a", 3), ("a", 4), ("a", 6), ("a", 7)]
+
+
+def test_pieces_leave_python_in_slices(spark, monkeypatch):
+    from weftmill.operators import upkeep as U
+
+    monkeypatch.setattr(U, "SLICE", 2, raising=False)
+    text = "aaaa\n\nbbbb\n\ncccc"
+    rows = [(i, "h" if i % 2 else None, text if i % 3 else "short") for i in range(7)]
+    out = U.enforce_size(spark.createDataFrame(rows, "i int, heading_path string, markdown string").coalesce(1), 9)
+    want = [(i, k, h if k == 0 else f"{h or ''} (part {k + 1})", m) for i, h, t in rows for k, m in enumerate(["aaaa\n\nbbbb", "cccc"] if t == text else [t])]
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[:2]) == want
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weftmill.functions import text as X
 
 #: Fixed value: bytes of a section above which it is cut.
 SECTION_BYTES = 1024 * 1024
-_PIECE = T.ArrayType(T.StructType().add("heading_path", "string").add("markdown", "string"))
+#: Rows of a batch that a task has in Python at a time.
+SLICE = 64
 TITLE_CHARS = 120
 
 
@@ -40,16 +41,23 @@ def pieces(heading_path: str | None, markdown: str | None, most: int) -> list[tu
 def enforce_size(sections: DataFrame, most: int = SECTION_BYTES) -> DataFrame:
     """``sections`` (heading_path, markdown, ...) cut at paragraphs: one row a piece, with its ``piece`` number from 0."""
 
-    @F.pandas_udf(_PIECE)
-    def cut(heading: pd.Series, markdown: pd.Series) -> pd.Series:
-        return pd.Series([[{"heading_path": h, "markdown": m} for h, m in pieces(p, t, most)] for p, t in zip(heading, markdown, strict=True)])
+    rest = [c for c in sections.columns if c not in ("heading_path", "markdown")]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                found = [pieces(p, t, most) for p, t in zip(batch.column("heading_path").to_pylist(), batch.column("markdown").to_pylist(), strict=True)]
+                of = pa.array([i for i, rows in enumerate(found) for _ in rows], type=pa.int64())
+                piece = pa.array([i for rows in found for i in range(len(rows))], type=pa.int32())
+                texts = [pa.array([r[k] for rows in found for r in rows], type=pa.string()) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in rest), piece, *texts], names=[*rest, "piece", "heading_path", "markdown"])
 
     fits = F.octet_length(F.coalesce("markdown", F.lit(""))) <= most  # only what is too long leaves the JVM's expressions
-    whole = F.array(F.struct("heading_path", F.coalesce("markdown", F.lit("")).alias("markdown")))
-    long = sections.where(~fits).withColumn("_p", cut("heading_path", "markdown"))
-    rows = sections.where(fits).withColumn("_p", whole.cast(long.schema["_p"].dataType)).unionByName(long)
-    rest = [c for c in sections.columns if c not in ("heading_path", "markdown")]
-    return rows.select(*rest, F.posexplode("_p").alias("piece", "_q")).select(*rest, "piece", "_q.*")
+    whole = sections.where(fits).select(*rest, F.lit(0).alias("piece"), "heading_path", F.coalesce("markdown", F.lit("")).alias("markdown"))
+    kinds = dict(sections.dtypes)
+    ddl = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "piece int, heading_path string, markdown string"])
+    return whole.unionByName(sections.where(~fits).select(*rest, "heading_path", "markdown").mapInArrow(cut, ddl))
 
 
 def retopic(pages: DataFrame, moves: DataFrame, today: Column) -> DataFrame:
