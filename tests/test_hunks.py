@@ -54,3 +54,14 @@ def test_columns(spark):
     df = spark.createDataFrame([("a\nb", "a\nc"), (None, None)], "x string, y string").select(H.diff_hunks("x", "y").alias("d")).select("d.*")
     first, second = df.collect()
     assert [tuple(h) for h in first.hunks] == [(2, 2, ["b"], ["c"])] and not second.changed
+
+
+def test_diffs_of_a_batch_are_made_a_few_rows_at_a_time():
+    import pyarrow as pa
+
+    from weftmill.functions import hunks as H
+
+    a, b = [None if i == 5 else f"mark-{i}\nx" for i in range(20)], [f"mark-{i}\ny" for i in range(20)]
+    out = H._diffs(pa.array(a), pa.array(b), 3).to_pylist()
+    assert [(r["unified"], r["added"], r["removed"]) for r in out] == [(H.line_hunks(p, q)[2:5]) for p, q in zip(a, b, strict=True)]
+    assert H._diffs(pa.array([], pa.string()), pa.array([], pa.string())).to_pylist() == []
