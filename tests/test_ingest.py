@@ -121,3 +121,21 @@ def test_delete_takes_all_that_hangs_on_a_document(spark, tmp_path):
     assert {(r.name, r.mentioned, r.related) for r in left.entities.collect()} == {("Ada", 0, 1), ("Bob", 1, 1)} and left.sections.count() == 0
     none = I.delete(left, spark.createDataFrame([("b",)], "doc string")).apply(left)
     assert none.entities.count() == none.relations.count() == none.mentions.count() == 0
+
+
+def test_overwrite_by_sort_merge_joins(spark, tmp_path):
+    """As on large tables, where no side is broadcast: the union of old and new names stays joinable by key."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = lambda turn: batch(spark, *(rows for rows in (
+            [(f"d{i}", f"p{i}.md", f"T{turn}", "x") for i in range(40)], [(f"d{i}", "c", f"Name{i + turn} and Other{i}", "# A") for i in range(40)],
+            [(f"d{i}", n, None) for i in range(40) for n in (f"Name{i + turn}", f"Other{i}")], [(f"d{i}", f"name{i + turn}", f"other{i}", "k") for i in range(40)],
+        )))
+        empty = I.Store.empty(spark)
+        store = I.overwrite(empty, docs(0), embed).apply(empty).save(f"file://{tmp_path}/a")
+        after = I.overwrite(store, docs(1), embed).apply(store).save(f"file://{tmp_path}/b")
+        assert after.relations.count() == 80 and after.mentions.count() == 80
+        assert {(r.name, r.mentioned, r.related) for r in after.entities.where("name in ('Name0', 'Name1', 'Name40', 'Other3')").collect()} == {("Name0", 0, 1), ("Name1", 1, 2), ("Name40", 1, 1), ("Other3", 1, 2)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

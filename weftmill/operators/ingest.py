@@ -47,7 +47,7 @@ class Store:
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Store:
-        return cls(**{name: spark.createDataFrame([], ddl) for name, (ddl, _) in TABLES.items()})
+        return cls(**{name: spark.createDataFrame([], ddl).limit(0) for name, (ddl, _) in TABLES.items()})  # the limit tells the optimizer, which drops joins with them
 
     @classmethod
     def load(cls, spark: SparkSession, base: str) -> Store:
@@ -101,17 +101,21 @@ def _last(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def pairs(chunks: DataFrame, entities: DataFrame) -> DataFrame:
-    """``entity, id, doc``: the chunks of a document whose text holds the name or an alias of one of its entities, in any case."""
+    """``entity, id, doc``: the chunks of a document whose text holds the name or an alias of one of its entities, in any case.
+
+    A document names an entity once (``entities``: doc, name, aliases), so each chunk and entity meet once and nothing needs to be made distinct.
+    """
     terms = F.filter(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("name")), lambda t: F.length(F.trim(t)) > 0)
-    named = entities.select("doc", F.col("name").alias("entity"), F.explode(F.transform(terms, lambda t: F.lower(F.trim(t)))).alias("term"))
-    return chunks.join(named, "doc").where(F.contains(F.lower("text"), F.col("term"))).select("entity", "id", "doc").distinct()
+    named = entities.select("doc", F.col("name").alias("entity"), F.transform(terms, lambda t: F.lower(F.trim(t))).alias("terms"))
+    low = chunks.withColumn("low", F.lower("text")).join(named, "doc")
+    return low.where(F.exists("terms", lambda t: F.contains(F.col("low"), t))).select("entity", "id", "doc")
 
 
 def overwrite(store: Store, batch: Batch, embed: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], DataFrame] = kept) -> Change:
     """The change that the new versions make.
 
     ``embed`` adds a column ``vector`` to rows with a ``text``; ``keep`` writes a frame that is used
-    more than once (documents, chunk states, deltas, counts) and reads it back.
+    more than once (documents, chunk states, entities, deltas, counts) and reads it back.
     """
     known = store.documents.where("path is not null").groupBy("path").agg(F.min("doc").alias("old"), F.max("read_count").alias("reads"), F.max("confidence").alias("sure"))
     given = _last(batch.documents, ["doc"], [F.col("path").desc_nulls_last(), F.desc("title")]).join(known, "path", "left")
@@ -126,31 +130,31 @@ def overwrite(store: Store, batch: Batch, embed: Callable[[DataFrame], DataFrame
 
     # chunks: kept, embedded again, stale
     chain = sections(F.col("doc"), F.col("heading_path"))
-    fresh = _last(mine(batch.chunks), ["doc", "chunk"], [F.desc_nulls_last("text")]).select(F.concat_ws(":", "doc", F.col("chunk").cast("string")).alias("id"), "doc", "text", "heading_path", chain.alias("chain"))
+    fresh = _last(mine(batch.chunks), ["doc", "chunk"], [F.desc_nulls_last("text")]).select(F.concat_ws(":", "doc", F.col("chunk").cast("string")).alias("id"), "doc", "text", "heading_path")
     touched = store.chunks.join(documents.select("doc"), "doc", "left_semi").select("id", F.col("doc").alias("was_doc"), F.col("text").alias("was"), F.col("vector").alias("held"))
     both = touched.join(fresh, "id", "full_outer")
     same = F.col("was_doc").isNotNull() & F.col("was").eqNullSafe(F.col("text")) & F.col("held").isNotNull()
     state = F.when(F.col("doc").isNull(), "stale").when(same, "kept").when(F.col("was_doc").isNull(), "new").otherwise("changed")
     both = keep(both.withColumn("state", state))
+    fresh = both.where("doc is not null").select("id", "doc", "text", "heading_path")  # as kept, so it isn't made again
     held, again = both.where("state = 'kept'").withColumn("vector", F.col("held")), embed(both.where("state in ('new', 'changed')"))
-    chunks = held.unionByName(again).withColumn("section", F.try_element_at("chain", F.lit(-1))["id"])
-    linked = fresh.select("doc", F.explode("chain").alias("s")).select("s.id", "doc", "s.path", "s.title", "s.parent").distinct()
+    chunks = held.unionByName(again).withColumn("section", F.try_element_at(chain, F.lit(-1))["id"])
+    linked = fresh.select("doc", F.explode(chain).alias("s")).select("s.id", "doc", "s.path", "s.title", "s.parent").distinct()
     old_sections = store.sections.join(documents.select("doc"), "doc", "left_semi").select("id")
 
     # mentions: those of stale and changed chunks go, those of every present chunk with the document's entities come
-    entities = _last(mine(batch.entities).where("name is not null"), ["doc", "name"], [F.desc_nulls_last("aliases")])
+    entities = keep(_last(mine(batch.entities).where("name is not null"), ["doc", "name"], [F.desc_nulls_last("aliases")]).select("doc", "name", "aliases"))
     wanted = pairs(fresh.select("id", "doc", "text"), entities)
-    lost = store.mentions.join(both.where("state in ('stale', 'changed')").select("id"), "id", "left_semi")
-    had = store.mentions.join(documents.select("doc"), "doc", "left_semi")
-    dropped = lost.join(wanted, ["entity", "id"], "left_anti").select("entity", "id", "doc")
-    added = wanted.join(had, ["entity", "id"], "left_anti").select("entity", "id", "doc")
-    moves = keep(dropped.withColumn("step", F.lit(-1)).unionByName(added.withColumn("step", F.lit(1))))
+    lost = both.where("state in ('stale', 'changed')").select("id").distinct().withColumn("lost", F.lit(True))
+    had = store.mentions.join(documents.select("doc"), "doc", "left_semi").join(lost, "id", "left").select("entity", "id", F.col("doc").alias("had_doc"), "lost")
+    met = wanted.join(had, ["entity", "id"], "full_outer").where("had_doc is null or (doc is null and lost)")
+    moves = keep(met.select("entity", "id", F.coalesce("doc", "had_doc").alias("doc"), F.when(F.col("doc").isNull(), -1).otherwise(1).alias("step")))
 
     # entities and relations of the batch
-    merged = _last(entities, ["name"], [F.desc("doc")]).select("name", fold_key(F.col("name")).alias("key"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
-    ends = batch.relations.select(fold_key(F.col("source")).alias("key")).unionByName(batch.relations.select(fold_key(F.col("target")).alias("key"))).distinct()
-    by_key = store.entities.select("name", "key").unionByName(merged.select("name", "key")).join(ends, "key", "left_semi").groupBy("key").agg(F.min("name").alias("name"))
-    rel = mine(batch.relations).withColumn("a", fold_key(F.col("source"))).withColumn("b", fold_key(F.col("target"))).select("a", "b", "doc", "keywords")
+    merged = keep(_last(entities, ["name"], [F.desc("doc")]).select("name", fold_key(F.col("name")).alias("key"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases")))
+    rel = keep(mine(batch.relations).withColumn("a", fold_key(F.col("source"))).withColumn("b", fold_key(F.col("target"))).select("a", "b", "doc", "keywords"))
+    # no semi-join by the ends asked for: it moves below the union, which then counts as partitioned by key until a reused exchange undoes that ("Can't zip RDDs")
+    by_key = store.entities.select("name", "key").unionByName(merged.select("name", "key")).groupBy("key").agg(F.min("name").alias("name"))
     rel = rel.join(by_key.select(F.col("key").alias("a"), F.col("name").alias("source")), "a").join(by_key.select(F.col("key").alias("b"), F.col("name").alias("target")), "b")
     rel = keep(_last(rel, ["source", "target"], [F.desc("doc"), F.desc_nulls_last("keywords")]).select("source", "target", "keywords"))
     new_edges = rel.select("source", "target").join(store.relations.select("source", "target"), ["source", "target"], "left_anti")
@@ -184,7 +188,7 @@ def overwrite(store: Store, batch: Batch, embed: Callable[[DataFrame], DataFrame
     }
     come = {
         "documents": documents.select("doc", "path", "title", "topic", "read_count", "confidence"), "chunks": chunks.select("id", "doc", "text", "heading_path", "section", "vector"), "sections": linked, "entities": final.where(~lonely),
-        "mentions": moves.where("step = 1").select("entity", "id", "doc"), "relations": rel.join(pruned, ["source", "target"], "left_anti"),
+        "mentions": moves.where("step = 1").select("entity", "id", "doc"), "relations": keep(rel.join(pruned, ["source", "target"], "left_anti")),
     }
     return Change(gone, come, both.select("id", F.coalesce("doc", "was_doc").alias("doc"), "state"))
 
