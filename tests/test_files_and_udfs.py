@@ -153,3 +153,11 @@ def test_loose_relations_are_parsed_once(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", relation_of(F.col("t")).alias("r")).select("i", "r.*")
     assert [tuple(r)[1:] for r in rows.orderBy("i").collect()] == [("a", "b", ["k"]), ("a", "b", []), ("c", "d", []), (None, None, []), (None, None, [])]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_sources_are_dealt_out_before_they_are_parsed(spark):
+    from weftmill.sources import code
+
+    files = spark.createDataFrame([(f"v{i}.cds", f"define view V{i} as select from t\n{{\n  key a\n}}") for i in range(64)], "file string, source string").coalesce(1)
+    parsed = code.parse_cds(files)
+    assert parsed.rdd.getNumPartitions() > 1 and {r.name for r in parsed.collect()} == {f"V{i}" for i in range(64)}
