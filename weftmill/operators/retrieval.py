@@ -16,6 +16,7 @@ from weftmill.scratch import kept
 
 RRF_K = 60
 QUERY_BLOCK = 1024
+TEXTS, ROWS, CELLS = 64, 256, 1 << 17  #: what a worker holds at once: texts, scored rows, (term, query) pairs of rows
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -46,7 +47,6 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6)
     Queries are a stated set: they are taken in blocks of ``QUERY_BLOCK`` rows, each block a pass over the corpus in
     which a task keeps its own best ``k``; scores are rounded before they are ranked, so ties are the same everywhere.
     """
-    schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
     found = None
     held = queries.select(F.col("qid").cast("long"), F.col("vector").cast("array<double>")).orderBy("qid").toLocalIterator()
     for block in _blocks(held):
@@ -54,16 +54,12 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6)
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
         def scan(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            best = Best(len(ids), k)
+            for batch in _cut(batches, ROWS):
                 flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 norm = np.linalg.norm(flat, axis=1, keepdims=True)
-                s = np.round(q @ (flat / np.where(norm == 0, 1, norm)).T, digits)
-                doc = batch.column("id").to_numpy(zero_copy_only=False)
-                order = np.lexsort((np.broadcast_to(doc, s.shape), -s), axis=1)[:, :k]
-                row = np.repeat(np.arange(len(ids)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(doc[order.ravel()]), pa.array(s[row, order.ravel()])], schema=schema)
+                best.add(batch.column("id").to_numpy(zero_copy_only=False), np.round(q @ (flat / np.where(norm == 0, 1, norm)).T, digits))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.ids), pa.array(best.scores)], names=["qid", "id", "score"])
 
         part = corpus.select(F.col("id").cast("long"), F.col("vector").cast("array<float>")).mapInArrow(scan, "qid long, id long, score double")
         found = part if found is None else found.unionByName(part)
@@ -72,6 +68,43 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6)
     return top(found, k)
 
 
+def _runs(done: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose sizes, given by their running sum, are about ``most`` together."""
+    lo = 0
+    while lo < len(done):
+        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+class Best:
+    """The ``k`` best rows of each query so far, best first (not-a-number before all, as in SQL); ties go to the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.floor = k, np.full(queries, -np.inf)
+        self.query, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, ids: np.ndarray, scores: np.ndarray, above: float = -np.inf) -> None:
+        """Rows with their scores (query, row); only scores over ``above`` count."""
+        new, at = np.nonzero(~((scores < self.floor[:, None]) | (scores <= above)))
+        if not len(new):
+            return
+        query, ids, scores = np.concatenate([self.query, new]), np.concatenate([self.ids, ids[at]]), np.concatenate([self.scores, scores[new, at]])
+        order = np.lexsort((ids, np.where(np.isnan(scores), -np.inf, -scores), query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        order = order[place < self.k]
+        self.floor[query[place == self.k - 1]] = scores[order[place[place < self.k] == self.k - 1]]
+        self.query, self.ids, self.scores = query[place < self.k], ids[order], scores[order]
+
+
+def _cut(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a few rows, so that what is made of them doesn't grow with Spark's batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _blocks(rows: Iterator) -> Iterator[list]:
     block = []
     for r in rows:
@@ -89,39 +122,41 @@ def postings(corpus: DataFrame) -> DataFrame:
     return t.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
 
-def _counts(corpus: DataFrame, terms: dict[str, int]) -> DataFrame:
-    """``id, len, terms, tfs``: each text read once, its length in tokens and how often it holds each wanted term (by number)."""
-    schema = pa.schema([("id", pa.int64()), ("len", pa.int64()), ("terms", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32()))])
+_COUNTS = pa.schema([("id", pa.int64()), ("len", pa.int64()), ("terms", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32()))])
+
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+def counted(batches: Iterator[pa.RecordBatch], terms: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Texts (id, text) as their length in tokens and counts of the wanted terms; ``TEXTS`` of them are held as strings at once."""
+    import regex
 
-        word = regex.compile(TOKEN)
-        for batch in batches:
-            size, numbers, counts = [], [], []
-            for text in batch.column("text").to_pylist():
-                found = word.findall(text or "")
-                own = Counter(map(terms.get, found))
-                own.pop(None, None)
-                size.append(len(found))
-                numbers.append(list(own.keys()))
-                counts.append(list(own.values()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(v, type=f.type) for v, f in zip((size, numbers, counts), list(schema)[1:], strict=True))], schema=schema)
+    word = regex.compile(TOKEN)
+    for batch in _cut(batches, TEXTS):
+        size, numbers, counts = [], [], []
+        for text in batch.column("text"):
+            found = word.findall(text.as_py() or "")
+            own = Counter(filter(terms.__contains__, found))
+            size.append(len(found))
+            numbers.append([terms[t] for t in own])
+            counts.append(list(own.values()))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(v, type=f.type) for v, f in zip((size, numbers, counts), list(_COUNTS)[1:], strict=True))], schema=_COUNTS)
 
-    return corpus.select(F.col("id").cast("long"), F.lower("text").alias("text")).mapInArrow(read, "id long, len long, terms array<int>, tfs array<int>")
+
+def _counts(corpus: DataFrame, terms: dict[str, int]) -> DataFrame:
+    """``id, len, terms, tfs``: each text read once, its length in tokens and how often it holds each wanted term (by number)."""
+    return corpus.select(F.col("id").cast("long"), F.lower("text").alias("text")).mapInArrow(lambda batches: counted(batches, terms), "id long, len long, terms array<int>, tfs array<int>")
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, digits: int = 6, block: int = 256) -> DataFrame:
+def bm25(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
     """``qid, id, score, rank``: BM25 top-k of query texts (a bag of distinct words).
 
     Queries are a stated set, taken in blocks of ``QUERY_BLOCK``. For each block every text is read once into its length and its counts
-    of the block's terms, a small table from which document frequencies are summed; then a task scores ``block`` documents at a time
+    of the block's terms, a small table from which document frequencies are summed; then a task scores ``ROWS`` documents at a time
     against all queries of the block, through the queries that hold each term, and keeps its own best ``k``. So no row for a
-    pair of query and document is ever exchanged. Frequencies and lengths are those of the whole corpus.
+    pair of query and document is ever exchanged, and what a worker holds is bounded: a few texts, the scores of a few documents, and
+    its best. Frequencies and lengths are those of the whole corpus.
     """
     spark, key = queries.sparkSession, queries.schema["qid"]
     asked = queries.select("qid", F.array_distinct(tokens(F.coalesce("text", F.lit("")))).alias("terms")).orderBy("qid").toLocalIterator()
-    out = pa.schema([("q", pa.int32()), ("id", pa.int64()), ("score", pa.float64())])
     every = None
     for held in _blocks(asked):
         words = {t: i for i, t in enumerate(dict.fromkeys(t for r in held for t in r["terms"]))}
@@ -139,22 +174,24 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b: floa
         n_queries, avgdl = len(held), size["avgdl"] or 1.0
 
         def score(batches: Iterator[pa.RecordBatch], idf=idf, of=of, ends=ends, n_queries=n_queries, avgdl=avgdl) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for at in range(0, whole.num_rows, block):
-                    batch = whole.slice(at, block)
-                    ids, length = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "len"))
-                    lists = batch.column("terms")
-                    doc = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
-                    term, tf = lists.flatten().to_numpy(zero_copy_only=False), batch.column("tfs").flatten().to_numpy(zero_copy_only=False)
-                    weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / avgdl))
-                    n = ends[term + 1] - ends[term]
-                    cell = np.repeat(doc * n_queries, n) + of[np.repeat(ends[term] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                    scores = np.round(np.bincount(cell, np.repeat(weight, n), len(ids) * n_queries).reshape(len(ids), n_queries).T, digits)
-                    best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-                    row = np.repeat(np.arange(n_queries), best.shape[1])
-                    best = best.ravel()
-                    some = scores[row, best] > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(row[some].astype(np.int32)), pa.array(ids[best[some]]), pa.array(scores[row, best][some])], schema=out)
+            best = Best(n_queries, k)
+            asked_by = np.diff(ends)
+            for batch in _cut(batches, ROWS):
+                ids, length = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "len"))
+                lists = batch.column("terms")
+                doc = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+                term, tf = lists.flatten().to_numpy(zero_copy_only=False), batch.column("tfs").flatten().to_numpy(zero_copy_only=False)
+                weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / avgdl))
+                scores = np.zeros(len(ids) * n_queries)
+                n, done = asked_by[term], np.cumsum(asked_by[term])
+                for lo, hi in _runs(done, CELLS):
+                    few = n[lo:hi]
+                    cell = np.repeat(doc[lo:hi] * n_queries, few) + of[np.repeat(ends[term[lo:hi]] - np.cumsum(few) + few, few) + np.arange(few.sum())]
+                    first = int(doc[lo]) * n_queries
+                    part = np.bincount(cell - first, np.repeat(weight[lo:hi], few))
+                    scores[first : first + len(part)] += part
+                best.add(ids, np.round(scores.reshape(len(ids), n_queries).T, digits), 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(best.query.astype(np.int32)), pa.array(best.ids), pa.array(best.scores)], names=["q", "id", "score"])
 
         found = table.mapInArrow(score, "q int, id long, score double")
         names = spark.createDataFrame([(i, r["qid"]) for i, r in enumerate(held)], T.StructType([T.StructField("q", T.IntegerType()), T.StructField("qid", key.dataType)]))
