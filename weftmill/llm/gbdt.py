@@ -1,6 +1,6 @@
 """Histogram gradient-boosted trees for a binary target, in numpy, flattened into arrays for vectorised traversal.
 
-Training works on a bounded sample (the callers document the bound). Each feature is cut into at most ``bins``
+Training works on a bounded number of rows (the callers document the bound), which may stand for many. Each feature is cut into at most ``bins``
 quantile bins; a level of a tree is grown from one histogram of gradients and Hessians over (node, feature, bin).
 """
 
@@ -43,17 +43,21 @@ class Trees:
         return 1.0 / (1.0 + np.exp(-np.clip(self.raw(x), -40, 40)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, l2: float = 1.0, leaf: int = 10, weight: np.ndarray | None = None) -> Trees:
-    """Fit ``trees`` trees. With no rows, or one class only, the model is the (smoothed) prior."""
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, l2: float = 1.0, leaf: int = 10, weight: np.ndarray | None = None, cuts: list[np.ndarray] | None = None, count: np.ndarray | None = None) -> Trees:
+    """Fit ``trees`` trees. With no rows, or one class only, the model is the (smoothed) prior.
+
+    A row may stand for ``count`` equal ones (of which a leaf wants ``leaf``) and weigh ``weight``; ``cuts``, if given, are the bins' ends.
+    """
     x, y = np.nan_to_num(np.asarray(x, dtype=np.float64)), np.asarray(y, dtype=np.float64)
     n, m = x.shape if x.ndim == 2 else (0, 0)
     w = np.ones(n) if weight is None else np.asarray(weight, dtype=np.float64)
+    count = np.ones(n) if count is None else np.asarray(count, dtype=np.float64)
     prior = (float((w * y).sum()) + 0.5) / (float(w.sum()) + 1.0) if n else 0.5
     base = float(np.log(prior / (1 - prior)))
     none = np.zeros(0, dtype=np.int64)
     if n == 0 or y.min() == y.max():
         return Trees(none, np.zeros(0), none, none, np.zeros(0), none, 0, base)
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(m)]
+    cuts = cuts or [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(m)]
     binned = np.stack([np.searchsorted(cuts[j], x[:, j], side="left") for j in range(m)], axis=1).astype(np.int64)
     offset = np.arange(m) * bins
     feature, threshold, left, right, value, roots = [], [], [], [], [], []
@@ -88,7 +92,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
             size = len(open_nodes) * m * bins
             hg = np.bincount(flat, np.repeat(g[rows], m), size).reshape(-1, m, bins)
             hh = np.bincount(flat, np.repeat(h[rows], m), size).reshape(-1, m, bins)
-            hn = np.bincount(flat, minlength=size).reshape(-1, m, bins)
+            hn = np.bincount(flat, np.repeat(count[rows], m), size).reshape(-1, m, bins)
             gl, hl, nl = hg.cumsum(2), hh.cumsum(2), hn.cumsum(2)
             gt, ht, nt = gl[:, :1, -1:], hl[:, :1, -1:], nl[:, :1, -1:]
             gain = gl**2 / (hl + l2) + (gt - gl) ** 2 / (ht - hl + l2) - gt**2 / (ht + l2)
