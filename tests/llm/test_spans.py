@@ -270,3 +270,42 @@ def test_every_labelled_candidate_of_the_documents_counts(spark, monkeypatch):
     made = pii.np.asarray([pii.features(*r) for r in pii.examples(200)[0]])
     found = pii.cells(pii.evidence(docs), made)[1]
     assert len(found) <= 20 and sum(r["count"] for r in found) == 25_000
+
+
+def test_every_link_of_an_escape_chain_is_a_layer():
+    import numpy as np
+
+    def links(text):
+        """Finds of each link, decoded and scanned as a whole text."""
+        layer, out = [(c, i, i + 1) for i, c in enumerate(text)], set()
+        while True:
+            now, new, at = "".join(c for c, _, _ in layer), [], 0
+            low, high = np.array([a for _, a, _ in layer]), np.array([b for _, _, b in layer])
+            work = [secretscan.Layer(now, low, high, True)]
+            while work:
+                one = work.pop()
+                out |= {(*one.span(s, e), k) for s, k, e in secretscan.scan(one.text)}
+                work += [x for x in secretscan.unwrap(one) if isinstance(x, secretscan.Layer)]
+            hits = list(secretscan._ANY.finditer(now))
+            if not hits:
+                return out
+            for m in hits:
+                code = secretscan._code(m)
+                new += [*layer[at : m.start()], (chr(code) if code < 128 else "\x80", layer[m.start()][1], layer[m.end() - 1][2])]
+                at = m.end()
+            layer = new + layer[at:]
+
+    rng, several = random.Random(3), 0
+    code = base64.b64encode(b"see token=abcdefgh12 here").decode()
+    pieces = ["%", "25", "2525", "252525", "41", "3d", "\\x", "x5c", "5c", "&#", "38;", "#38;", "token=", "apikey=", "abcdefgh", "0a1b2c3d4e5f60718" * 2, "2525" * 25, "AKIAABCDEFGHIJKLM", code, " ", "\n", "é", ",", "a", "p"]
+    for _ in range(1500):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14)))
+        want = links(text)
+        got = {(s, e, k) for s, k, e in secretscan.find(text)[1]}
+        assert want <= got, (text, want - got)
+        several += len(want) > 3
+    assert several > 50
+    for text, span in (("token=%2561bcdefgh%2525252541 end", "token=%2561bcdefgh"), ("%25252541" + "0123456789abcdef" * 2, "41" + "0123456789abcdef" * 2), ("x%2525%2541" + code + "%25252541", "%2541" + code)):
+        assert text.index(span) in {s for s, k, e in secretscan.find(text)[1]} or any(text[s:e] in span for s, k, e in secretscan.find(text)[1]), text
+    text = "token=%2561bcdefgh%2525252541 end"
+    assert "token=%2561bcdefgh" in {text[s:e] for s, k, e in secretscan.find(text)[1]}  # by the second link only

@@ -8,10 +8,11 @@ may be several members long, and raw deflate is taken if it ends cleanly in read
 and unwrapped in turn, until nothing new turns up; a layer that was already seen at the same place is not taken again,
 which ends cycles. A map from the layer's characters to the text's carries every find back to a span of the original text.
 
-A text with escapes gives up to three layers in place: its URL escapes decoded once, its character escapes decoded once, and all of
-them decoded until none is left, which one pass does: what an escape stands for is read again together with the few characters before it, so a
-chain such as ``%252525...41`` or ``\\x5cx5cx41`` of any length costs its length, and no layer for each link. Patterns hold no
-character that begins an escape, so what a link between would show is shown, or extended, by the last layer.
+A text with escapes gives layers in place: its URL escapes decoded once, its character escapes decoded once, all of
+them decoded until none is left (in one pass), and the links between: both kinds decoded once, twice, and so on. A link is not
+made as a whole text: what differs from the link before is scanned and unwrapped as a layer, up to the next characters that no find can
+contain. Where an escape gives another's beginning, what follows has only lost its first characters, so it shows a shorter
+run of hexadecimal digits, or what its first characters hid; a long chain therefore costs its length.
 
 The worklist is a stack of generators, so a layer is finished before the next one is made; base64 shrinks by a quarter for each
 layer, so few are open at once. Decompression is streamed in segments that are cut only at a character which no
@@ -207,6 +208,118 @@ def _settled(layer: Layer) -> Layer | None:
     return new
 
 
+_WIDE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_.:\"'- \t\r\n\f\v")  # what finds and encoded runs are made of
+_HEXES = re.compile(r"[0-9a-f]*")
+_HEAD = 2048
+
+
+def _quiet(head: str) -> bool:
+    """Whether base64 that starts here, at any alignment, shows only what it shows further on: its first bytes are in no find,
+    and are no raw deflate (by what ``_inflate`` asks of its first 4,096 bytes)."""
+    if len(head) < 64 or head[0] in "pP":
+        return False
+    for skip in range(4):
+        part = head[skip:].replace("-", "+").replace("_", "/")
+        raw = base64.b64decode(part[: len(part) // 4 * 4])
+        out = _BREAK.search(raw)
+        if not out or out.start() >= 8:
+            return False
+        try:
+            got = zlib.decompressobj(-15).decompress(raw, 4096)
+        except zlib.error:
+            continue
+        if sum(not (32 <= c < 127 or c in (9, 10, 13) or c >= 128) for c in got) <= 0.05 * 4096:
+            return False
+    return True
+
+
+def _links(layer: Layer) -> Iterator[Layer | tuple[int, int, int]]:
+    """What the text shows when all its escapes are decoded once, twice, ...: layers around what changed, or finds.
+
+    Characters are numbered: those of the text, its end, then those that escapes stand for; ``after`` and ``before`` differ from
+    the text's order only where something was decoded.
+    """
+    text, n = layer.text, len(layer.text)
+    if not _ANY.search(_ANY.sub(lambda m: chr(_code(m)) if _code(m) < 128 else "\x80", text)):
+        return  # no chain: the layers decoded once show it
+    made: list[str] = []
+    low, high = array("q"), array("q")
+    after: dict[int, int] = {}
+    before: dict[int, int] = {}
+    hexes, lines, quiet = (0, 0), (0, 0), {}
+
+    def char(i: int) -> str:
+        return text[i] if 0 <= i < n else made[i - n - 1] if i > n else "\0"
+
+    def ends(i: int) -> tuple[int, int]:
+        return (int(layer.low[i]), int(layer.high[i])) if i < n else (low[i - n - 1], high[i - n - 1])
+
+    hits = [(m.start(), m.end() - 1, _code(m)) for m in _ANY.finditer(text)]  # first and last character
+    while hits:
+        new = []
+        for a, b, code in hits:
+            made.append(chr(code) if code < 128 else "\x80")
+            low.append(ends(a)[0])
+            high.append(ends(b)[1])
+            i, left, right = n + len(made), before.get(a, a - 1), after.get(b, b + 1)
+            before[i], after[i], after[left], before[right] = left, right, i, i
+            new.append(i)
+        covered: set[int] = set()
+        for i in new:
+            at = i
+            if char(i) not in _WIDE:  # what follows has lost its first characters
+                at = after[i]
+                if 0 <= at < n:
+                    if not hexes[0] <= at < hexes[1]:
+                        hexes = at, _HEXES.match(text, at).end()
+                    size, last = hexes[1] - at, hexes[1] - 1
+                    if size > 0:
+                        while (c := char(further := after.get(last, last + 1))) and c in "0123456789abcdef":
+                            size, last = size + 1, further
+                        if size >= 32:
+                            yield ends(at)[0], 2, ends(last)[1]
+                    if not lines[0] <= at < lines[1]:
+                        run = _LINE.match(text, at)
+                        lines = (at, run.end()) if run else (at, at)
+                    head = text[at : min(at + _HEAD, lines[1])]
+                    if head not in quiet:
+                        if len(quiet) > 1000:
+                            quiet.clear()
+                        quiet[head] = _quiet(head)
+                    if quiet[head]:
+                        continue
+            if at in covered or char(at) not in _WIDE:
+                continue
+            span = [at]
+            while char(j := before.get(span[-1], span[-1] - 1)) in _WIDE:
+                span.append(j)
+            span.reverse()
+            while char(j := after.get(span[-1], span[-1] + 1)) in _WIDE:
+                span.append(j)
+            covered.update(span)
+            place = np.array([ends(j) for j in span])
+            yield Layer("".join(map(char, span)), place[:, 0], place[:, 1], True)
+        hits, begun = [], set()
+        for i in new:  # an escape that is new holds a new character, and nothing that begins another
+            begin = i
+            for _ in range(_LONGEST):
+                if begin < 0 or char(begin) in "%\\&":
+                    break
+                begin = before.get(begin, begin - 1)
+            if begin < 0 or begin in begun or char(begin) not in "%\\&":
+                continue
+            begun.add(begin)
+            follows = after.get(begin, begin + 1)
+            if follows < n and (m := _ANY.match(char(begin) + text[follows : follows + _LONGEST - 1])):  # no character of it was decoded
+                hits.append((begin, follows + m.end() - 2, _code(m)))
+                continue
+            ahead = [begin]
+            while len(ahead) < _LONGEST and (j := after.get(ahead[-1], ahead[-1] + 1)) != n:
+                ahead.append(j)
+            if m := _ANY.match("".join(map(char, ahead))):
+                hits.append((begin, ahead[m.end() - 1], _code(m)))
+
+
 def _joined(text: str) -> Iterator[tuple[str, np.ndarray]]:
     """Base64 broken over lines, joined, with the place of each character.
 
@@ -308,8 +421,8 @@ def _inflate(raw: bytes) -> Iterator[tuple[bytes, int, int]]:
                 yield segment, 0, used[0] or len(raw)
 
 
-def unwrap(layer: Layer) -> Iterator[Layer]:
-    """The layers directly below one layer."""
+def unwrap(layer: Layer) -> Iterator[Layer | tuple[int, int, int]]:
+    """The layers directly below one layer, and finds of layers that are not made."""
     text = layer.text
     if not layer.in_place:
         if "%" in text and (new := _decoded(layer, _URL, lambda m: int(m[0][1:], 16))):
@@ -318,6 +431,7 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
             yield new.decoded_in_place()
         if ("%" in text or "\\" in text or "&#" in text) and (new := _settled(layer)):
             yield new.decoded_in_place()
+            yield from _links(layer)
     for m in _BASE64.finditer(text):
         yield from _debased(layer, m[0].rstrip("="), np.arange(m.start(), m.end()))
     if "\n" in text:
@@ -361,6 +475,9 @@ def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
             if layer is None:
                 work.pop()
                 continue
+            if isinstance(layer, tuple):
+                found.add(layer)
+                continue
             key = (hashlib.sha1(layer.text.encode("utf-8", "surrogatepass")).digest(), int(layer.low[0]), int(layer.high[-1]), layer.in_place) if layer.text else None
             if key and key not in seen:
                 seen.add(key)
