@@ -60,3 +60,19 @@ def test_capitals_of_a_question_make_no_other_word(spark, tmp_path):
     spark.createDataFrame([(7, "enchß straße")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for name in ("ret4_entity_match", "ret4_entity_search"):
         assert {(r.qid, r.entity) for r in QUERIES[name](spark, str(tmp_path)).collect()} == {(7, "Straße")}
+
+
+def test_the_entities_of_documents_are_read_once_and_only_as_far_as_the_second(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    import weftmill.plans.registry  # noqa: F401  loads the plans in their order
+    from weftmill.plans import entity
+
+    texts = ["a Straße Ünïcödé und weiter nichtsda", "abcdefghijklmnop", "onlyone\nsecond two", None, "", "short words", "x1abcdef2ghijkl\n\nmnopqr", "日本語日本語 letters", "a" * 100_000, "\U00010400" * 6 + "-" + "\U00010400" * 7]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = entity._entities(spark, str(tmp_path))
+    every = F.regexp_extract_all("text", F.lit(r"\p{L}{6,}"), F.lit(0))
+    want = spark.read.parquet(str(tmp_path / "documents.parquet")).select(every.alias("t")).where(F.size("t") >= 2).select(F.col("t")[0], F.array(F.col("t")[1]))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 5
+    plan = got._jdf.queryExecution().toString()
+    assert "documents.parquet" not in plan and "regexp" not in plan  # each use of them read and matched all texts again

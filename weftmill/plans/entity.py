@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from weftmill.operators import entities as E
 from weftmill.plans.registry import query, table
+from weftmill.scratch import kept
 
 _K, _BEST = 10, 3
+#: Two words of six letters or more, each taken whole and never given back, so that a text is read no further than the second.
+FIRST_TWO = r"(?s)^(?>.*?(\p{L}{6,}+))(?>.*?(\p{L}{6,}+))"
 _FOLD = "strip_accents(lower(trim({})))"
 _TERMS = rf"regexp_extract_all({_FOLD}, '[\p{{{{L}}}}\p{{{{N}}}}]+')"
 _INDEX = rf"""e AS (SELECT t[1] AS entity, list_sort(list(DISTINCT t[2])) AS aliases FROM (SELECT regexp_extract_all(text, '\p{{L}}{{6,}}') AS t FROM documents) WHERE len(t) >= 2 GROUP BY t[1]),
@@ -24,9 +27,10 @@ m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, entity)
 
 
 def _entities(spark, sf_dir):
-    t = F.regexp_extract_all("text", F.lit(r"\p{L}{6,}"), F.lit(0))
-    rows = table(spark, sf_dir, "documents").select(t.alias("t")).where(F.size("t") >= 2)
-    return rows.select(F.col("t")[0].alias("entity"), F.array(F.col("t")[1]).alias("aliases"))
+    """The first two long words of each document, read once: index, mentions and relations all ask for them."""
+    documents = table(spark, sf_dir, "documents")
+    rows = documents.select(F.regexp_extract("text", FIRST_TWO, 1).alias("entity"), F.regexp_extract("text", FIRST_TWO, 2).alias("alias")).where("alias <> ''")
+    return kept(rows.select("entity", F.array("alias").alias("aliases")), "entities")
 
 
 def _asked(spark, sf_dir):
