@@ -139,3 +139,32 @@ def test_overwrite_by_sort_merge_joins(spark, tmp_path):
         assert {(r.name, r.mentioned, r.related) for r in after.entities.where("name in ('Name0', 'Name1', 'Name40', 'Other3')").collect()} == {("Name0", 0, 1), ("Name1", 1, 2), ("Name40", 1, 1), ("Other3", 1, 2)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_report_alone_makes_no_mentions_and_writes_nothing(spark, monkeypatch):
+    """Chunk states hang on documents and chunks; entities, mentions and relations are made when they are asked for."""
+    from weftmill.plans import ingest as plans
+
+    def pairs(*_):
+        raise AssertionError("mentions were made")
+
+    b = batch(spark, [("a", "a.md", "A", "t")], [("a", "1", "Ada and Bob", "# H")], [("a", "Ada", None)], [("a", "Ada", "Ada", "k")])
+    whole, pairs_of = I.overwrite(I.Store.empty(spark), b, embed), I.pairs
+    monkeypatch.setattr(I, "pairs", pairs)
+    change, written = I.overwrite(I.Store.empty(spark), b, embed), []
+    assert [(r.id, r.state) for r in change.report.collect()] == [("a:1", "new")] and change.table(I.Store.empty(spark), "chunks").count() == 1
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.parquet", lambda *a, **k: written.append(a))
+    report = plans.mut3_overwrite_states(spark, "/root/testdata/sf0.001")
+    assert not written and {r.state for r in report.select("state").distinct().collect()} == {"stale", "changed", "kept"}
+    monkeypatch.undo()
+    assert I.pairs is pairs_of and [r.entity for r in whole.apply(I.Store.empty(spark)).mentions.collect()] == ["Ada"]
+
+
+def test_given_names_of_one_document_are_one(spark):
+    """Two given names of one path are one document, the greater name's chunks are its chunks, and repeated chunks count once."""
+    first = batch(spark, [("d", "p.md", "A", "t")], [("d", "1", "old", None)], [], [])
+    store = I.overwrite(I.Store.empty(spark), first, embed).apply(I.Store.empty(spark))
+    again = batch(spark, [("x", "p.md", "B", "t"), ("y", "p.md", "C", "t"), ("z", "q.md", "D", "t")], [("x", "1", "of x", None), ("y", "1", "a", None), ("y", "1", "b", None), ("z", "1", "new", None), ("w", "1", "of none", None)], [], [])
+    change = I.overwrite(store, again, embed)
+    assert {(r.id, r.doc, r.state) for r in change.report.collect()} == {("d:1", "d", "changed"), ("z:1", "z", "new")}
+    assert {(r.id, r.text) for r in change.table(store, "chunks").collect()} == {("d:1", "b"), ("z:1", "new")}
