@@ -65,3 +65,35 @@ def test_diffs_of_a_batch_are_made_a_few_rows_at_a_time():
     out = H._diffs(pa.array(a), pa.array(b), 3).to_pylist()
     assert [(r["unified"], r["added"], r["removed"]) for r in out] == [(H.line_hunks(p, q)[2:5]) for p, q in zip(a, b, strict=True)]
     assert H._diffs(pa.array([], pa.string()), pa.array([], pa.string())).to_pylist() == []
+
+
+def test_large_middles_get_their_least_script():
+    """More than two million cells: lines that both texts have are kept as in small texts."""
+    x, y = ([f"same {i}" if i % 3 == 1 else f"{w} {i}" for i in range(1600)] for w in ("old", "new"))
+    changed, hunks, _, added, removed, _ = H.line_hunks("\n".join(x), "\n".join(y))
+    assert changed and len(hunks) == 534 and added == removed == 1067 and hunks[1] == (3, 3, ["old 2", "old 3"], ["new 2", "new 3"])
+    rng = random.Random(3)
+    x, y = (["first " + w, *rng.choices([f"line {i}" for i in range(40)], k=n), "last " + w] for w, n in (("a", 1500), ("b", 1450)))
+    steps = whole_table(x, y)
+    assert H.script(x, y) == H.script(x, y, 5000) == steps
+    assert H.line_hunks("\n".join(x), "\n".join(y))[3:5] == (steps.count("+"), steps.count("-"))
+
+
+def test_script_does_not_depend_on_what_is_kept():
+    rng = random.Random(4)
+    for n in range(300):
+        x, y = (rng.choices("abcdefgh"[: 1 + n % 8] + extra, k=rng.randrange(40)) for extra in ("", "xyz"[: n % 4]))
+        assert H.script(x, y, 1) == H.script(x, y, 30) == H.script(x, y) == whole_table(x, y)
+
+
+def test_query_on_a_long_text(spark, tmp_path):
+    import duckdb
+
+    from weftmill.plans import facade, registry
+
+    texts = [(1, "\n".join(f"row {i % 50}" for i in range(4000))), (2, "short\ntext"), (3, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in facade.txt23_hunks(spark, f"file://{tmp_path}").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(registry.SQL["txt23_hunks"]).fetchall()) and got[0][1] > 1000
